@@ -54,10 +54,12 @@ def _refined(slim: DataFrame, need: DataFrame) -> DataFrame:
         histogram = inside.groupBy("s", "prefix", F.shiftright("h", shift).alias("cell")).agg(F.sum("size").alias("in_cell"), F.first("rest").alias("rest"))
         order = Window.partitionBy("s").orderBy("cell")
         sums = histogram.withColumn("upto", F.sum("in_cell").over(order))
-        # The boundary cell is the first whose sum is over the budget; a source without one takes all its rows.
-        next_ = sums.groupBy("s").agg(F.min(F.when(F.col("upto") > F.col("rest"), F.struct("cell", (F.col("rest") - F.col("upto") + F.col("in_cell")).alias("left")))).alias("b"), F.first("rest").alias("rest"), F.max("upto").alias("all"), F.max("cell").alias("last"))
-        cell = F.coalesce("b.cell", F.col("last") + 1)
-        state = stored(next_.select("s", F.coalesce("b.left", F.col("rest") - F.col("all")).alias("rest"), cell.alias("prefix")), "mix-level")
+        # The boundary cell is the first whose sum is over the budget; where there is none, all rows are below the threshold.
+        over = F.min(F.when(F.col("upto") > F.col("rest"), F.struct("cell", (F.col("rest") - F.col("upto") + F.col("in_cell")).alias("left"))))
+        found = sums.groupBy(F.col("s").alias("f")).agg(over.alias("b"), F.max("upto").alias("all"), F.max("cell").alias("last"))
+        joined = state.join(found, F.col("s").eqNullSafe(F.col("f")), "left")
+        cell = F.coalesce("b.cell", F.col("last") + 1, F.shiftleft("prefix", BITS))
+        state = stored(joined.select("s", F.coalesce("b.left", F.col("rest") - F.coalesce("all", F.lit(0))).alias("rest"), cell.alias("prefix")), "mix-level")
     return state.select("s", F.col("prefix").alias("threshold"), F.col("rest").alias("left"))
 
 
