@@ -46,7 +46,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
 
 
 def _refined(slim: DataFrame, need: DataFrame) -> DataFrame:
-    """(s, threshold, left): for each row (source, rest) of need the 40-bit threshold below which the rows of slim (source, size, h) sum to at most rest, and what they leave of it."""
+    """(s, threshold, left, edge): for each row (source, rest) of need the 40-bit threshold below which the rows of slim (source, size, h) sum to at most rest, what they leave of it, and the size of the cell at the threshold."""
     state = need.select(F.col("source").alias("s"), "rest", F.lit(0).cast("long").alias("prefix")).where("rest > 0")
     for level in range(LEVELS):
         shift = BITS * (LEVELS - level - 1)
@@ -55,36 +55,38 @@ def _refined(slim: DataFrame, need: DataFrame) -> DataFrame:
         order = Window.partitionBy("s").orderBy("cell")
         sums = histogram.withColumn("upto", F.sum("in_cell").over(order))
         # The boundary cell is the first whose sum is over the budget; where there is none, all rows are below the threshold.
-        over = F.min(F.when(F.col("upto") > F.col("rest"), F.struct("cell", (F.col("rest") - F.col("upto") + F.col("in_cell")).alias("left"))))
+        over = F.min(F.when(F.col("upto") > F.col("rest"), F.struct("cell", (F.col("rest") - F.col("upto") + F.col("in_cell")).alias("left"), "in_cell")))
         found = sums.groupBy(F.col("s").alias("f")).agg(over.alias("b"), F.max("upto").alias("all"), F.max("cell").alias("last"))
         joined = state.join(found, F.col("s").eqNullSafe(F.col("f")), "left")
         cell = F.coalesce("b.cell", F.col("last") + 1, F.shiftleft("prefix", BITS))
-        state = stored(joined.select("s", F.coalesce("b.left", F.col("rest") - F.coalesce("all", F.lit(0))).alias("rest"), cell.alias("prefix")), "mix-level")
-    return state.select("s", F.col("prefix").alias("threshold"), F.col("rest").alias("left"))
+        state = stored(joined.select("s", F.coalesce("b.left", F.col("rest") - F.coalesce("all", F.lit(0))).alias("rest"), cell.alias("prefix"), F.col("b.in_cell").alias("edge")), "mix-level")
+    return state.select("s", F.col("prefix").alias("threshold"), F.col("rest").alias("left"), "edge")
 
 
 def thresholds(slim: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
     """(source, source_size, target, copies, rests, cuts) from (source, size, h): see extra().
 
     A budget is met up to the size of the document at its threshold. What is left goes to another round over the documents that are not
-    taken and fit into it four times, with other hash bits, so that the remainder shrinks from round to round.
+    taken and fit into it four times, with other hash bits, so that the remainder shrinks from round to round. If at last more is left than
+    half of what lies at the first threshold, that is taken too.
     """
     per = source_targets(slim, weights, cap)
     size, target = F.col("source_size"), F.col("target")
     copies = F.when(size > 0, F.floor(target / size)).otherwise(0).cast("long")
     none = F.array().cast
-    per = per.withColumn("copies", copies).withColumn("rest", target - F.col("copies") * size).withColumn("rests", none("array<double>")).withColumn("cuts", none("array<bigint>"))
+    per = per.withColumn("copies", copies).withColumn("rest", target - F.col("copies") * size).withColumn("rests", none("array<double>")).withColumn("cuts", none("array<bigint>")).withColumn("edge", F.lit(None).cast("long"))
     state = stored(per, "mix-targets")
     for number in range(ROUNDS):
         rows = slim
         if number:
             sources = small_or_not(state.select(F.col("source").alias("s"), "rests", "cuts", (F.col("rest") / 4).alias("fits")))
             rows = slim.join(sources, F.col("source").eqNullSafe(F.col("s"))).where(~extra() & (F.col("size") <= F.col("fits"))).select("source", "size", "h")
-        found = _refined(rows.withColumn("h", _round_hash(number)), state.select("source", "rest")).withColumnRenamed("s", "f")
+        found = _refined(rows.withColumn("h", _round_hash(number)), state.select("source", "rest")).withColumnRenamed("s", "f").withColumnRenamed("edge", "at_cut")
         joined = state.join(found, F.col("source").eqNullSafe(F.col("f")), "left")
         fits = F.col("rest") / 4 if number else F.lit(float("inf"))
-        state = stored(joined.select("source", "source_size", "target", "copies", F.coalesce("left", "rest").alias("rest"), F.concat("rests", F.array(fits)).alias("rests"), F.concat("cuts", F.array(F.coalesce("threshold", F.lit(0)))).alias("cuts")), "mix-round")
-    return state.select("source", "source_size", "target", "copies", "rests", "cuts")
+        state = stored(joined.select("source", "source_size", "target", "copies", F.coalesce("left", "rest").alias("rest"), F.concat("rests", F.array(fits)).alias("rests"), F.concat("cuts", F.array(F.coalesce("threshold", F.lit(0)))).alias("cuts"), F.coalesce("edge", F.lit(None) if number else F.col("at_cut")).alias("edge")), "mix-round")
+    cuts = F.transform("cuts", lambda cut, i: F.when((i == 0) & (F.col("edge") < 2 * F.col("rest")), cut + 1).otherwise(cut))
+    return state.select("source", "source_size", "target", "copies", "rests", cuts.alias("cuts"))
 
 
 def _round_hash(number) -> Column:
