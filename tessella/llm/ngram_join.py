@@ -9,7 +9,9 @@ A signature of empty ranges is left out where a set has so many ranges with elem
 which neither is such a set need the empty ones, and both have them.
 
 Signatures travel as packed blocks, one for each batch and target partition. Sets that share one become a candidate pair; in buckets of more than STAR sets only pairs with the least set are
-tried first, and pairs of others only where the two are not connected yet, so that a group of similar texts doesn't become all its pairs. Candidates are verified on the sets themselves.
+tried first. Passages that many texts share fill buckets with texts that are not similar, so every set also has a sketch, its counts in equal ranges of the hashes: the sum of differences of two
+sketches is at most that of the sets, and pairs beyond (|A| + |B|) / 9 are out without a look at the sets. What large buckets hold is compared by sketches, in blocks, and only sets that are not connected yet
+become pairs, the nearest few first and all others in the last round, so that a group of similar texts doesn't become all its pairs. Candidates are verified on the sets themselves.
 
 Shingles and sets are told apart by 64-bit hashes. Defined results: a text without words, or null, has an empty set and links with nothing; equal sets are one class; repeated rows are documents of their own with equal sets; a
 null doc_id counts as larger than all others; an empty table gives an empty table; other columns do not matter.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,10 +33,10 @@ from pyspark.sql import types as T
 
 from .components import connected_components
 from .hashing import U, WordHashes, mix, odd
-from .shared import partitions, row_key, small_or_not, stored
+from .shared import drop_stored, partitions, row_key, small_or_not, stored
 
-WIDTH, SMALL, STAR, GROWTH, SLACK = 5, 13, 16, 1.6, 1.3
-FLUSH = 1 << 21
+WIDTH, SMALL, STAR, GROWTH, SLACK = 5, 13, 4, 1.6, 1.3
+FLUSH, BLOCK, ROUNDS = 1 << 21, 2000, (4, 1 << 60)
 _words = WordHashes()
 
 
@@ -54,6 +57,19 @@ def fingerprint(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """Counts of a set in equal ranges of the hashes, up to 255: 128 ranges, or the next power of two over a sixteenth of a large set."""
+    bits = max(7, (len(found) // 16).bit_length())
+    counts = np.bincount((found >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _counts(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of one width; a wider one is folded, and stays a lower bound where it was cut at 255."""
+    width = min(map(len, sketches))
+    return np.stack([np.frombuffer(x, dtype=np.uint8).astype(np.int32).reshape(width, -1).sum(axis=1) for x in sketches])
+
+
 def ranges_for(differences: int) -> int:
     """How many ranges let one of them differ in one element at most, and some more, so that empty ones can be left out."""
     return -int(-SLACK * (differences + 1) / 2 // 1) + 1
@@ -100,8 +116,8 @@ def _in_band(found: np.ndarray, number: int) -> np.ndarray:
         key = mix((np.arange(3 * t, dtype=U) + U(number << 40)) * U(0xD1342543DE82EF95)).reshape(t, 3)
         out = np.stack([mix(key[:, k] + part[:, k] * odd(11) + part[:, (k + 1) % 3] * odd(12)) for k in range(3)], axis=1)
     safe = np.cumsum(full.sum(axis=1) >= 2)
-    least = np.arange(int(0.8 * size) // 4, size // 4 + 1)  # differences that a pair of this set may have at most
-    if (safe[np.minimum(t, [ranges_for(int(k)) for k in (least if len(least) < 64 else least)]) - 1] > least // 2).all():
+    most = np.arange(int(0.8 * size) // 4, size // 4 + 1)  # differences that a pair of this set may have at most
+    if (safe[np.minimum(t, np.ceil(SLACK * (most + 1) / 2).astype(int) + 1) - 1] > most // 2).all():
         out = out[full | np.roll(full, -1, axis=1)]
     return out.ravel()
 
@@ -118,8 +134,8 @@ def signatures(found: np.ndarray) -> np.ndarray:
 
 
 _PAIR = np.dtype([("sig", "<u8"), ("node", "<i8")])
-_OUT = pa.schema([("part", pa.int32()), ("block", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("size", pa.int64())])
-_OUT_SQL = "part int, block binary, doc_id long, row long, node long, size long"
+_OUT = pa.schema([("part", pa.int32()), ("block", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary())])
+_OUT_SQL = "part int, block binary, doc_id long, row long, node long, size long, sketch binary"
 
 
 def _signed(parts: int):
@@ -136,14 +152,14 @@ def _signed(parts: int):
             full = np.flatnonzero(np.diff(at))
             blocks = [pairs[at[p] : at[p + 1]].tobytes() for p in full]
             none = pa.nulls(len(full), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blocks, pa.binary()), none, none, none, none], schema=_OUT)
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blocks, pa.binary()), none, none, none, none, pa.nulls(len(full), pa.binary())], schema=_OUT)
 
         for batch in batches:
             info = []
             for text in batch.column("text"):
                 found = shingles(text.as_py())
                 node = fingerprint(found)
-                info.append((node, len(found)))
+                info.append((node, len(found), sketch(found)))
                 if len(found) >= 4 and node not in seen:
                     seen.add(node)
                     sig = np.unique(signatures(found))
@@ -156,15 +172,15 @@ def _signed(parts: int):
             rows = batch.column("row")
             part = pa.array((rows.to_numpy() % parts).astype(np.int32))
             node, size = (pa.array([x[i] for x in info], pa.int64()) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([part, pa.nulls(len(info), pa.binary()), batch.column("doc_id"), rows, node, size], schema=_OUT)
+            yield pa.RecordBatch.from_arrays([part, pa.nulls(len(info), pa.binary()), batch.column("doc_id"), rows, node, size, pa.array([x[2] for x in info], pa.binary())], schema=_OUT)
         if held:
             yield flush()
 
     return run
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.binary())])
-_FOUND_SQL = "doc_id long, row long, node long, size long, a long, b long, bucket binary"
+_FOUND = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.binary())])
+_FOUND_SQL = "doc_id long, row long, node long, size long, sketch binary, a long, b long, bucket binary"
 
 
 def _distinct(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -201,15 +217,15 @@ def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = batch.filter(pa.compute.invert(has))
         if len(rest):
             none = pa.nulls(len(rest), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(rest.column(x) for x in ("doc_id", "row", "node", "size")), none, none, pa.nulls(len(rest), pa.binary())], schema=_FOUND)
+            yield pa.RecordBatch.from_arrays([*(rest.column(x) for x in ("doc_id", "row", "node", "size", "sketch")), none, none, pa.nulls(len(rest), pa.binary())], schema=_FOUND)
     found, large = bucket_pairs(np.concatenate(blocks)) if blocks else (np.zeros((0, 2), "int64"), [])
     for lo in range(0, len(found), 100_000):
         x = found[lo : lo + 100_000]
         none = pa.nulls(len(x), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(x[:, 0]), pa.array(x[:, 1]), pa.nulls(len(x), pa.binary())], schema=_FOUND)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(x), pa.binary()), pa.array(x[:, 0]), pa.array(x[:, 1]), pa.nulls(len(x), pa.binary())], schema=_FOUND)
     if large:
         none = pa.nulls(len(large), pa.int64())
-        yield pa.RecordBatch.from_arrays([none] * 6 + [pa.array([x.tobytes() for x in large], pa.binary())], schema=_FOUND)
+        yield pa.RecordBatch.from_arrays([none] * 4 + [pa.nulls(len(large), pa.binary()), none, none, pa.array([x.tobytes() for x in large], pa.binary())], schema=_FOUND)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +249,59 @@ def _similar(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([test(x, y) for x, y in zip(left, right, strict=True)], dtype=bool)
 
 
-def _unpacked(bucket):
+@F.pandas_udf(T.BooleanType())
+def _possible(left: pd.Series, right: pd.Series, left_size: pd.Series, right_size: pd.Series) -> pd.Series:
+    def test(x, y, n, m) -> bool:
+        if 5 * min(n, m) < 4 * max(n, m):
+            return False
+        a, b = _counts([x, y])
+        return 9 * int(np.abs(a - b).sum()) <= n + m
+
+    return pd.Series([test(*x) for x in zip(left, right, left_size, right_size, strict=True)], dtype=bool)
+
+
+def near_pairs(left: np.ndarray, right: np.ndarray, size: np.ndarray, counts: np.ndarray, component: np.ndarray, most: int) -> list[tuple[int, int, bool]]:
+    """(left, right, whether more were left out) for the possible, not connected pairs of two blocks of positions, up to `most` for each left one, nearest first."""
+    out = []
+    step = max(1, (1 << 22) // max(1, len(right) * counts.shape[1]))
+    for lo in range(0, len(left), step):
+        part = left[lo : lo + step]
+        apart = np.abs(counts[part][:, None, :] - counts[right][None, :, :]).sum(axis=2, dtype=np.int64)
+        near = (9 * apart <= size[part][:, None] + size[right][None, :]) & (component[part][:, None] != component[right][None, :])
+        for i in np.flatnonzero(near.any(axis=1)):
+            at = np.flatnonzero(near[i])
+            at = at[np.argsort(apart[i, at], kind="stable")]
+            out += [(part[i], right[k], len(at) > most) for k in at[:most]]
+    return out
+
+
+def _nearest(most: int):
+    """Pairs of all blocks of a partition, which is sorted by bucket and block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in chain(batches, [None]):
+            table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if table is None or not len(table):
+                continue
+            key = np.stack([table[x].to_numpy() for x in ("bucket", "i", "j")], axis=1)
+            ends = np.append(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(key))
+            if batch is not None:  # the last block may go on in the next batch
+                rest, ends = table.slice(ends[-2] if len(ends) > 1 else 0), ends[:-1]
+            found = []
+            node, size, component = (table[x].to_numpy() for x in ("node", "size", "component"))
+            is_left, sketches = table["left"].to_numpy(), table["sketch"]
+            for lo, hi in zip([0, *ends[:-1]], ends, strict=True) if len(ends) else ():
+                side, counts = is_left[lo:hi], _counts([x.as_py() for x in sketches.slice(lo, hi - lo)]).astype(np.int16)
+                pairs = near_pairs(np.flatnonzero(side), np.flatnonzero(~side), size[lo:hi], counts, component[lo:hi], most)
+                found += [(*sorted((int(node[lo + a]), int(node[lo + b]))), more) for a, b, more in pairs]
+            found = sorted(set(found))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.bool_())], names=["a", "b", "more"])
+
+    return run
+
+
+def _unpacked(buckets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column("bucket"):
@@ -241,43 +309,62 @@ def _unpacked(bucket):
                 key = xxhash.xxh3_64_intdigest(raw.as_py()) - (1 << 63)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), key)), pa.array(nodes)], names=["bucket", "node"])
 
-    return bucket.mapInArrow(run, "bucket long, node long").distinct()
+    return buckets.mapInArrow(run, "bucket long, node long").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, keyed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. The sets are made anew from the texts, one of each node."""
+    used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    used = stored(nodes.join(used, "node", "left_semi").select(F.col("row").alias("r"), "node"), "ngram-used")
+    texts = keyed.join(small_or_not(used), F.col("row") == F.col("r")).select("node", "text")
+    sets = texts.mapInArrow(_sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = stored(sets, "ngram-sets")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.where(_similar("x", "y")).select("a", "b")
+    links = stored(both.where(_similar("x", "y")).select("a", "b"), "ngram-links")
+    drop_stored(sets, used)
+    return links
+
+
+def _in_blocks(inside: DataFrame) -> DataFrame:
+    """Members of buckets, dealt to pairs of blocks of at most about BLOCK of them."""
+    sizes = stored(inside.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("n")), "ngram-sizes")
+    rows = inside.join(small_or_not(sizes), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "n"))
+    fields = ["bucket", "node", "size", "sketch", "component"]
+    left = rows.select(*fields, F.lit(True).alias("left"), F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("n") - 1)).alias("j"))
+    right = rows.select(*fields, F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("i"), F.col("block").alias("j"))
+    return left.unionByName(right)
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
     """doc_id, row (a key of the row's content), node (of its set), n_shingles, component_id of each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    parts = partitions(spark)
+    parts = partitions(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long"), row_key("doc_id", "text").alias("row"), "text")
     dealt = keyed.mapInArrow(_signed(4 * parts), _OUT_SQL).repartition(parts, "part")
     found = stored(dealt.mapInArrow(_bucketed, _FOUND_SQL), "ngram-found")
     rows = found.where("row is not null").select("doc_id", "row", "node", "size")
-    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")), "ngram-nodes")
-    pairs = stored(found.where("a is not null").select("a", "b").distinct(), "ngram-pairs")
-    buckets = found.where("bucket is not null").select("bucket")
-    used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(_unpacked(buckets).select("node")).distinct()
-    used = stored(nodes.join(used, "node", "left_semi").select(F.col("row").alias("r"), "node"), "ngram-used")
-    texts = keyed.join(small_or_not(used), F.col("row") == F.col("r")).select("node", "text")
-    sets = stored(texts.mapInArrow(_sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "ngram-sets")
-    links = stored(_verified(pairs, sets), "ngram-links")
+    whole = found.where("row is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    nodes = stored(whole, "ngram-nodes")
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}"))
+    pairs = found.where("a is not null").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    tried = stored(pairs.where(_possible("sketch_a", "sketch_b", "size_a", "size_b")).select("a", "b"), "ngram-pairs")
+    links = _verified(tried, keyed, nodes)
     component = stored(connected_components(links), "ngram-components")
-    # Large buckets: what their least sets have not connected is tried pair by pair.
-    inside = _unpacked(buckets).join(component, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    inside = stored(inside, "ngram-buckets")
-    mixed = inside.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    inside = inside.join(mixed, "bucket", "left_semi")
-    other = inside.select("bucket", F.col("node").alias("other"), F.col("component").alias("its"))
-    more = inside.join(other, "bucket").where("component < its").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "ngram-more")
-    if not more.isEmpty():
-        links = links.unionByName(stored(_verified(more, sets), "ngram-more-links"))
-        component = stored(connected_components(links), "ngram-components")
+    members = stored(_unpacked(found.where("bucket is not null").select("bucket")), "ngram-members")
+    for most in ROUNDS:
+        # Large buckets: of what is not connected yet, the nearest by sketch, then more of them.
+        inside = stored(members.join(component, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "ngram-inside")
+        mixed = inside.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+        blocks = _in_blocks(inside.join(mixed, "bucket", "left_semi").join(nodes.select("node", "size", "sketch"), "node"))
+        blocks = blocks.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        near = stored(blocks.mapInArrow(_nearest(most), "a long, b long, more boolean"), "ngram-near")
+        new = stored(near.groupBy("a", "b").agg(F.max("more").alias("more")).join(tried, ["a", "b"], "left_anti"), "ngram-new")
+        if not new.isEmpty():
+            tried = tried.unionByName(new.select("a", "b"))
+            links = links.unionByName(_verified(new.select("a", "b"), keyed, nodes))
+            component = stored(connected_components(links), "ngram-components")
+        if near.where("more").isEmpty():
+            break
     joined = nodes.join(component, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     least = stored(joined.groupBy("component").agg(F.min("least").alias("component_id")), "ngram-least")
     named = stored(joined.join(least, "component").select(F.col("node").alias("m"), "component_id"), "ngram-named")
