@@ -36,7 +36,7 @@ from .hashing import U, WordHashes, mix, odd
 from .shared import drop_stored, partitions, row_key, small_or_not, stored
 
 WIDTH, SMALL, STAR, GROWTH, SLACK = 5, 13, 4, 1.6, 1.3
-FLUSH, BLOCK, ROUNDS = 1 << 21, 2000, (4, 1 << 60)
+FLUSH, BLOCK, ROUNDS = 1 << 21, 2000, (8, 1 << 60)
 _words = WordHashes()
 
 
@@ -50,7 +50,9 @@ def shingles(text: str | None) -> np.ndarray:
         total = np.full(len(words) - width + 1, U(width))
         for j in range(width):
             total += words[j : len(words) - width + 1 + j] * odd(j)
-    return np.unique(mix(total))
+    total = mix(total)
+    total.sort()
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
 def fingerprint(found: np.ndarray) -> int:
@@ -66,8 +68,11 @@ def sketch(found: np.ndarray) -> bytes:
 
 def _counts(sketches: list[bytes]) -> np.ndarray:
     """Sketches as rows of one width; a wider one is folded, and stays a lower bound where it was cut at 255."""
-    width = min(map(len, sketches))
-    return np.stack([np.frombuffer(x, dtype=np.uint8).astype(np.int32).reshape(width, -1).sum(axis=1) for x in sketches])
+    lengths = set(map(len, sketches))
+    width = min(lengths)
+    if len(lengths) == 1:
+        return np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(-1, width).astype(np.int16)
+    return np.stack([np.frombuffer(x, dtype=np.uint8).reshape(width, -1).sum(axis=1, dtype=np.int16) for x in sketches])
 
 
 def ranges_for(differences: int) -> int:
@@ -97,6 +102,14 @@ def _subsets(found: np.ndarray) -> np.ndarray:
     return mix(np.concatenate(out))
 
 
+@lru_cache(maxsize=None)
+def _geometry(number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the thirds of a band's ranges, and what tells its signatures apart by their place."""
+    ranges = bands()[number][2]
+    edges = np.minimum(np.arange(1, 3 * ranges + 1) * (2.0**64 / (3 * ranges)), 2.0**64 - 2048).astype(U)
+    return edges, mix((np.arange(3 * ranges, dtype=U) + U(number << 40)) * U(0xD1342543DE82EF95)).reshape(ranges, 3)
+
+
 def _in_band(found: np.ndarray, number: int) -> np.ndarray:
     """Signatures of a set in one band."""
     low, high, ranges = bands()[number]
@@ -104,8 +117,8 @@ def _in_band(found: np.ndarray, number: int) -> np.ndarray:
         return _subsets(found)
     size = len(found)
     t = min(ranges, ranges_for(size // 4))
-    edges = (np.arange(1, 3 * t + 1) * (2.0**64 / (3 * ranges))).astype(np.float64)
-    ends = np.searchsorted(found, np.minimum(edges, 2.0**64 - 2048).astype(U))
+    edges, keys = _geometry(number)
+    ends = np.searchsorted(found, edges[: 3 * t])
     if t == ranges:
         ends[-1] = size
     sums = np.zeros(size + 1, dtype=U)
@@ -113,12 +126,11 @@ def _in_band(found: np.ndarray, number: int) -> np.ndarray:
         np.cumsum(mix(found ^ U(0x5A5A5A5A)), dtype=U, out=sums[1:])
         starts = np.concatenate([[0], ends[:-1]])
         part, full = (sums[ends] - sums[starts]).reshape(t, 3), (ends > starts).reshape(t, 3)
-        key = mix((np.arange(3 * t, dtype=U) + U(number << 40)) * U(0xD1342543DE82EF95)).reshape(t, 3)
-        out = np.stack([mix(key[:, k] + part[:, k] * odd(11) + part[:, (k + 1) % 3] * odd(12)) for k in range(3)], axis=1)
+        out = mix(keys[:t] + part * odd(11) + part[:, [1, 2, 0]] * odd(12))
     safe = np.cumsum(full.sum(axis=1) >= 2)
     most = np.arange(int(0.8 * size) // 4, size // 4 + 1)  # differences that a pair of this set may have at most
     if (safe[np.minimum(t, np.ceil(SLACK * (most + 1) / 2).astype(int) + 1) - 1] > most // 2).all():
-        out = out[full | np.roll(full, -1, axis=1)]
+        out = out[full | full[:, [1, 2, 0]]]
     return out.ravel()
 
 
@@ -162,7 +174,7 @@ def _signed(parts: int):
                 info.append((node, len(found), sketch(found)))
                 if len(found) >= 4 and node not in seen:
                     seen.add(node)
-                    sig = np.unique(signatures(found))
+                    sig = signatures(found)
                     sigs.append(sig)
                     nodes.append(np.full(len(sig), node))
                     held += len(sig)
@@ -263,20 +275,29 @@ def _possible(left: pd.Series, right: pd.Series, left_size: pd.Series, right_siz
 def near_pairs(left: np.ndarray, right: np.ndarray, size: np.ndarray, counts: np.ndarray, component: np.ndarray, most: int) -> list[tuple[int, int, bool]]:
     """(left, right, whether more were left out) for the possible, not connected pairs of two blocks of positions, up to `most` for each left one, nearest first."""
     out = []
-    step = max(1, (1 << 22) // max(1, len(right) * counts.shape[1]))
+    coarse = counts.reshape(len(counts), 16, -1).sum(axis=2, dtype=np.int16)  # a weaker bound for a first look
+    step = max(1, (1 << 21) // max(1, len(right) * 16))
     for lo in range(0, len(left), step):
         part = left[lo : lo + step]
-        apart = np.abs(counts[part][:, None, :] - counts[right][None, :, :]).sum(axis=2, dtype=np.int64)
-        near = (9 * apart <= size[part][:, None] + size[right][None, :]) & (component[part][:, None] != component[right][None, :])
-        for i in np.flatnonzero(near.any(axis=1)):
-            at = np.flatnonzero(near[i])
-            at = at[np.argsort(apart[i, at], kind="stable")]
-            out += [(part[i], right[k], len(at) > most) for k in at[:most]]
-    return out
+        near = component[part][:, None] != component[right][None, :]
+        near &= 9 * np.abs(coarse[part][:, None, :] - coarse[right][None, :, :]).sum(axis=2, dtype=np.int32) <= size[part][:, None] + size[right][None, :]
+        rows, cols = np.nonzero(near)
+        for at in range(0, len(rows), 1 << 14):
+            i, j = part[rows[at : at + (1 << 14)]], right[cols[at : at + (1 << 14)]]
+            apart = np.abs(counts[i] - counts[j]).sum(axis=1, dtype=np.int32)
+            good = 9 * apart <= size[i] + size[j]
+            out.append(np.stack([i[good], apart[good], j[good]], axis=1))
+    found = np.concatenate(out) if out else np.zeros((0, 3), dtype=np.int64)
+    found = found[np.lexsort((found[:, 1], found[:, 0]))]
+    new = np.flatnonzero(np.concatenate([[True], found[1:, 0] != found[:-1, 0]])) if len(found) else np.zeros(0, dtype=np.int64)
+    count = np.diff(np.append(new, len(found)))
+    rank = np.arange(len(found)) - np.repeat(new, count)
+    keep = rank < most
+    return list(zip(found[keep, 0].tolist(), found[keep, 2].tolist(), np.repeat(count > most, count)[keep].tolist(), strict=True))
 
 
 def _nearest(most: int):
-    """Pairs of all blocks of a partition, which is sorted by bucket and block."""
+    """Pairs (a, b) of all blocks of a partition, which is sorted by bucket and block; and in `more` the buckets that have others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -288,15 +309,16 @@ def _nearest(most: int):
             ends = np.append(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(key))
             if batch is not None:  # the last block may go on in the next batch
                 rest, ends = table.slice(ends[-2] if len(ends) > 1 else 0), ends[:-1]
-            found = []
+            found, cut = [], set()
             node, size, component = (table[x].to_numpy() for x in ("node", "size", "component"))
             is_left, sketches = table["left"].to_numpy(), table["sketch"]
             for lo, hi in zip([0, *ends[:-1]], ends, strict=True) if len(ends) else ():
-                side, counts = is_left[lo:hi], _counts([x.as_py() for x in sketches.slice(lo, hi - lo)]).astype(np.int16)
+                side, counts = is_left[lo:hi], _counts(sketches.slice(lo, hi - lo).to_pylist())
                 pairs = near_pairs(np.flatnonzero(side), np.flatnonzero(~side), size[lo:hi], counts, component[lo:hi], most)
-                found += [(*sorted((int(node[lo + a]), int(node[lo + b]))), more) for a, b, more in pairs]
-            found = sorted(set(found))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.bool_())], names=["a", "b", "more"])
+                found += [(*sorted((int(node[lo + a]), int(node[lo + b]))), None) for a, b, _ in pairs]
+                cut |= {int(key[lo, 0])} if any(x[2] for x in pairs) else set()
+            found = [*sorted(set(found)), *((None, None, x) for x in cut)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(3)], names=["a", "b", "more"])
 
     return run
 
@@ -357,14 +379,16 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         mixed = inside.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
         blocks = _in_blocks(inside.join(mixed, "bucket", "left_semi").join(nodes.select("node", "size", "sketch"), "node"))
         blocks = blocks.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        near = stored(blocks.mapInArrow(_nearest(most), "a long, b long, more boolean"), "ngram-near")
-        new = stored(near.groupBy("a", "b").agg(F.max("more").alias("more")).join(tried, ["a", "b"], "left_anti"), "ngram-new")
+        near = stored(blocks.mapInArrow(_nearest(most), "a long, b long, more long"), "ngram-near")
+        new = stored(near.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "ngram-new")
         if not new.isEmpty():
-            tried = tried.unionByName(new.select("a", "b"))
-            links = links.unionByName(_verified(new.select("a", "b"), keyed, nodes))
+            tried = tried.unionByName(new)
+            links = links.unionByName(_verified(new, keyed, nodes))
             component = stored(connected_components(links), "ngram-components")
-        if near.where("more").isEmpty():
+        cut = near.where("more is not null").select(F.col("more").alias("bucket")).distinct()
+        if cut.isEmpty():
             break
+        members = members.join(cut, "bucket", "left_semi")
     joined = nodes.join(component, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     least = stored(joined.groupBy("component").agg(F.min("least").alias("component_id")), "ngram-least")
     named = stored(joined.join(least, "component").select(F.col("node").alias("m"), "component_id"), "ngram-named")

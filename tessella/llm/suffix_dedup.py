@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .hashing import U, Ranges, mix, odd
 from .induced import common_prefixes, suffix_array
-from .shared import partitions, row_key, small_or_not, stored
+from .shared import partitions, row_key, stored
 
 LENGTH, BATCH, SORTED = 400, 1 << 20, 1 << 20
 _CONTEXT = np.dtype([("gram", "<u8"), ("hash", "<u8"), ("row", "<i8"), ("start", "<u4"), ("more", "<u2"), ("lead", "<u2")])
@@ -236,7 +236,7 @@ def covered_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = stored(sent.mapInArrow(_classified, _SPAN_SQL), "suffix-contexts")
     asks = found.where(F.col("kind") != COVERED).groupBy("row").agg(F.collect_list(F.struct("gram", "start", "more", "kind")).alias("asks"))
     asks = stored(asks.withColumnRenamed("row", "r"), "suffix-asks")
-    wanted = _keyed(docs).join(small_or_not(asks, 20_000), F.col("row") == F.col("r")).select("text", "row", "asks")
+    wanted = _keyed(docs).join(asks, F.col("row") == F.col("r")).select("text", "row", "asks")
     shards = wanted.mapInArrow(_bytes_of(4 * parts, length), "part int, block binary").repartition(parts, "part")
     answers = shards.mapInArrow(_sorted(length), _SPAN_SQL)
     spans = found.where(F.col("kind") == COVERED).unionByName(answers).groupBy("row").agg(F.collect_list(F.struct("start", "more")).alias("spans"))
