@@ -5,8 +5,9 @@ a set of s shingles signs the first t of them, where t exceeds half of s / 4 + 1
 each two of the three are enumerated: one of these three signatures agrees. A set signs in its own band and, if a partner may be there, in the next one. Sets of up to
 SMALL shingles sign all their subsets that lack up to two elements instead.
 
-A signature of empty ranges is left out where a set has so many ranges with elements in two parts that one of these must agree with any partner; only pairs of
-which neither is such a set need the empty ones, and both have them.
+d differences in t ranges change t + d of the 3 t signatures at most, so a pair agrees in 2 t - d or more. Where that is more than the signatures of empty parts that a set has, it leaves those out; of the
+c agreements that are certain beyond them it may lose (c - 1) / 2 more, as may its partner, and one is left. A set gives up that many of its places in the largest buckets, those that passages shared by
+many texts make.
 
 Signatures travel as packed blocks, one for each batch and target partition. Sets that share one become a candidate pair; in buckets of more than STAR sets only pairs with the least set are
 tried first. Passages that many texts share fill buckets with texts that are not similar, so every set also has a sketch, its counts in equal ranges of the hashes: the sum of differences of two
@@ -19,6 +20,7 @@ null doc_id counts as larger than all others; an empty table gives an empty tabl
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -27,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +38,7 @@ from .hashing import U, WordHashes, mix, odd
 from .shared import drop_stored, partitions, row_key, small_or_not, stored
 
 WIDTH, SMALL, STAR, GROWTH, SLACK = 5, 13, 4, 1.6, 1.3
-FLUSH, BLOCK, ROUNDS = 1 << 21, 2000, (8, 1 << 60)
+FLUSH, BLOCK, ROUNDS = 1 << 19, 2000, (8, 1 << 60)
 _words = WordHashes()
 
 
@@ -110,11 +112,11 @@ def _geometry(number: int) -> tuple[np.ndarray, np.ndarray]:
     return edges, mix((np.arange(3 * ranges, dtype=U) + U(number << 40)) * U(0xD1342543DE82EF95)).reshape(ranges, 3)
 
 
-def _in_band(found: np.ndarray, number: int) -> np.ndarray:
-    """Signatures of a set in one band."""
+def _in_band(found: np.ndarray, number: int) -> tuple[np.ndarray, int]:
+    """Signatures of a set in one band, and how many of them it can do without."""
     low, high, ranges = bands()[number]
     if not ranges:
-        return _subsets(found)
+        return _subsets(found), 0
     size = len(found)
     t = min(ranges, ranges_for(size // 4))
     edges, keys = _geometry(number)
@@ -127,14 +129,15 @@ def _in_band(found: np.ndarray, number: int) -> np.ndarray:
         starts = np.concatenate([[0], ends[:-1]])
         part, full = (sums[ends] - sums[starts]).reshape(t, 3), (ends > starts).reshape(t, 3)
         out = mix(keys[:t] + part * odd(11) + part[:, [1, 2, 0]] * odd(12))
-    safe = np.cumsum(full.sum(axis=1) >= 2)
+    empty = ~(full | full[:, [1, 2, 0]])
     most = np.arange(int(0.8 * size) // 4, size // 4 + 1)  # differences that a pair of this set may have at most
-    if (safe[np.minimum(t, np.ceil(SLACK * (most + 1) / 2).astype(int) + 1) - 1] > most // 2).all():
-        out = out[full | full[:, [1, 2, 0]]]
-    return out.ravel()
+    first = np.minimum(t, np.ceil(SLACK * (most + 1) / 2).astype(int) + 1)
+    certain = int((2 * first - most - np.cumsum(empty.sum(axis=1))[first - 1]).min())
+    return (out[~empty], (certain - 1) // 2) if certain > 0 else (out.ravel(), 0)
 
 
-def signatures(found: np.ndarray) -> np.ndarray:
+def signatures(found: np.ndarray) -> tuple[np.ndarray, int]:
+    """All signatures of a set, and how many of them it can do without."""
     size = len(found)
     out = []
     for number, (low, high, _) in enumerate(bands()):
@@ -142,17 +145,17 @@ def signatures(found: np.ndarray) -> np.ndarray:
             break
         if size <= high and (size >= low or number):
             out.append(_in_band(found, number))
-    return np.concatenate(out) if out else np.zeros(0, dtype=U)
+    return (np.concatenate([x for x, _ in out]), min(spare for _, spare in out)) if out else (np.zeros(0, dtype=U), 0)
 
 
 _PAIR = np.dtype([("sig", "<u8"), ("node", "<i8")])
-_OUT = pa.schema([("part", pa.int32()), ("block", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary())])
-_OUT_SQL = "part int, block binary, doc_id long, row long, node long, size long, sketch binary"
+_OUT = pa.schema([("part", pa.int32()), ("block", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("spare", pa.int64()), ("sketch", pa.binary())])
+_OUT_SQL = "part int, block binary, doc_id long, row long, node long, size long, spare long, sketch binary"
 
 
 def _signed(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, sigs, nodes, held = set(), [], [], 0
+        seen, sigs, nodes, held = {}, [], [], 0
 
         def flush():
             sig, node = np.concatenate(sigs), np.concatenate(nodes)
@@ -164,35 +167,38 @@ def _signed(parts: int):
             full = np.flatnonzero(np.diff(at))
             blocks = [pairs[at[p] : at[p + 1]].tobytes() for p in full]
             none = pa.nulls(len(full), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blocks, pa.binary()), none, none, none, none, pa.nulls(len(full), pa.binary())], schema=_OUT)
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blocks, pa.binary()), none, none, none, none, none, pa.nulls(len(full), pa.binary())], schema=_OUT)
 
         for batch in batches:
             info = []
             for text in batch.column("text"):
                 found = shingles(text.as_py())
                 node = fingerprint(found)
-                info.append((node, len(found), sketch(found)))
-                if len(found) >= 4 and node not in seen:
-                    seen.add(node)
-                    sig = signatures(found)
+                if node not in seen:
+                    sig, seen[node] = signatures(found)
                     sigs.append(sig)
                     nodes.append(np.full(len(sig), node))
                     held += len(sig)
+                info.append((node, len(found), seen[node], sketch(found)))
                 if held > FLUSH:
                     yield flush()
-                    seen, sigs, nodes, held = set(), [], [], 0
+                    seen, sigs, nodes, held = {}, [], [], 0
             rows = batch.column("row")
             part = pa.array((rows.to_numpy() % parts).astype(np.int32))
-            node, size = (pa.array([x[i] for x in info], pa.int64()) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([part, pa.nulls(len(info), pa.binary()), batch.column("doc_id"), rows, node, size, pa.array([x[2] for x in info], pa.binary())], schema=_OUT)
+            node, size, spare = (pa.array([x[i] for x in info], pa.int64()) for i in range(3))
+            yield pa.RecordBatch.from_arrays([part, pa.nulls(len(info), pa.binary()), batch.column("doc_id"), rows, node, size, spare, pa.array([x[3] for x in info], pa.binary())], schema=_OUT)
         if held:
             yield flush()
 
     return run
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.binary())])
-_FOUND_SQL = "doc_id long, row long, node long, size long, sketch binary, a long, b long, bucket binary"
+_FOUND = pa.schema([*(_OUT.field(x) for x in ("doc_id", "row", "node", "size", "spare", "sketch")), ("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.binary()), ("times", pa.int64())])
+_FOUND_SQL = "doc_id long, row long, node long, size long, spare long, sketch binary, a long, b long, bucket binary, times long"
+
+
+def _found(count: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(count, f.type) for f in _FOUND], schema=_FOUND)
 
 
 def _distinct(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -202,8 +208,8 @@ def _distinct(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return order[np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])] if len(order) else order
 
 
-def bucket_pairs(pairs: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Candidates (n x 2) of the packed (sig, node) pairs of a partition, and the different buckets of more than STAR sets."""
+def bucket_pairs(pairs: np.ndarray) -> tuple[np.ndarray, Counter]:
+    """Candidates (n x 2) of packed (sig, node) pairs, and the different buckets of more than STAR sets with their number."""
     pairs = pairs[_distinct(pairs["sig"], pairs["node"])]
     new = np.concatenate([[True], pairs["sig"][1:] != pairs["sig"][:-1]]) if len(pairs) else np.zeros(0, bool)
     start = np.flatnonzero(new)
@@ -217,27 +223,25 @@ def bucket_pairs(pairs: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     found = np.concatenate(out)
     found = found[found[:, 0] != found[:, 1]]
     found = found[_distinct(found[:, 0], found[:, 1])]
-    large = {pairs["node"][s : s + n].tobytes() for s, n in zip(start[size > STAR], size[size > STAR], strict=True)}
-    return found, [np.frombuffer(x, dtype="<i8") for x in large]
+    return found, Counter(pairs["node"][s : s + n].tobytes() for s, n in zip(start[size > STAR], size[size > STAR], strict=True))
 
 
 def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    blocks = []
+    blocks: dict[int, list[bytes]] = {}
     for batch in batches:
         has = batch.column("block").is_valid()
-        blocks += [np.frombuffer(x.as_py(), dtype=_PAIR) for x in batch.column("block").filter(has)]
+        for part, block in zip(*(batch.column(x).filter(has) for x in ("part", "block")), strict=True):
+            blocks.setdefault(part.as_py(), []).append(block.as_py())
         rest = batch.filter(pa.compute.invert(has))
         if len(rest):
-            none = pa.nulls(len(rest), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(rest.column(x) for x in ("doc_id", "row", "node", "size", "sketch")), none, none, pa.nulls(len(rest), pa.binary())], schema=_FOUND)
-    found, large = bucket_pairs(np.concatenate(blocks)) if blocks else (np.zeros((0, 2), "int64"), [])
-    for lo in range(0, len(found), 100_000):
-        x = found[lo : lo + 100_000]
-        none = pa.nulls(len(x), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(x), pa.binary()), pa.array(x[:, 0]), pa.array(x[:, 1]), pa.nulls(len(x), pa.binary())], schema=_FOUND)
-    if large:
-        none = pa.nulls(len(large), pa.int64())
-        yield pa.RecordBatch.from_arrays([none] * 4 + [pa.nulls(len(large), pa.binary()), none, none, pa.array([x.tobytes() for x in large], pa.binary())], schema=_FOUND)
+            yield _found(len(rest), **{x: rest.column(x) for x in ("doc_id", "row", "node", "size", "spare", "sketch")})
+    for part in list(blocks):  # no signature is in two parts
+        found, large = bucket_pairs(np.frombuffer(b"".join(blocks.pop(part)), dtype=_PAIR))
+        for lo in range(0, len(found), 100_000):
+            x = found[lo : lo + 100_000]
+            yield _found(len(x), a=pa.array(x[:, 0]), b=pa.array(x[:, 1]))
+        if large:
+            yield _found(len(large), bucket=pa.array(list(large), pa.binary()), times=pa.array(list(large.values()), pa.int64()))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,14 +328,24 @@ def _nearest(most: int):
 
 
 def _unpacked(buckets: DataFrame) -> DataFrame:
+    """(bucket, node, sets, times): members of the different buckets, the sets in them and the signatures that made them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in batch.column("bucket"):
+            for raw, times in zip(batch.column("bucket"), batch.column("times"), strict=True):
                 nodes = np.frombuffer(raw.as_py(), dtype="<i8")
                 key = xxhash.xxh3_64_intdigest(raw.as_py()) - (1 << 63)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), key)), pa.array(nodes)], names=["bucket", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(nodes), key), nodes, np.full(len(nodes), len(nodes)), np.full(len(nodes), times.as_py()))], names=["bucket", "node", "sets", "times"])
+
+    rows = buckets.mapInArrow(run, "bucket long, node long, sets long, times long")
+    return rows.groupBy("bucket", "node", "sets").agg(F.sum("times").alias("times"))
+
 
-    return buckets.mapInArrow(run, "bucket long, node long").distinct()
+def _needed(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members without the places in the largest buckets that each set can do without."""
+    largest = Window.partitionBy("node").orderBy(F.col("sets").desc(), "bucket")
+    rows = members.withColumn("upto", F.sum("times").over(largest)).join(nodes.select("node", "spare"), "node")
+    return rows.where("upto > spare").select("bucket", "node")
 
 
 def _verified(pairs: DataFrame, keyed: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -365,14 +379,14 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     dealt = keyed.mapInArrow(_signed(4 * parts), _OUT_SQL).repartition(parts, "part")
     found = stored(dealt.mapInArrow(_bucketed, _FOUND_SQL), "ngram-found")
     rows = found.where("row is not null").select("doc_id", "row", "node", "size")
-    whole = found.where("row is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    whole = found.where("row is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("spare").alias("spare"), F.first("sketch").alias("sketch"))
     nodes = stored(whole, "ngram-nodes")
     side = lambda k: nodes.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}"))
     pairs = found.where("a is not null").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
     tried = stored(pairs.where(_possible("sketch_a", "sketch_b", "size_a", "size_b")).select("a", "b"), "ngram-pairs")
     links = _verified(tried, keyed, nodes)
     component = stored(connected_components(links), "ngram-components")
-    members = stored(_unpacked(found.where("bucket is not null").select("bucket")), "ngram-members")
+    members = stored(_needed(_unpacked(found.where("bucket is not null").select("bucket", "times")), nodes), "ngram-members")
     for most in ROUNDS:
         # Large buckets: of what is not connected yet, the nearest by sketch, then more of them.
         inside = stored(members.join(component, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "ngram-inside")
