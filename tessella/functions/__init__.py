@@ -1 +1 @@
-
+"""Part of tessella."""

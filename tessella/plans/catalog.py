@@ -3,9 +3,420 @@
 from __future__ import annotations
 
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import projection as P
+from ..operators import changes as C
+from ..operators import clusters as K
+from ..operators import tiles as T
+from ..options import ClusterOptions, TileOptions
+from ..shipping import ship
+from ..sources.geojson import read_features, to_geojson
+from ..storage import stored
+from . import fixtures as X
+from .fixtures import PX, PY, SQL_BOXES, SQL_POINTS, SQL_PROJECTED, SQL_TRACKS
+
+OPTIONS = TileOptions()
+CLUSTERS = ClusterOptions(max_zoom=5)
+_queries, _oracle = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _queries[f.__name__] = lambda spark, sf_dir: f(ship(spark), sf_dir)
+        if sql:
+            _oracle[f.__name__] = sql
+        return f
+
+    return add
+
+
 def queries() -> dict:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_oracle)
+
+
+_TILE = "least(greatest(floor({v} * pow(2, z)), 0), pow(2, z) - 1)::INT"
+_BUFFERED = """SELECT p.*, z.z::INT AS z, x.t::INT AS x, y.t::INT AS y FROM pp p, (SELECT unnest({zooms}) AS z) z
+JOIN (SELECT unnest(range(32)) AS t) x ON x.t < pow(2, z.z) AND px * pow(2, z.z) >= x.t - 0.015625 AND px * pow(2, z.z) < x.t + 1.015625
+JOIN (SELECT unnest(range(32)) AS t) y ON y.t < pow(2, z.z) AND py * pow(2, z.z) >= y.t - 0.015625 AND py * pow(2, z.z) < y.t + 1.015625"""
+
+
+def _projected(spark, sf_dir) -> DataFrame:
+    return X.points(spark, sf_dir).withColumn("px", P.project_x(F.col("lon"))).withColumn("py", P.project_y(F.col("lat")))
+
+
+@query(f"WITH {SQL_PROJECTED} SELECT id, round(px, 9) AS x, round(py, 9) AS y FROM pp")
+def point_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _projected(spark, sf_dir).select("id", F.round("px", 9).alias("x"), F.round("py", 9).alias("y"))
+
+
+@query(f"WITH {SQL_POINTS} SELECT id, round(lon, 6) + 0.0 AS lon, round(lat, 6) + 0.0 AS lat FROM gp")
+def point_unproject_roundtrip(spark, sf_dir):
+    back = lambda c: F.round(c, 6) + F.lit(0.0)
+    return _projected(spark, sf_dir).select("id", back(P.unproject_x(F.col("px"))).alias("lon"), back(P.unproject_y(F.col("py"))).alias("lat"))
+
+
+@query(f"WITH {SQL_PROJECTED} SELECT floor(px * 8)::INT AS x, floor(py * 8)::INT AS y, count(*) AS n FROM pp GROUP BY 1, 2")
+def point_tile_counts_z3(spark, sf_dir):
+    at = lambda c: F.floor(F.col(c) * 8).cast("int")
+    return _projected(spark, sf_dir).groupBy(at("px").alias("x"), at("py").alias("y")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SQL_PROJECTED}, b AS ({_BUFFERED.format(zooms='[0, 3, 5]')}) SELECT id, z, x, y, floor(4096 * (px * pow(2, z) - x) + 0.5)::INT AS tx, floor(4096 * (py * pow(2, z) - y) + 0.5)::INT AS ty FROM b")
+def point_tile_quantised(spark, sf_dir):
+    return T.point_tile_features(X.points(spark, sf_dir), OPTIONS, [0, 3, 5]).select("id", "z", "x", "y", "tx", "ty")
+
+
+_PYRAMID = f"WITH {SQL_PROJECTED}, b AS ({_BUFFERED.format(zooms='[0, 1, 2, 3, 4, 5]')}), c AS (SELECT z, x, y, count(*) AS num_points FROM b GROUP BY ALL)"
+
+
+def _pyramid(spark, sf_dir) -> DataFrame:
+    return T.point_tile_features(X.points(spark, sf_dir), OPTIONS, list(range(6))).groupBy("z", "x", "y").agg(F.count("*").alias("num_points"))
+
+
+@query(f"{_PYRAMID} SELECT *, (pow(2, z)::BIGINT * y + x) * 32 + z AS tile_id FROM c")
+def point_pyramid_counts(spark, sf_dir):
+    return _pyramid(spark, sf_dir).withColumn("tile_id", P.tile_id(F.col("z"), F.col("x"), F.col("y")))
+
+
+_EAGER = ", ".join(f"e{z} AS (SELECT c.* FROM c JOIN e{z - 1} p ON c.z = {z} AND c.x // 2 = p.x AND c.y // 2 = p.y WHERE p.num_points > 150)" for z in range(1, 6))
+
+
+@query(f"{_PYRAMID}, e0 AS (SELECT * FROM c WHERE z = 0), {_EAGER} " + " UNION ALL ".join(f"SELECT * FROM e{z}" for z in range(6)))
+def point_pyramid_eager(spark, sf_dir):
+    return T.eager_tiles(stored(_pyramid(spark, sf_dir), "pyramid"), TileOptions(index_max_points=150))
+
+
+@query(f"{_PYRAMID}, t AS (SELECT 0 AS z, 0 AS x, 0 AS y UNION ALL SELECT z + 1, 2 * x + i, 2 * y + j FROM c, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j) WHERE z < 5) SELECT t.z::INT AS z, t.x::INT AS x, t.y::INT AS y, c.z IS NULL AS empty FROM t LEFT JOIN c USING (z, x, y)")
+def tile_null_vs_empty(spark, sf_dir):
+    counters = _pyramid(spark, sf_dir).withColumnRenamed("num_points", "num_features")
+    return T.existing_tiles(stored(counters, "pyramid"), 5).select(*[F.col(c).cast("int").alias(c) for c in ("z", "x", "y")], "empty")
+
+
+@query(f"{_PYRAMID} SELECT p.z, p.x, p.y, p.num_points, sum(c.num_points)::BIGINT AS in_children FROM c p JOIN c ON c.z = p.z + 1 AND c.x // 2 = p.x AND c.y // 2 = p.y GROUP BY ALL")
+def tile_parent_child(spark, sf_dir):
+    rows = stored(_pyramid(spark, sf_dir), "pyramid")
+    child = rows.groupBy((F.col("z") - 1).alias("z"), F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y")).agg(F.sum("num_points").alias("in_children"))
+    return rows.join(child, ["z", "x", "y"])
+
+
+@query(f"""WITH {SQL_POINTS}, w AS (SELECT id, CASE id % 10 WHEN 0 THEN lon + 360 WHEN 1 THEN lon - 360 ELSE lon END AS lon, lat FROM gp), p AS (SELECT id, {PX} AS px FROM w),
+c AS (SELECT id, 0 AS world, px + 1 AS px FROM p WHERE px >= -1.015625 AND px < 0.015625 UNION ALL SELECT id, 1, px FROM p WHERE px >= -0.015625 AND px < 1.015625 UNION ALL SELECT id, 2, px - 1 FROM p WHERE px >= 0.984375 AND px < 2.015625)
+SELECT id, world, round(px, 9) AS x FROM c""")
+def wrap_points(spark, sf_dir):
+    turn = F.when(F.col("id") % 10 == 0, 360.0).when(F.col("id") % 10 == 1, -360.0).otherwise(0.0)
+    rows = X.points(spark, sf_dir).select("id", P.project_x(F.col("lon") + turn).alias("px"))
+    m = OPTIONS.margin
+    bands = F.array(*[F.struct(F.lit(k).alias("world"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(by).alias("by")) for k, lo, hi, by in ((0, -1 - m, m, 1.0), (1, -m, 1 + m, 0.0), (2, 1 - m, 2 + m, -1.0))])
+    rows = rows.withColumn("b", F.explode(bands)).where("px >= b.lo and px < b.hi")
+    return rows.select("id", "b.world", F.round(F.col("px") + F.col("b.by"), 9).alias("x"))
+
+
+@query(f"WITH {SQL_PROJECTED} SELECT user_id AS id, count(*)::INT AS points, CASE WHEN count(*) = 1 THEN 'Point' ELSE 'MultiPoint' END AS kind FROM pp WHERE px >= 0.25 AND px <= 0.3 GROUP BY 1")
+def multipoint_clip(spark, sf_dir):
+    rows = _projected(spark, sf_dir).groupBy(F.col("user_id").alias("id")).agg(F.collect_list("px").alias("xs"))
+    kept = F.filter("xs", lambda x: x.between(0.25, 0.3))
+    return rows.select("id", F.size(kept).alias("points"), F.when(F.size(kept) == 1, "Point").otherwise("MultiPoint").alias("kind")).where("points > 0")
+
+
+_SEGMENTS = f"{SQL_TRACKS}, tp AS (SELECT id, k, {PX} AS px, {PY} AS py FROM tr), sg AS (SELECT *, lag(px) OVER w AS ox, lag(py) OVER w AS oy FROM tp WINDOW w AS (PARTITION BY id ORDER BY k))"
+
+
+@query(f"WITH {_SEGMENTS} SELECT id, count(*)::INT AS vertices, round(coalesce(sum(sqrt((px - ox) * (px - ox) + (py - oy) * (py - oy))), 0), 9) AS length FROM sg GROUP BY id")
+def line_length(spark, sf_dir):
+    pts = F.transform("pts", lambda p: F.struct(P.project_x(p["lon"]).alias("x"), P.project_y(p["lat"]).alias("y")))
+    rows = X.tracks(spark, sf_dir).select("id", pts.alias("p"))
+    step = lambda a, b: F.sqrt((b["x"] - a["x"]) * (b["x"] - a["x"]) + (b["y"] - a["y"]) * (b["y"] - a["y"]))
+    steps = F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p")), step)
+    return rows.select("id", F.size("p").alias("vertices"), F.round(F.aggregate(steps, F.lit(0.0), lambda s, v: s + v), 9).alias("length"))
+
+
+@query(f"WITH {SQL_BOXES}, q AS (SELECT id, {PX.replace('lon', 'west')} AS x0, {PX.replace('lon', 'east')} AS x1, {PY.replace('lat', 'north')} AS y0, {PY.replace('lat', 'south')} AS y1 FROM bb) SELECT id, round((x1 - x0) * (y1 - y0), 12) AS area FROM q")
+def ring_area(spark, sf_dir):
+    b = X.boxes(spark, sf_dir)
+    x0, x1, y0, y1 = P.project_x(F.col("west")), P.project_x(F.col("east")), P.project_y(F.col("north")), P.project_y(F.col("south"))
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    ring = F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1), corner(x0, y0))
+    rows = b.select("id", ring.alias("r"))
+    cross = F.zip_with(F.slice("r", 1, 4), F.slice("r", 2, 4), lambda a, c: a["x"] * c["y"] - c["x"] * a["y"])
+    return rows.select("id", F.round(F.abs(F.aggregate(cross, F.lit(0.0), lambda s, v: s + v)) / 2, 12).alias("area"))
+
+
+@query(f"WITH {_SEGMENTS} SELECT id, round(min(px), 9) AS min_x, round(min(py), 9) AS min_y, round(max(px), 9) AS max_x, round(max(py), 9) AS max_y FROM sg GROUP BY id")
+def feature_bbox(spark, sf_dir):
+    rows = X.tracks(spark, sf_dir)
+    xs, ys = F.transform("pts", lambda p: P.project_x(p["lon"])), F.transform("pts", lambda p: P.project_y(p["lat"]))
+    return rows.select("id", *[F.round(f(v), 9).alias(n) for n, f, v in (("min_x", F.array_min, xs), ("min_y", F.array_min, ys), ("max_x", F.array_max, xs), ("max_y", F.array_max, ys))])
+
+
+@query(f"WITH {SQL_BOXES}, q AS (SELECT id, {PX.replace('lon', 'west')} AS lo, {PX.replace('lon', 'east')} AS hi FROM bb) SELECT id, CASE WHEN lo >= 0.25 AND hi < 0.5 THEN 'accept' WHEN hi < 0.25 OR lo >= 0.5 THEN 'reject' ELSE 'clip' END AS verdict FROM q")
+def bbox_accept_reject(spark, sf_dir):
+    lo, hi = P.project_x(F.col("west")), P.project_x(F.col("east"))
+    return X.boxes(spark, sf_dir).select("id", F.when((lo >= 0.25) & (hi < 0.5), "accept").when((hi < 0.25) | (lo >= 0.5), "reject").otherwise("clip").alias("verdict"))
+
+
+def _texts(rows: DataFrame, geometry) -> DataFrame:
+    return rows.select(F.to_json(F.struct(F.lit("Feature").alias("type"), "id", geometry.alias("geometry"))).alias("value"))
+
+
+def _track_features(spark, sf_dir, options=OPTIONS) -> DataFrame:
+    line = F.struct(F.lit("LineString").alias("type"), F.transform("pts", lambda p: F.array(p["lon"], p["lat"])).alias("coordinates"))
+    return read_features(_texts(X.tracks(spark, sf_dir), line), options)
+
+
+def _box_features(spark, sf_dir) -> DataFrame:
+    ring = F.array(*[F.array(a, b) for a, b in (("west", "south"), ("east", "south"), ("east", "north"), ("west", "north"), ("west", "south"))])
+    return read_features(_texts(X.boxes(spark, sf_dir), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))), OPTIONS)
+
+
+_CLIP = f"""WITH {_SEGMENTS}, s AS (SELECT id, k, ox AS a, px AS b, oy, py, sqrt((px - ox) * (px - ox) + (py - oy) * (py - oy)) AS len FROM sg WHERE ox IS NOT NULL),
+t AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto, sum(len) OVER (PARTITION BY id) AS size,
+  (b < 0.4 AND a >= 0.4) OR (b > 0.6 AND a <= 0.6) AS gone, (a < 0.4 AND b > 0.4) OR (a > 0.6 AND b < 0.6) AS came, k = max(k) OVER (PARTITION BY id) AS last FROM s),
+n AS (SELECT *, coalesce(sum(gone::INT) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS slice FROM t),
+e AS (SELECT id, k, slice, 0 AS o, NULL AS st, NULL AS en FROM n WHERE a >= 0.4 AND a <= 0.6 UNION ALL SELECT id, k, slice, 0, upto + len * ((CASE WHEN a < 0.4 THEN 0.4 ELSE 0.6 END) - a) / (b - a), NULL FROM n WHERE came
+  UNION ALL SELECT id, k, slice, 1, NULL, upto + len * ((CASE WHEN b < 0.4 THEN 0.4 ELSE 0.6 END) - a) / (b - a) FROM n WHERE gone UNION ALL SELECT id, k, slice + gone::INT, 2, NULL, NULL FROM n WHERE last AND b >= 0.4 AND b <= 0.6),
+g AS (SELECT id, slice, count(*)::INT AS vertices, max(st) AS st, max(en) AS en FROM e GROUP BY id, slice), z AS (SELECT id, max(size) AS size FROM t GROUP BY id)"""
+
+
+def _clipped(spark, sf_dir, metrics: bool) -> DataFrame:
+    from ..functions.kernels import clip
+    from ..sources.geojson import row_shape
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                paths = [p for s in clip(row_shape(r), 0.4, 0.6, 0, True) for p in s.paths]
+                whole = r["min_x"] >= 0.4 and r["max_x"] < 0.6
+                rows += [{"id": int(r["id"]), "slice": k, "vertices": len(p.points), "first": p.start / p.size if p.size and not whole else 0.0, "last": p.stop / p.size if p.size and not whole else 1.0} for k, p in enumerate(paths)]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("id", pa.int64()), ("slice", pa.int32()), ("vertices", pa.int32()), ("first", pa.float64()), ("last", pa.float64())]))
+
+    return _track_features(spark, sf_dir).where("size(paths[0].xyz) > 3").mapInArrow(run, "id long, slice int, vertices int, first double, last double")
+
+
+@query(f"{_CLIP} SELECT id, count(*)::INT AS slices, sum(vertices)::BIGINT AS vertices FROM g GROUP BY id")
+def line_axis_clip(spark, sf_dir):
+    return _clipped(spark, sf_dir, False).groupBy("id").agg(F.count("*").cast("int").alias("slices"), F.sum("vertices").alias("vertices"))
+
+
+@query(f"{_CLIP} SELECT id, round(sum(coalesce(en, size) - coalesce(st, 0)) / max(size), 6) AS inside FROM g JOIN z USING (id) WHERE size > 0 GROUP BY id")
+def line_metrics(spark, sf_dir):
+    return _clipped(spark, sf_dir, True).groupBy("id").agg(F.round(F.sum(F.col("last") - F.col("first")), 6).alias("inside"))
+
+
+@query(f"""WITH {SQL_BOXES}, q AS (SELECT id, {PX.replace('lon', 'west')} AS x0, {PX.replace('lon', 'east')} AS x1, {PY.replace('lat', 'north')} AS y0, {PY.replace('lat', 'south')} AS y1 FROM bb),
+t AS (SELECT q.*, x.t AS x, y.t AS y FROM q JOIN (SELECT unnest(range(4)) AS t) x ON x1 >= (x.t - 0.015625) / 4 AND x0 < (x.t + 1.015625) / 4 JOIN (SELECT unnest(range(4)) AS t) y ON y1 >= (y.t - 0.015625) / 4 AND y0 < (y.t + 1.015625) / 4),
+c AS (SELECT id, x, y, greatest(x0, (x - 0.015625) / 4) AS x0, least(x1, (x + 1.015625) / 4) AS x1, greatest(y0, (y - 0.015625) / 4) AS y0, least(y1, (y + 1.015625) / 4) AS y1 FROM t)
+SELECT id, x::INT AS x, y::INT AS y, floor(4096 * (x0 * 4 - x) + 0.5)::INT AS left_, floor(4096 * (x1 * 4 - x) + 0.5)::INT AS right_, floor(4096 * (y0 * 4 - y) + 0.5)::INT AS top_, floor(4096 * (y1 * 4 - y) + 0.5)::INT AS bottom_ FROM c""")
+def box_tile_polygons(spark, sf_dir):
+    rows = T.tile_features(_box_features(spark, sf_dir), TileOptions(tolerance=0), 2).where("z = 2")
+    at = lambda f, k: f(F.transform(F.flatten("geometry"), lambda v: v[k]))
+    return rows.select(F.col("id").cast("long").alias("id"), "x", "y", at(F.array_min, "x").alias("left_"), at(F.array_max, "x").alias("right_"), at(F.array_min, "y").alias("top_"), at(F.array_max, "y").alias("bottom_"))
+
+
+@query(f"WITH {SQL_BOXES} SELECT id::BIGINT AS id, 5 AS vertices, true AS clockwise FROM bb")
+def ring_rewind(spark, sf_dir):
+    rows = T.single_tile(_box_features(spark, sf_dir), 0, 0, 0, TileOptions(tolerance=0, extent=1 << 24)).select(F.col("id").cast("long").alias("id"), F.col("geometry")[0].alias("r"))
+    number = lambda v: v.cast("double")
+    turn = F.aggregate(F.zip_with(F.slice("r", 1, 4), F.slice("r", 2, 4), lambda a, b: number(a["x"]) * number(b["y"]) - number(b["x"]) * number(a["y"])), F.lit(0.0), lambda s, v: s + v)
+    return rows.select("id", F.size("r").alias("vertices"), (turn > 0).alias("clockwise"))
+
+
+@query(f"WITH {_SEGMENTS}, m AS (SELECT id, count(*) AS n, coalesce(sum(sqrt((px - ox) * (px - ox) + (py - oy) * (py - oy))), 0) AS size FROM sg GROUP BY id) SELECT id, n AS points, size < 3.0 / 4096 AS dropped FROM m")
+def tile_tolerance_filter(spark, sf_dir):
+    rows = T.tile_features(_track_features(spark, sf_dir), OPTIONS, 0)
+    return rows.select(F.col("id").cast("long").alias("id"), "points", (F.size("geometry") == 0).alias("dropped"))
+
+
+@query()
+def line_importance(spark, sf_dir):
+    rows = _track_features(spark, sf_dir).select("id", F.explode("paths").alias("p"))
+    z = F.filter("p.xyz", lambda v, i: i % 3 == 2)
+    return rows.select(F.col("id").cast("long").alias("id"), F.size(F.filter(z, lambda v: v > OPTIONS.tolerance_at(5) ** 2)).alias("kept_at_5"))
+
+
+@query("SELECT o_custkey AS id, o_orderstatus AS status, count(*)::INT AS vertices FROM orders GROUP BY ALL")
+def multiline_explode(spark, sf_dir):
+    return X.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("status")).agg(F.count("*").cast("int").alias("vertices"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def id_promote(spark, sf_dir):
+    rows = X.points(spark, sf_dir)
+    texts = rows.select(F.to_json(F.struct(F.lit("Feature").alias("type"), "id", F.struct("event_type").alias("properties"), F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"))).alias("value"))
+    return read_features(texts, TileOptions(promote_id="event_type")).groupBy(F.expr("get_json_object(concat('[', id, ']'), '$[0]')").alias("event_type")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SQL_POINTS} SELECT id, round(lon, 6) + 0.0 AS lon, round(lat, 6) + 0.0 AS lat FROM gp")
+def geojson_export(spark, sf_dir):
+    texts = _texts(X.points(spark, sf_dir), F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")))
+    back = to_geojson(read_features(texts, OPTIONS))
+    at = lambda k: F.round(F.get_json_object("value", f"$.geometry.coordinates[{k}]").cast("double"), 6) + F.lit(0.0)
+    return back.select(F.get_json_object("value", "$.id").cast("long").alias("id"), at(0).alias("lon"), at(1).alias("lat"))
+
+
+@query("SELECT o_custkey AS id, count(*) AS features, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS points FROM orders GROUP BY 1")
+def geometry_collection(spark, sf_dir):
+    o = X.table(spark, sf_dir, "orders")
+    point, line = '{"type":"Point","coordinates":[1,2]}', '{"type":"GeometryCollection","geometries":[{"type":"LineString","coordinates":[[1,2],[3,4]]}]}'
+    parts = o.groupBy(F.col("o_custkey").alias("id")).agg(F.collect_list(F.when(F.col("o_orderkey") % 2 == 0, point).otherwise(line)).alias("g"))
+    texts = parts.select(F.concat(F.lit('{"type":"Feature","id":'), F.col("id").cast("string"), F.lit(',"geometry":{"type":"GeometryCollection","geometries":['), F.array_join("g", ","), F.lit("]}}")).alias("value"))
+    return read_features(texts, OPTIONS).groupBy(F.col("id").cast("long").alias("id")).agg(F.count("*").alias("features"), F.count_if(F.col("kind") == "Point").alias("points"))
+
+
+@query()
+def one_shot_tile(spark, sf_dir):
+    rows = T.single_tile(_track_features(spark, sf_dir), 3, 4, 3, TileOptions(clip=True, wrap=True))
+    return rows.select(F.col("id").cast("long").alias("id"), "type", F.size("geometry").alias("lines"), "points")
+
+
+def _nodes(spark, sf_dir) -> DataFrame:
+    points = K.load_points(X.points(spark, sf_dir), "id")
+    return stored(K.build_clusters(points, CLUSTERS, "value"), "nodes")
+
+
+_LEVELS = "(SELECT unnest(range(7))::INT AS z)"
+
+
+@query(f"SELECT z, (SELECT count(*) FROM events)::BIGINT AS points FROM {_LEVELS}")
+def cluster_levels_total(spark, sf_dir):
+    return _nodes(spark, sf_dir).groupBy("z").agg(F.sum("num_points").alias("points"))
+
+
+@query(f"SELECT z, round((SELECT sum(value) FROM events), 2) AS total FROM {_LEVELS}")
+def cluster_reduce_sum(spark, sf_dir):
+    return _nodes(spark, sf_dir).groupBy("z").agg(F.round(F.sum("total"), 2).alias("total"))
+
+
+@query()
+def cluster_nodes(spark, sf_dir):
+    return K.cluster_columns(_nodes(spark, sf_dir))
+
+
+@query()
+def cluster_tile(spark, sf_dir):
+    return K.cluster_tile(_nodes(spark, sf_dir), 2, 0, 1, CLUSTERS)
+
+
+@query()
+def cluster_bbox(spark, sf_dir):
+    return K.get_clusters(_nodes(spark, sf_dir), (150.0, -40.0, 210.0, 40.0), 3, CLUSTERS)
+
+
+@query("SELECT 0::BIGINT AS wrong_parents")
+def cluster_children_sum(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir)
+    below = nodes.where("parent_id is not null").groupBy("parent_id").agg(F.sum("num_points").alias("sum"))
+    own = nodes.where("num_points > 1").groupBy("id").agg(F.max("num_points").alias("n"))
+    return own.join(below, own["id"] == below["parent_id"], "full").select(F.count_if(~F.col("n").eqNullSafe(F.col("sum"))).alias("wrong_parents"))
+
+
+@query()
+def cluster_leaves_page(spark, sf_dir):
+    nodes, total = _nodes(spark, sf_dir), X.table(spark, sf_dir, "events").count()
+    top = nodes.where("z = 0 and num_points > 1").orderBy(F.col("num_points").desc(), "idx").first()
+    return K.leaves(nodes, top.id, total, 20, 5).select("point", "path")
+
+
+_R3 = 40 / (512 * 8)
+
+
+@query(f"WITH {SQL_PROJECTED}, s AS (SELECT id, px::FLOAT::DOUBLE AS x, py::FLOAT::DOUBLE AS y FROM pp) SELECT a.id, count(*) AS near FROM s a JOIN s b ON a.id <> b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {_R3 * _R3!r} AND b.x BETWEEN a.x - {_R3!r} AND a.x + {_R3!r} GROUP BY 1")
+def cluster_neighbours(spark, sf_dir):
+    rows = _projected(spark, sf_dir).select(F.col("id").alias("idx"), *[F.col(f"p{c}").cast("float").cast("double").alias(c) for c in "xy"])
+    return K.near_pairs(rows, _R3).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("near"))
+
+
+@query("SELECT event_id, ((event_id << 5) + event_id % 17 + 1 + 10000)::BIGINT AS cluster_id, event_id AS origin, (event_id % 17 + 1)::INT AS zoom FROM events")
+def cluster_id_codec(spark, sf_dir):
+    n = F.lit(10000).cast("long")
+    rows = X.table(spark, sf_dir, "events").select("event_id", P.cluster_id(F.col("event_id"), F.col("event_id") % 17, n).alias("cluster_id"))
+    return rows.select("*", P.origin_index(F.col("cluster_id"), n).alias("origin"), P.origin_zoom(F.col("cluster_id"), n).alias("zoom"))
+
+
+@query("SELECT o_orderkey, CASE WHEN n >= 10000 THEN floor(n / 1000.0 + 0.5)::BIGINT || 'k' WHEN n >= 1000 THEN CASE WHEN floor(n / 100.0 + 0.5) % 10 = 0 THEN (floor(n / 100.0 + 0.5) / 10)::BIGINT::VARCHAR ELSE floor(floor(n / 100.0 + 0.5) / 10)::BIGINT || '.' || (floor(n / 100.0 + 0.5) % 10)::BIGINT END || 'k' ELSE n::VARCHAR END AS short FROM (SELECT o_orderkey, (o_orderkey * 7 % 30000)::BIGINT AS n FROM orders)")
+def cluster_abbrev(spark, sf_dir):
+    return X.table(spark, sf_dir, "orders").select("o_orderkey", P.abbreviated((F.col("o_orderkey") * 7 % 30000).cast("long")).alias("short"))
+
+
+@query(f"WITH {SQL_PROJECTED} SELECT (count(*) + count(*) FILTER (WHERE px < 0.015625) + count(*) FILTER (WHERE px >= 0.984375))::BIGINT AS points FROM pp")
+def cluster_facade_duplicates(spark, sf_dir):
+    m = OPTIONS.margin
+    copies = F.array_compact(F.array(F.when(F.col("px") < m, 1), F.lit(0), F.when(F.col("px") >= 1 - m, -1)))
+    return _projected(spark, sf_dir).select(F.explode(copies).alias("world")).agg(F.count("*").alias("points"))
+
+
+@query(f"WITH {SQL_POINTS} SELECT id FROM gp WHERE (lon >= 170 OR lon <= -160) AND lat BETWEEN -30 AND 60")
+def bbox_dateline_split(spark, sf_dir):
+    inside = F.lit(False)
+    for w, s, e, n in K.bbox_ranges(170, -30, 200, 60):
+        inside = inside | (F.col("lon").between(w, e) & F.col("lat").between(s, n))
+    return X.points(spark, sf_dir).where(inside).select("id")
+
+
+def _keyed(spark, sf_dir) -> DataFrame:
+    return X.points(spark, sf_dir).select(F.col("id").cast("string").alias("id"), F.col("id").alias("seq"), "lon", "lat", "event_type", "value")
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("id").cast("long").alias("id"), F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "event_type")
+
+
+_SHOWN = "SELECT id, round(lon, 6) AS lon, round(lat, 6) AS lat, event_type FROM"
+
+
+@query(f"WITH {SQL_POINTS} {_SHOWN} gp WHERE id % 10 <> 0")
+def diff_remove(spark, sf_dir):
+    rows = _keyed(spark, sf_dir)
+    return _shown(C.apply_changes(rows, remove=rows.where("seq % 10 = 0").select("id"))[0])
+
+
+@query(f"WITH {SQL_POINTS} SELECT id, round(CASE WHEN id % 10 = 1 THEN lon + 1 ELSE lon END, 6) AS lon, round(lat, 6) AS lat, event_type FROM gp")
+def diff_add_replace(spark, sf_dir):
+    rows = _keyed(spark, sf_dir)
+    return _shown(C.apply_changes(rows, add=rows.where("seq % 10 = 1").withColumn("lon", F.col("lon") + 1))[0])
+
+
+@query(f"WITH {SQL_POINTS} SELECT id, round(lon, 6) AS lon, round(lat, 6) AS lat, CASE WHEN id % 10 = 2 THEN 'patched' ELSE event_type END AS event_type FROM gp")
+def diff_update_props(spark, sf_dir):
+    rows = _keyed(spark, sf_dir)
+    return _shown(C.apply_changes(rows, update=rows.where("seq % 10 = 2").select("id", "seq", F.lit("patched").alias("event_type")))[0])
+
+
+@query(f"WITH {SQL_POINTS} SELECT id, round(CASE WHEN id % 10 = 3 THEN 0.5 ELSE lon END, 6) AS lon, round(lat, 6) AS lat, event_type FROM gp")
+def diff_update_geom(spark, sf_dir):
+    rows = _keyed(spark, sf_dir)
+    return _shown(C.apply_changes(rows, update=rows.where("seq % 10 = 3").select("id", "seq", F.lit(0.5).alias("lon")))[0])
+
+
+@query(f"WITH {SQL_POINTS} {_SHOWN} gp WHERE id % 10 = 4")
+def diff_remove_all(spark, sf_dir):
+    rows = _keyed(spark, sf_dir)
+    return _shown(C.apply_changes(rows, add=rows.where("seq % 10 = 4"), remove_all=True)[0])
+
+
+@query(f"WITH {SQL_POINTS} {_SHOWN} gp WHERE lat >= 0")
+def diff_filter(spark, sf_dir):
+    rows = _keyed(spark, sf_dir)
+    return _shown(C.keep_where(rows, rows.limit(0), F.col("lat") >= 0)[0])
+
+
+@query(f"""WITH {SQL_PROJECTED}, t AS (SELECT z.z::INT AS z, x.t::INT AS x, y.t::INT AS y FROM (SELECT unnest([0, 2, 4]) AS z) z JOIN (SELECT unnest(range(16)) AS t) x ON x.t < pow(2, z.z) JOIN (SELECT unnest(range(16)) AS t) y ON y.t < pow(2, z.z))
+SELECT DISTINCT z, x, y FROM t JOIN (SELECT * FROM pp WHERE id % 97 = 0) p ON px >= (x - 0.015625) / pow(2, z) AND px < (x + 1.015625) / pow(2, z) AND py >= (y - 0.015625) / pow(2, z) AND py < (y + 1.015625) / pow(2, z)""")
+def diff_invalidated_tiles(spark, sf_dir):
+    tiles = None
+    for z in (0, 2, 4):
+        n = 1 << z
+        own = spark.range(n * n).select(F.lit(z).alias("z"), (F.col("id") % n).cast("int").alias("x"), F.floor(F.col("id") / n).cast("int").alias("y"))
+        tiles = own if tiles is None else tiles.unionByName(own)
+    rows = _projected(spark, sf_dir).where("id % 97 = 0")
+    return C.invalidated_tiles(tiles, rows.select(F.col("px").alias("min_x"), F.col("py").alias("min_y"), F.col("px").alias("max_x"), F.col("py").alias("max_y")), OPTIONS)
+
+
