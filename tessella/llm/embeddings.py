@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from ..operators.components import connected_components
 from .shared import small_or_not, stored
 
 COSINE, BLOCK = 0.98, 2000

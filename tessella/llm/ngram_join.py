@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import connected_components
+from ..operators.components import connected_components
 from .hashing import U, WordHashes, mix, odd
 from .shared import drop_stored, partitions, row_key, small_or_not, stored
 

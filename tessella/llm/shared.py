@@ -1,57 +1,16 @@
-"""Helpers that the operators of this subpackage share: durable intermediate tables and small guards."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Rows of a table that may be broadcast: checked by a count before each use (about 64 bytes a row).
-BROADCAST_ROWS = 100_000
-#: A word: what lies between the six white-space characters of ASCII.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
-    global _own_dir
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="tessella-")
-    return _own_dir
-
+from ..storage import drop_stored, partitions, shared_dir, small_or_not, stored
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["WORD", "drop_stored", "partitions", "row_key", "shared_dir", "small_or_not", "stored"]
 
-
-def drop_stored(*frames: DataFrame) -> None:
-    """Delete tables made by stored() once nothing reads them any more."""
-    for df in frames:
-        jvm = df.sparkSession._jvm
-        conf = df.sparkSession._jsc.hadoopConfiguration()
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if shared_dir(df.sparkSession).split("://")[-1].lstrip("/") in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
-
-
-def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark df for a broadcast if a count proves it small; else leave it to a shuffled join, whose skew AQE splits."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def partitions(spark: SparkSession) -> int:
-    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: A word: what lies between the six white-space characters of ASCII.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def row_key(*names: str) -> Column:
