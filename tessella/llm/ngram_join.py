@@ -301,7 +301,7 @@ def near_pairs(left: np.ndarray, right: np.ndarray, size: np.ndarray, counts: np
 
 
 def _nearest(most: int):
-    """Pairs (a, b) of all blocks of a partition, which is sorted by bucket and block; and in `more` the buckets that have others."""
+    """Pairs (a, b) of all blocks of a partition, which is sorted by bucket and block; and (a, more): the left sets, by bucket, that have others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -320,8 +320,8 @@ def _nearest(most: int):
                 side, counts = is_left[lo:hi], _counts(sketches.slice(lo, hi - lo).to_pylist())
                 pairs = near_pairs(np.flatnonzero(side), np.flatnonzero(~side), size[lo:hi], counts, component[lo:hi], most)
                 found += [(*sorted((int(node[lo + a]), int(node[lo + b]))), None) for a, b, _ in pairs]
-                cut |= {int(key[lo, 0])} if any(x[2] for x in pairs) else set()
-            found = [*sorted(set(found)), *((None, None, x) for x in cut)]
+                cut |= {(int(node[lo + a]), None, int(key[lo, 0])) for a, _, more in pairs if more}
+            found = [*sorted(set(found)), *cut]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(3)], names=["a", "b", "more"])
 
     return run
@@ -362,14 +362,16 @@ def _verified(pairs: DataFrame, keyed: DataFrame, nodes: DataFrame) -> DataFrame
     return links
 
 
-def _in_blocks(inside: DataFrame) -> DataFrame:
-    """Members of buckets, dealt to pairs of blocks of at most about BLOCK of them."""
+def _in_blocks(inside: DataFrame, left: DataFrame | None) -> DataFrame:
+    """Members of buckets, dealt to pairs of blocks of at most about BLOCK of them; left (bucket, node): the sets whose pairs are asked for, or None for all."""
     sizes = stored(inside.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("n")), "ngram-sizes")
     rows = inside.join(small_or_not(sizes), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "n"))
     fields = ["bucket", "node", "size", "sketch", "component"]
-    left = rows.select(*fields, F.lit(True).alias("left"), F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("n") - 1)).alias("j"))
-    right = rows.select(*fields, F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("i"), F.col("block").alias("j"))
-    return left.unionByName(right)
+    zero, last = F.lit(0).cast("long"), F.col("n") - 1
+    asking = rows if left is None else rows.join(left, ["bucket", "node"], "left_semi")
+    asking = asking.select(*fields, F.lit(True).alias("left"), F.col("block").alias("i"), F.explode(F.sequence(F.col("block") if left is None else zero, last)).alias("j"))
+    asked = rows.select(*fields, F.lit(False).alias("left"), F.explode(F.sequence(zero, F.col("block") if left is None else last)).alias("i"), F.col("block").alias("j"))
+    return asking.unionByName(asked)
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -387,22 +389,23 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     links = _verified(tried, keyed, nodes)
     component = stored(connected_components(links), "ngram-components")
     members = stored(_needed(_unpacked(found.where("bucket is not null").select("bucket", "times")), nodes), "ngram-members")
+    left = None
     for most in ROUNDS:
         # Large buckets: of what is not connected yet, the nearest by sketch, then more of them.
         inside = stored(members.join(component, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "ngram-inside")
         mixed = inside.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        blocks = _in_blocks(inside.join(mixed, "bucket", "left_semi").join(nodes.select("node", "size", "sketch"), "node"))
+        blocks = _in_blocks(inside.join(mixed, "bucket", "left_semi").join(nodes.select("node", "size", "sketch"), "node"), left)
         blocks = blocks.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
         near = stored(blocks.mapInArrow(_nearest(most), "a long, b long, more long"), "ngram-near")
-        new = stored(near.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "ngram-new")
+        new = stored(near.where("b is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "ngram-new")
         if not new.isEmpty():
             tried = tried.unionByName(new)
             links = links.unionByName(_verified(new, keyed, nodes))
             component = stored(connected_components(links), "ngram-components")
-        cut = near.where("more is not null").select(F.col("more").alias("bucket")).distinct()
-        if cut.isEmpty():
+        left = near.where("more is not null").select(F.col("more").alias("bucket"), F.col("a").alias("node")).distinct()
+        if left.isEmpty():
             break
-        members = members.join(cut, "bucket", "left_semi")
+        members = members.join(left, "bucket", "left_semi")
     joined = nodes.join(component, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     least = stored(joined.groupBy("component").agg(F.min("least").alias("component_id")), "ngram-least")
     named = stored(joined.join(least, "component").select(F.col("node").alias("m"), "component_id"), "ngram-named")
