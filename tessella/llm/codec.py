@@ -53,6 +53,9 @@ def encoder(path: str):
         ranks = {bytes(symbols[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
         quick = lambda text: fast.encode(text, allowed_special="all")
-        return quick if quick(_PROBE) == slow(_PROBE) else slow
+        if quick(_PROBE) != slow(_PROBE):
+            return slow
+        library.cache_clear()  # its memory is needed again for huge texts alone
+        return quick
     except (ImportError, KeyError, ValueError):
         return slow

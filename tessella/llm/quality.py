@@ -118,6 +118,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     The texts are measured twice, once for the sketches and once for the filter, so that they are neither shuffled nor stored.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    measured = docs.select(row, "lang", "source", _figures(F.coalesce("text", F.lit(""))).alias("q"))
+    # Marked so that no filter is pushed below it with copies of it.
+    once = _figures.asNondeterministic()
+    measured = docs.select(row, "lang", "source", once(F.coalesce("text", F.lit(""))).alias("q"))
     bounds = stored(fences(sketches(measured.select("lang", "source", "q"))), "fences")
     return _judged(measured, bounds).where("good").select("row.*")
