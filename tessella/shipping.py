@@ -1,4 +1,4 @@
-"""Hands this package to the executors, which may not have it on their path."""
+"""Hands this package to the executors, which may not have it on their path, and keeps Arrow batches small."""
 
 from __future__ import annotations
 
@@ -13,6 +13,9 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> SparkSession:
     """Add the package's sources to the job once for each application; the driver serves them to every executor."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000":  # the default: batches of long texts would take much memory on both sides
+        spark.conf.set(batch, "2000")
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         _shipped.add(context.applicationId)
