@@ -24,10 +24,10 @@ def odd(n: int) -> np.uint64:
 
 
 class WordHashes(dict):
-    """word -> hash, emptied when it has grown to a quarter million words."""
+    """word -> hash, emptied when it has grown to a hundred thousand words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found
