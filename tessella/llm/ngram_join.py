@@ -38,7 +38,7 @@ from .hashing import U, WordHashes, mix, odd
 from .shared import drop_stored, partitions, row_key, small_or_not, stored
 
 WIDTH, SMALL, STAR, GROWTH, SLACK = 5, 13, 4, 1.6, 1.3
-FLUSH, BLOCK, ROUNDS = 1 << 19, 2000, (8, 1 << 60)
+FLUSH, BLOCK, ROUNDS = 1 << 19, 2000, (4, 1 << 60)
 _words = WordHashes()
 
 
@@ -397,7 +397,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         blocks = _in_blocks(inside.join(mixed, "bucket", "left_semi").join(nodes.select("node", "size", "sketch"), "node"), left)
         blocks = blocks.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
         near = stored(blocks.mapInArrow(_nearest(most), "a long, b long, more long"), "ngram-near")
-        new = stored(near.where("b is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "ngram-new")
+        different = stored(near.where("b is not null").select("a", "b").distinct(), "ngram-different")
+        new = stored(different.join(tried, ["a", "b"], "left_anti"), "ngram-new")
         if not new.isEmpty():
             tried = tried.unionByName(new)
             links = links.unionByName(_verified(new, keyed, nodes))
@@ -425,6 +426,6 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     empty = groups.where("n_shingles = 0").select(F.col("row").alias("r"), F.lit(1).cast("long").alias("copies")).distinct()
     chosen = stored(best.unionByName(empty), "ngram-chosen")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    keyed = docs.select(row, row_key("doc_id", "text").alias("k")).join(small_or_not(chosen), F.col("k") == F.col("r"))
+    keyed = docs.select(row, row_key("doc_id", "text").alias("k")).join(chosen.hint("merge"), F.col("k") == F.col("r"))
     once = keyed.where("copies = 1").select("row")
     return once.unionByName(keyed.where("copies > 1").dropDuplicates(["k"]).select("row")).select("row.*")

@@ -236,7 +236,7 @@ def covered_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = stored(sent.mapInArrow(_classified, _SPAN_SQL), "suffix-contexts")
     asks = found.where(F.col("kind") != COVERED).groupBy("row").agg(F.collect_list(F.struct("gram", "start", "more", "kind")).alias("asks"))
     asks = stored(asks.withColumnRenamed("row", "r"), "suffix-asks")
-    wanted = _keyed(docs).join(asks, F.col("row") == F.col("r")).select("text", "row", "asks")
+    wanted = _keyed(docs).join(asks.hint("merge"), F.col("row") == F.col("r")).select("text", "row", "asks")
     shards = wanted.mapInArrow(_bytes_of(4 * parts, length), "part int, block binary").repartition(parts, "part")
     answers = shards.mapInArrow(_sorted(length), _SPAN_SQL)
     spans = found.where(F.col("kind") == COVERED).unionByName(answers).groupBy("row").agg(F.collect_list(F.struct("start", "more")).alias("spans"))
@@ -256,7 +256,7 @@ def _cut(raw: bytes, starts, mores, length: int) -> tuple[bytes, int, int]:
 
 
 def _with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    return rows.join(spans.withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left").withColumn("starts", F.coalesce(F.col("spans.start"), F.array().cast("array<bigint>"))).withColumn("mores", F.coalesce(F.col("spans.more"), F.array().cast("array<bigint>")))
+    return rows.join(spans.withColumnRenamed("row", "r").hint("merge"), F.col("row") == F.col("r"), "left").withColumn("starts", F.coalesce(F.col("spans.start"), F.array().cast("array<bigint>"))).withColumn("mores", F.coalesce(F.col("spans.more"), F.array().cast("array<bigint>")))
 
 
 def removed_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
