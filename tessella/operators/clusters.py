@@ -20,7 +20,7 @@ from ..storage import partitions, small_or_not, stored
 from .components import connected_components
 
 #: Levels of at most so many nodes are one task; a larger one is split by connected components first. Both give the same nodes.
-ONE_TASK = 20_000
+ONE_TASK = 200_000
 _NODES = "idx long, x double, y double, id long, parent_id long, num_points long, point long, total double"
 
 
