@@ -13,19 +13,19 @@ from ..storage import small_or_not
 
 
 def last_per_id(changes: DataFrame, order: str = "seq") -> DataFrame:
-    """The last change for each id wins."""
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col(order).desc()))
+    """The last change for each id wins: all its rows, if several have the same order."""
+    rank = F.rank().over(Window.partitionBy("id").orderBy(F.col(order).desc()))
     return changes.withColumn("rank", rank).where("rank = 1").drop("rank")
 
 
-def apply_changes(source: DataFrame, remove: DataFrame | None = None, add: DataFrame | None = None, update: DataFrame | None = None, remove_all: bool = False) -> tuple[DataFrame, DataFrame]:
+def apply_changes(source: DataFrame, remove: DataFrame | None = None, add: DataFrame | None = None, update: DataFrame | None = None, remove_all: bool = False, repeated: bool = True) -> tuple[DataFrame, DataFrame]:
     """(source, affected): tables with the columns of source.
 
-    remove: id. add: features. update: features with seq, whose values, where not null, replace those of all features of that id; ids that are not there are ignored.
+    remove: id. add: features; where ids aren't repeated, all rows of an id are one feature. update: features with seq, whose values, where not null, replace those of all features of that id; ids that are not there are ignored.
     """
     affected = source if remove_all else source.limit(0)
     source = source.limit(0) if remove_all else source
-    add = last_per_id(add) if add is not None else None
+    add = last_per_id(add) if add is not None and repeated else add
     gone = remove.select("id") if remove is not None else None
     if add is not None:
         gone = add.select("id") if gone is None else gone.union(add.select("id"))

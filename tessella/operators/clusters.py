@@ -3,11 +3,14 @@
 At one zoom greedy decisions reach no further than the radius, so connected components of the graph of near nodes are clustered independently, each in array order. Near pairs come from an equi-join on
 grid cells. Neighbours are visited in array order, bounds are inclusive.
 
-nodes: z, idx (place in the level), x, y, id (cluster id, or the point's index), parent_id, num_points, point (source row of a single point, else null), total (sum of the mapped value).
+nodes: z, idx (place in the level), x, y, id (cluster id, or the point's index), parent_id, num_points, point (source row of a single point, else null), total (the mapped values, folded: by default their sum).
 """
 
 from __future__ import annotations
 
+import operator
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -54,7 +57,7 @@ def near_pairs(level: DataFrame, reach: float) -> DataFrame:
     return pairs.where(dx * dx + dy * dy <= reach * reach).select("a", "b")
 
 
-def greedy(nodes: list[dict], reach: float, zoom: int, points: int, min_points: int) -> tuple[list[dict], dict[int, int]]:
+def greedy(nodes: list[dict], reach: float, zoom: int, points: int, min_points: int, fold: Callable = operator.add) -> tuple[list[dict], dict[int, int]]:
     """(nodes of the next level in order, id of the cluster that each absorbed idx got) of one component in array order."""
     fx = {n["idx"]: (float(np.float32(n["x"])), float(np.float32(n["y"]))) for n in nodes}
     grid: dict[tuple[int, int], list[dict]] = {}
@@ -75,16 +78,16 @@ def greedy(nodes: list[dict], reach: float, zoom: int, points: int, min_points:
             key = (n["idx"] << 5) + zoom + 1 + points
             parents |= {m["idx"]: key for m in group}
             mean = lambda c: sum(m[c] * m["num_points"] for m in group) / total  # noqa: B023, E731
-            out.append({"x": mean("x"), "y": mean("y"), "id": key, "num_points": total, "point": None, "total": sum(m["total"] for m in group), "origin": n["idx"], "place": 0})
+            out.append({"x": mean("x"), "y": mean("y"), "id": key, "num_points": total, "point": None, "total": reduce(fold, (m["total"] for m in group)), "origin": n["idx"], "place": 0})
         else:
             out += [{**{k: m[k] for k in ("x", "y", "id", "num_points", "point", "total")}, "origin": n["idx"], "place": k} for k, m in enumerate([n, *near])]
     return out, parents
 
 
-def _component_kernel(reach: float, zoom: int, points: int, min_points: int):
+def _component_kernel(reach: float, zoom: int, points: int, min_points: int, fold: Callable):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("idx").astype(object).where(pdf.sort_values("idx").notna(), None).to_dict("records")
-        made, parents = greedy(rows, reach, zoom, points, min_points)
+        made, parents = greedy(rows, reach, zoom, points, min_points, fold)
         old = [{"origin": i, "parent": p} for i, p in parents.items()]
         frame = pd.DataFrame([{**m, "parent": None} for m in made] + [{"origin": o["origin"], "parent": o["parent"]} for o in old], columns=["x", "y", "id", "num_points", "point", "total", "origin", "place", "parent"])
         return frame.astype({k: "Int64" for k in ("id", "num_points", "point", "origin", "place", "parent")})
@@ -92,11 +95,15 @@ def _component_kernel(reach: float, zoom: int, points: int, min_points: int):
     return run
 
 
-def build_clusters(points: DataFrame, options: ClusterOptions = ClusterOptions(), value: str | None = None, one_task: int = ONE_TASK) -> DataFrame:
-    """nodes of all levels from load_points() rows; `total` sums the column `value`, or counts points."""
+def build_clusters(points: DataFrame, options: ClusterOptions = ClusterOptions(), value: str | None = None, one_task: int = ONE_TASK, fold: Callable | None = None) -> DataFrame:
+    """nodes of all levels from load_points() rows; `total` sums the column `value`, or counts points.
+
+    fold(accumulated, next) -> accumulated replaces the sum: it starts from the value of a cluster's origin and takes its neighbours in array order; the column keeps its type, a number or a text.
+    """
     total = points.count()
+    kind = points.schema[value].dataType.simpleString() if fold and value else "double"
     none = F.lit(None).cast("long")
-    level = points.select("idx", "x", "y", F.col("idx").alias("id"), F.lit(1).cast("long").alias("num_points"), F.col("idx").alias("point"), (F.col(value).cast("double") if value else F.lit(1.0)).alias("total"))
+    level = points.select("idx", "x", "y", F.col("idx").alias("id"), F.lit(1).cast("long").alias("num_points"), F.col("idx").alias("point"), (F.col(value).cast(kind) if value else F.lit(1.0)).alias("total"))
     level, levels = stored(level, "level"), []
     for z in range(options.max_zoom, options.min_zoom - 1, -1):
         reach = options.reach(z)
@@ -105,8 +112,8 @@ def build_clusters(points: DataFrame, options: ClusterOptions = ClusterOptions()
         else:
             component = connected_components(near_pairs(level, reach))
             marked = stored(level.join(component, F.col("idx") == F.col("node"), "left").drop("node"), "marked")
-        kernel = _component_kernel(reach, z, total, options.min_points)
-        made = marked.where("component is not null").groupBy("component").applyInPandas(kernel, "x double, y double, id long, num_points long, point long, total double, origin long, place long, parent long")
+        kernel = _component_kernel(reach, z, total, options.min_points, fold or operator.add)
+        made = marked.where("component is not null").groupBy("component").applyInPandas(kernel, f"x double, y double, id long, num_points long, point long, total {kind}, origin long, place long, parent long")
         made = stored(made, "made")
         alone = marked.where("component is null").select("x", "y", "id", "num_points", "point", "total", F.col("idx").alias("origin"), F.lit(0).cast("long").alias("place"))
         parents = made.where("parent is not null").select(F.col("origin").alias("o"), "parent")

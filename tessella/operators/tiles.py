@@ -8,14 +8,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import Shape, clip, quadtree, quantised, tile_lines, world_copies
 from ..functions.projection import project_x, project_y, quantise, tiles_of
 from ..options import TileOptions
-from ..sources.geojson import ARROW, FEATURES, row_shape, shape_row
+from ..sources.geojson import ARROW, FEATURES, row_shape, shape_row, to_geojson
 from ..storage import small_or_not, stored
+from .changes import apply_changes, keep_where, last_per_id
+from .clusters import dense_index
 
 _RINGS = pa.list_(pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())])))
 _TILE = pa.schema([("z", pa.int32()), ("x", pa.int32()), ("y", pa.int32()), ("seq", pa.int64()), ("part", pa.int32()), ("type", pa.int32()), ("id", pa.string()), ("tags", pa.string()), ("clip_start", pa.float64()), ("clip_end", pa.float64()), ("geometry", _RINGS), ("points", pa.int64()), ("simplified", pa.int64()), *((k, pa.float64()) for k in ("min_x", "min_y", "max_x", "max_y"))])
@@ -141,6 +143,12 @@ def existing_tiles(counters: DataFrame, max_zoom: int) -> DataFrame:
     return made.join(full.withColumn("held", F.lit(True)), ["z", "x", "y"], "left").select("z", "x", "y", F.col("held").isNull().alias("empty"))
 
 
+def _renumbered(features: DataFrame) -> DataFrame:
+    """features with seq from 0 on, in the same order, so that later rows can follow."""
+    rows = dense_index(features, "seq")
+    return rows.select(*[(F.col("idx") if c == "seq" else F.col(c)).alias(c) for c in features.columns])
+
+
 class TileEngine:
     """A pyramid over features: tiles on request, the eager index, and updates."""
 
@@ -166,3 +174,45 @@ class TileEngine:
         if parent.isEmpty() or not 0 <= y < 1 << z:
             return None
         return found.where(F.size("geometry") > 0).orderBy("seq", "part")
+
+    def get_data(self) -> DataFrame:
+        """seq, value: the features as GeoJSON, world copies among them."""
+        self._updateable()
+        return to_geojson(self.source)
+
+    def update_data(self, remove: DataFrame | None = None, add: DataFrame | None = None, update: DataFrame | None = None, remove_all: bool = False, good: Column | None = None) -> tuple[TileEngine, DataFrame]:
+        """(engine over the changed features, affected features): remove all, remove, add or replace, update, then the filter `good`.
+
+        remove: id. add: read_features(..., numbered=True). update: features, the last of each id, for ids that are there; where kind is null only tags change, in all
+        copies, and where tags is null they stay. What is rewritten moves to the end, new geometries first. This engine stays as it is.
+        """
+        self._updateable()
+        order = lambda df: "feature" if "feature" in df.columns else "seq"
+        source = _renumbered(self.source)
+        columns = source.columns
+        fresh = lambda df: _renumbered(wrap(df.select(*columns), self.options))
+        added = fresh(last_per_id(add, order(add))) if add is not None else None
+        source, affected = apply_changes(source, remove, added, remove_all=remove_all, repeated=False)
+        if update is not None:
+            source = stored(source, "changed")
+            patch = stored(last_per_id(update.where("id is not null"), order(update)).select(*columns), "patch")
+            old = source.join(small_or_not(patch.select("id").distinct()), "id", "left_semi").select(*columns)
+            first = old.groupBy("id").agg(F.min_by("tags", "seq").alias("own"))
+            moved = fresh(patch.where("kind is not null").join(first, "id").withColumn("tags", F.coalesce("tags", "own")))
+            tags = patch.where("kind is null").select("id", F.col("tags").alias("new"))
+            tagged = old.join(tags, "id").withColumn("tags", F.coalesce("new", "tags")).select(*columns)
+            new = moved.withColumn("at", F.lit(0)).unionByName(tagged.withColumn("at", F.lit(1)))
+            new = dense_index(new, "at", "seq").drop("at", "seq").withColumnRenamed("idx", "seq").select(*columns)
+            after = F.lit((source.agg(F.max("seq")).first()[0] or 0) + 1)
+            new = stored(new.withColumn("seq", after + F.col("seq")), "rewritten")
+            source = source.join(small_or_not(patch.select("id").distinct()), "id", "left_anti").unionByName(new)
+            affected = affected.unionByName(old).unionByName(new)
+        if good is not None:
+            source, affected = keep_where(source, affected, good)
+        engine = object.__new__(TileEngine)
+        engine.options, engine.source = self.options, stored(source.select(*columns), "source")
+        return engine, affected
+
+    def _updateable(self) -> None:
+        if not self.options.updateable:
+            raise ValueError("the option updateable has to be on")

@@ -65,29 +65,39 @@ def shapes_of(geometry: dict | None, options: TileOptions, depth: int = 0) -> It
         yield Shape(kind, [path(ring, tolerance, True, k) for k, rings in enumerate([c] if kind == "Polygon" else c) for ring in rings])
 
 
-def features_of(data: dict, options: TileOptions) -> Iterator[tuple[str | None, str | None, Shape]]:
+def features_of(data: dict, options: TileOptions) -> Iterator[tuple[int, str | None, str | None, Shape]]:
     """(id, tags, shape) of each feature of a GeoJSON object."""
     rows = data["features"] if data["type"] == "FeatureCollection" else [data if data["type"] == "Feature" else {"type": "Feature", "geometry": data}]
     for index, feature in enumerate(rows):
         tags = feature.get("properties")
         key = (tags or {}).get(options.promote_id) if options.promote_id else index if options.generate_id else feature.get("id")
         for shape in shapes_of(feature.get("geometry"), options):
-            yield canonical(key), canonical(tags), shape
+            yield index, canonical(key), canonical(tags), shape
 
 
-def read_features(texts: DataFrame, options: TileOptions = TileOptions(), column: str = "value") -> DataFrame:
-    """features of a table of GeoJSON texts: whole collections, or one feature in each row. seq orders features by row, then place."""
+def read_features(texts: DataFrame, options: TileOptions = TileOptions(), column: str = "value", numbered: bool = False) -> DataFrame:
+    """features of a table of GeoJSON texts: whole collections, or one feature in each row. seq orders features by row, then place.
+
+    With numbered, a column feature holds the seq of the first row that the same GeoJSON feature made. seq leaves 33 bits for the features of a partition and 28 for partitions.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, seq = ARROW.append(pa.field("feature", pa.int64())), None
         for batch in batches:
             rows = []
-            for seq, text in zip(batch.column("at").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for at, text in zip(batch.column("at").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                seq = at >> 33 << 33 if seq is None else seq  # the first number of the partition
                 if text and text.strip():
-                    rows += [{"seq": (seq << 20) + k, "id": i, "tags": t, **shape_row(s)} for k, (i, t, s) in enumerate(features_of(json.loads(text), options))]
-            yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
+                    last = feature = None
+                    for index, i, t, s in features_of(json.loads(text), options):
+                        last, feature = index, seq if index != last else feature
+                        rows.append({"seq": seq, "id": i, "tags": t, **shape_row(s), "feature": feature})
+                        seq += 1
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     rows = texts.select(F.monotonically_increasing_id().alias("at"), F.col(column).alias("text"))
-    return rows.mapInArrow(run, FEATURES)
+    found = rows.mapInArrow(run, f"{FEATURES}, feature long")
+    return found if numbered else found.drop("feature")
 
 
 def _degrees(shape: Shape) -> list:

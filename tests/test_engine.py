@@ -1,5 +1,6 @@
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,45 @@ def test_change_log_stream_skips_batches_it_has(spark, tmp_path):
     for _ in range(2):
         S.apply_batch(f"{tmp_path}/v")(log, 0)
     assert S.version(spark, f"{tmp_path}/v", S.latest(spark, f"{tmp_path}/v")).count() == 2
+
+
+def test_numbers_of_features_hold_in_late_partitions(spark):
+    class Texts:
+        """Stands for a table, and gives the function that would run in its tasks."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            self.run = run
+            return self
+
+    geometry = json.dumps({"type": "GeometryCollection", "geometries": [{"type": "Point", "coordinates": [k, 1]} for k in range(3)]})
+    batch = pa.RecordBatch.from_pydict({"at": [(5000 << 33) + 7, (5000 << 33) + 8], "text": [geometry] * 2})
+    found = [r for b in read_features(Texts(), numbered=True).run(iter([batch])) for r in b.to_pylist()]
+    assert [r["seq"] - (5000 << 33) for r in found] == [0, 1, 2, 3, 4, 5] and [r["feature"] - (5000 << 33) for r in found] == [0, 0, 0, 3, 3, 3]
+
+
+def test_engine_updates(spark):
+    point = lambda i, lon, **p: {"type": "Feature", "id": i, "properties": p, "geometry": {"type": "Point", "coordinates": [lon, 10]}}
+    two = {"type": "Feature", "id": 9, "properties": {}, "geometry": {"type": "GeometryCollection", "geometries": [{"type": "Point", "coordinates": [1, 1]}, {"type": "Point", "coordinates": [2, 2]}]}}
+    options = TileOptions(updateable=True)
+    engine = T.TileEngine(_features(spark, point(1, 5, a=1), point(2, 6, a=2), point(3, 179.9, a=3)), options)
+    shown = lambda e: [(json.loads(r.value)["id"], round(json.loads(r.value)["geometry"]["coordinates"][0], 6), json.loads(r.value)["properties"]) for r in e.get_data().orderBy("seq").collect()]
+    assert shown(engine) == [(1, 5, {"a": 1}), (2, 6, {"a": 2}), (3, 179.9, {"a": 3}), (3, -180.1, {"a": 3})]
+    add = read_features(spark.createDataFrame([(json.dumps(f),) for f in (point(9, 50), two)], "value string").coalesce(1), options, numbered=True)
+    update = _features(spark, point(3, 7)).withColumn("tags", F.lit(None).cast("string"))
+    new, affected = engine.update_data(spark.createDataFrame([("1",)], "id string"), add, update)
+    assert shown(new) == [(2, 6, {"a": 2}), (9, 1, {}), (9, 2, {}), (3, 7, {"a": 3})] and affected.count() == 6
+    last, _ = new.update_data(good=F.col("id") != "9")
+    assert [x[0] for x in shown(last)] == [2, 3] and len(shown(engine)) == 4
+    with pytest.raises(ValueError):
+        T.TileEngine(engine.source).update_data(remove_all=True)
+
+
+def test_clusters_fold_any_way(spark):
+    points = spark.range(60).select((F.col("id") % 3 * 0.001).alias("lon"), F.lit(1.0).alias("lat"), F.col("id").alias("k"), F.format_string("%02d", "id").alias("name"))
+    nodes = K.build_clusters(K.load_points(points, "k"), ClusterOptions(max_zoom=1), "name", fold=max)
+    assert [r.total for r in nodes.where("z = 0").collect()] == ["59"]
+    joined = K.build_clusters(K.load_points(points, "k"), ClusterOptions(max_zoom=0), "name", fold=lambda a, b: f"{a},{b}")
+    assert joined.where("z = 0").first().total == ",".join(f"{k:02d}" for k in range(60))
