@@ -224,3 +224,65 @@ def test_pipeline(spark, tmp_path, docs, rows):
         frame = stage(spark, frame, str(tmp_path))
         assert frame.columns == docs.columns
     assert "sequence_id" in corpus_pipeline.run(spark, str(tmp_path)).columns
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Each stage on what its predecessor kept of a whole table."""
+    import hashlib
+    from collections import Counter
+
+    import corpus_pipeline
+
+    folder, frames = "/root/testdata/sf0.001", []
+    frame = spark.read.parquet(f"{folder}/documents.parquet")
+    frames.append(frame.collect())
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, frame, folder).write.parquet(f"{tmp_path}/{k}")
+        frame = spark.read.parquet(f"{tmp_path}/{k}")
+        frames.append(frame.collect())
+    docs, good, single, cut, mixed, packed = frames
+
+    verdicts = quality.judge_quality(spark.createDataFrame(docs)).collect()
+    assert sorted(r.doc_id for r in good) == sorted(r.doc_id for r in verdicts if r.kept) and set(good) <= set(docs)
+    for r in good:
+        n_words, *_, n_repeat_words = brute.base_figures(r.text)
+        assert n_words >= 10 and 100 * n_repeat_words <= 20 * n_words
+
+    groups = brute.jaccard_groups([(r.doc_id, r.text) for r in good])
+    assert sorted(r.doc_id for r in single) == sorted({c for _, c in groups.values()}) and set(single) <= set(good)
+    assert len(single) < len(good) < len(docs)
+
+    want = {d: x for d, *x in brute.repeats([(r.doc_id, r.text) for r in single])}
+    assert sorted(r.doc_id for r in cut) == sorted(want)
+    for r in cut:
+        raw = r.text.encode()
+        n_bytes, n_removed, n_spans, kept = want[r.doc_id]
+        # Characters that lose some of their bytes go: up to three bytes at both ends of a span.
+        assert hashlib.sha256(raw).hexdigest() == kept or 0 < n_bytes - n_removed - len(raw) <= 6 * n_spans
+        assert r.n_chars == len(r.text)
+
+    assert set(mixed) <= set(cut) and max(Counter(mixed).values()) <= 3
+    size = lambda r: len(brute.WORD.findall(r.text))
+    sizes, taken = Counter(), Counter()
+    for r in cut:
+        sizes[r.source] += size(r)
+    for r in mixed:
+        taken[r.source] += size(r)
+    for source, target in brute.targets(dict(sizes)).items():
+        assert abs(taken[source] - target) <= max(size(r) for r in cut if r.source == source)
+
+    encode = codec.encoder(codec.default_path())
+    ids = Counter()
+    for r in mixed:
+        ids[r.doc_id] += len(encode(r.text)) + 1
+    got, places = Counter(), {}
+    for r in packed:
+        got[r.doc_id] += r.length
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert got == ids
+    for held in places.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 1024
