@@ -1,11 +1,13 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block. What is menu, header, footer, sidebar, notice, advert, form, script, style or comment by its element or its class leaves a gap of
-blank lines, as does the edge of an article. Text lengths, without those of links, are summed over sliding windows of WINDOW lines. A run of lines surges where the sum
-rises over the threshold and dives where it falls to zero; the text between, whole, is kept. Inside <article> or <main>, where a page has one, every
-run counts as article, however short.
+Markup is stripped to lines, one for each block. Text lengths, without those of links, are summed over sliding windows of WINDOW lines of the whole page. The text surges at the first
+window over the threshold and dives where a window sums to zero. A line counts nothing that is mostly link or, outside an article, a copyright notice or a short label
+(under LABEL characters, no sentence, no heading or table cell). Between surge and dive, whole, is text; lines before the surge are not, outside an article, except the headings next to it.
 
-Defined results: a null or empty html gives an empty text; a page where no run surges keeps its longest run; repeated rows get equal results; an empty table
+Tags only add gaps of WINDOW blank lines: the edge of an article or <main>, and what is menu, header, footer, sidebar, notice, advert, form, script, style or comment by its element
+or its class. That is left out, and inside an article leaves no gap. If texts inside articles hold at least half of all that surges, those outside are dropped.
+
+Defined results: a null or empty html gives an empty text; a page where nothing surges keeps the longest run between gaps, of an article if there is one; repeated rows get equal results; an empty table
 gives an empty table; columns beside page_id, url and html do not matter.
 """
 
@@ -14,18 +16,20 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WINDOW, SURGE, LINKED = 3, 80, 0.5
+WINDOW, SURGE, LINKED, LABEL = 3, 80, 0.5, 20
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _RAW = frozenset(("script", "style", "template", "noscript", "iframe", "textarea", "title", "xmp", "noembed"))
 _AWAY = frozenset(("head", "nav", "footer", "aside", "form", "button", "select", "svg", "math", "menu", "dialog", "object"))
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+_KINDS = dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), "h") | dict.fromkeys(("td", "th", "dt", "dd", "pre"), "t")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|cookies?|consent|disqus|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|overlay|pagination|popup|promo\w*|related|replies|respond|share|sharing|side-?bar|social|sponsor\w*|subscribe|widget|toolbar)(?:$|[\s_-])",
@@ -34,6 +38,9 @@ _HINT = re.compile(
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 
+_SENTENCE = re.compile(r"[.!?:;\u2026\u3002\uff01\uff1f\u061f\u0964][\"'\u2019\u201d\u00bb)\]]*$")
+_RIGHTS = re.compile(r"\u00a9|^\(c\) |^copyright\b|\ball rights reserved\b", re.I)
+
 
 def _away(name: str, attrs: str, in_article: int) -> bool:
     """Whether an element is outside the main text by its name or class."""
@@ -56,8 +63,18 @@ def _tokens(html: str) -> Iterator[tuple[int, int, str, str, str]]:
         yield m.start(), at, m[1] or "", name, m[3] or ""
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """(text, characters in links, inside an article) of each block in page order; a gap is ("", 0, False)."""
+class Line(NamedTuple):
+    text: str
+    linked: int  # characters in links
+    inside: bool  # an article
+    kind: str  # "h" of a heading, "t" of a table or other preformatted cell
+
+
+GAP = Line("", 0, False, "")
+
+
+def lines_of(html: str) -> list[Line]:
+    """Each block in page order, and gaps."""
     tokens = list(_tokens(html))
     opened: dict[str, list[int]] = {}
     closes: dict[int, int] = {}
@@ -68,15 +85,15 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             opened.setdefault(name, []).append(k)
         elif opened.get(name):
             closes[opened[name].pop()] = k
-    out: list[tuple[str, int, bool]] = []
+    out: list[Line] = []
     parts: list[str] = []
-    links, in_link, articles, at, k = 0, False, 0, 0, 0
+    links, in_link, articles, at, k, kind = 0, False, 0, 0, 0, ""
 
     def flush():
         nonlocal links
         raw = "".join(parts)
         if text := " ".join((unescape(raw) if "&" in raw else raw).split()):
-            out.append((text, min(links, len(text)), articles > 0))
+            out.append(Line(text, min(links, len(text)), articles > 0, kind))
         parts.clear()
         links = 0
 
@@ -92,14 +109,17 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         at = end
         if name and not slash and k in closes and _away(name, attrs, articles):
             flush()
-            out.append(("", 0, False))
+            if not articles:
+                out.append(GAP)
             k = closes[k]
             at = tokens[k][1]
         elif name in _BLOCK:
             flush()
+            kind = "" if slash else _KINDS.get(name, "")
             if name in ("article", "main"):
-                out.append(("", 0, False))
-                articles = max(0, articles + (-1 if slash else k in closes))
+                before, articles = articles, max(0, articles + (-1 if slash else k in closes))
+                if not before or not articles:
+                    out.append(GAP)
         elif name == "br":
             parts.append(" ")
         elif name == "a":
@@ -110,23 +130,57 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+def _value(line: Line) -> int:
+    """What a line adds to its windows."""
+    size = len(line.text)
+    if size - line.linked < LINKED * size:
+        return 0
+    if not line.inside and ((size < 4 * SURGE and _RIGHTS.search(line.text)) or (size < LABEL and not line.kind and not _SENTENCE.search(line.text))):
+        return 0
+    return size - line.linked
+
+
+def _texts(run: list[Line]) -> Iterator[list[Line]]:
+    """What surges in the lines between two gaps. Blank lines follow the run, so windows at its end are sums over what is left of it."""
+    values = [_value(line) for line in run]
+    sums = [sum(values[i : i + WINDOW]) for i in range(len(run))]
+    start, least = 0, 0
+    while start < len(run):
+        if not values[start] or sums[start] < SURGE:
+            ahead = next((i for i in range(start, len(run)) if sums[i] >= SURGE), None)
+            if ahead is None:
+                return
+            start = next(i for i in range(ahead, len(run)) if values[i])
+        end = next((i for i in range(start, len(run)) if not sums[i]), len(run))  # the dive
+        while not values[end - 1]:
+            end -= 1
+        while end > start + 1 and run[end - 1].kind == "h" and not run[end - 1].inside:
+            end -= 1
+        first = start
+        if run[start].inside:  # up to the last window of zero, or the edge of the article
+            while any(values[max(least, first - WINDOW) : first]):
+                first -= 1
+            while not values[first] and run[first].kind != "h":
+                first += 1
+        while (title := next((i for i in range(first - 1, max(least, first - WINDOW) - 1, -1) if run[i].kind == "h"), None)) is not None:
+            first = title
+        yield run[first:end]
+        start = least = end
+
+
 def main_text(html: str) -> str:
-    lines = lines_of(html)
-    runs: list[list[tuple[str, int, bool]]] = [[]]
-    for line in lines:  # a dive: the window over a gap sums to zero, as a gap stands for WINDOW blank lines
-        runs[-1].append(line) if line[0] else runs.append([])
+    runs: list[list[Line]] = [[]]
+    for line in lines_of(html):
+        runs[-1].append(line) if line.text else runs.append([])
     runs = [r for r in runs if r]
-    if any(line[2] for r in runs for line in r):
-        kept = [r for r in runs if r[0][2]]
-    else:
-        kept = []
-        for r in runs:
-            bare = [len(t) - linked for t, linked, _ in r]
-            surge = max(sum(bare[i : i + WINDOW]) for i in range(len(bare)))
-            if surge >= SURGE and sum(bare) >= LINKED * sum(len(t) for t, _, _ in r):
-                kept.append(r)
-        kept = kept or sorted(runs, key=lambda r: -sum(len(t) - linked for t, linked, _ in r))[:1]
-    return "\n".join(t for r in kept for t, _, _ in r)
+    bare = lambda lines: sum(len(x.text) - x.linked for x in lines)
+    kept = [t for r in runs for t in _texts(r)]
+    inside = [t for t in kept if t[0].inside]
+    if 2 * sum(map(bare, inside)) >= sum(map(bare, kept)):
+        kept = inside
+    if not kept:
+        kept = sorted([r for r in runs if r[0].inside] or runs, key=bare, reverse=True)[:1]
+    return "\n".join(x.text for t in kept for x in t)
 
 
 @F.pandas_udf(T.StringType())

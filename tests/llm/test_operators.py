@@ -215,6 +215,29 @@ def test_main_text(spark):
     assert [len(x) for x in got[4].split("\n")[-3:]] == [151] * 3 and "y" not in got[4].split("\n")
 
 
+def test_main_text_windows():
+    """Surge and dive decide with and without <article>; tags are only gaps."""
+    links = "".join(f"<li><a href='/{i}'>Menu entry number {i}</a></li>" for i in range(6))
+    prose = [f"{'word ' * 30}{i}." for i in range(4)]
+    body = f"<h1>Title</h1><p>By A. B.</p><p>{prose[0]}</p><p>Yes.</p><p>No, not at all.</p><p>Why?</p><p>{prose[1]}</p><p>The end.</p>"
+    want = ["Title", "By A. B.", prose[0], "Yes.", "No, not at all.", "Why?", prose[1], "The end."]
+    foot = "<p>\u00a9 2024 Some Company</p><p>Imprint</p><p>Contact</p>"
+    for page in (
+        f"<ul>{links}</ul>{body}{foot}",  # an unclassed menu and a footer of plain paragraphs
+        f"<div>{''.join(f'<div>Entry {i}</div>' for i in range(6))}</div>{body}<div>{links}</div>{foot}",  # a menu without links
+        f"<ul>{links}</ul>{body}<h3>Read on</h3><ul>{links}</ul>",
+        f"<ul>{links}</ul><main>{body}</main>{foot}",
+        f"<article><ul>{links}</ul>{body}<ul>{links}</ul></article>",  # link windows dive inside an article too
+    ):
+        assert html_text.main_text(page).split("\n") == want
+    apart = f"<p>{prose[0]}</p><ul>{links}</ul><p>{prose[1]}</p>"
+    for page in (apart, f"<article>{apart}</article>"):
+        assert html_text.main_text(page).split("\n") == prose[:2]
+    assert html_text.main_text(f"<article><p>{prose[0]}</p></article><div><p>{prose[1][:100]}</p></div>") == prose[0]
+    teaser = f"<div><p>{prose[0]}</p><p>{prose[1]}</p></div><article><p>{prose[2][:90]}</p></article>"
+    assert html_text.main_text(teaser).split("\n")[:2] == prose[:2]  # a small article does not drop the text beside it
+
+
 def test_pipeline(spark, tmp_path, docs, rows):
     import corpus_pipeline
 
