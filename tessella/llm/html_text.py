@@ -5,7 +5,7 @@ window over the threshold and dives where a window sums to zero. A line counts n
 (under LABEL characters, no sentence, no heading or table cell). Between surge and dive, whole, is text; lines before the surge are not, outside an article, except the headings next to it.
 
 Tags only add gaps of WINDOW blank lines: the edge of an article or <main>, and what is menu, header, footer, sidebar, notice, advert, form, script, style or comment by its element
-or its class. That is left out, and inside an article leaves no gap. If texts inside articles hold at least half of all that surges, those outside are dropped.
+or a whole token of its class, id, role or label. That is left out, unless it holds an h1, the largest article or most of the unlinked text, and inside an article leaves no gap. If texts inside articles hold at least half of all that surges, those outside are dropped.
 
 Defined results: a null or empty html gives an empty text; a page where nothing surges keeps the longest run between gaps, of an article if there is one; repeated rows get equal results; an empty table
 gives an empty table; columns beside page_id, url and html do not matter.
@@ -27,14 +27,20 @@ WINDOW, SURGE, LINKED, LABEL = 3, 80, 0.5, 20
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _RAW = frozenset(("script", "style", "template", "noscript", "iframe", "textarea", "title", "xmp", "noembed"))
-_AWAY = frozenset(("head", "nav", "footer", "aside", "form", "button", "select", "svg", "math", "menu", "dialog", "object"))
+_AWAY = frozenset(("head", "nav", "footer", "aside", "form", "button", "select", "svg", "menu", "dialog"))
+_NEVER = frozenset(("head", "select", "svg"))
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 _KINDS = dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), "h") | dict.fromkeys(("td", "th", "dt", "dd", "pre"), "t")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Whole tokens of class, id, role or aria-label. What only contains such a word ("no-sidebar", "page-builder-widget", "page-header") is no hint.
 _HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|cookies?|consent|disqus|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|overlay|pagination|popup|promo\w*|related|replies|respond|share|sharing|side-?bar|social|sponsor\w*|subscribe|widget|toolbar)(?:$|[\s_-])",
+    r"(?:(?:site|main|global|top|bottom|primary|secondary|left|right|mobile|sticky|fixed|page(?=[_-]footer))[_-])?"
+    r"(?:ads?|advert|advertisements?|advertising|advertorial|banner|breadcrumbs?|comments?|consent|contentinfo|cookies?|disqus|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|overlay|pagination|popup"
+    r"|promo|promos|promoted|promotions?|related|replies|respond|share|sharing|side-?bar|social|sponsor|sponsored|sponsors|subscribe|subscription|toolbar|widget)"
+    r"(?:[_-](?:ads?|area|banner|bar|block|body|box|buttons?|consent|container|form|icons?|inner|items?|links?|list|media|menu|message|nav|notice|overlay|panel|popup|posts?|section|slot|thread|unit|widget|wrap|wrapper))*",
     re.I,
 )
+_TALK = re.compile(r"comment|disqus|replies|respond", re.I)
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 
@@ -46,9 +52,9 @@ def _away(name: str, attrs: str, in_article: int) -> bool:
     """Whether an element is outside the main text by its name or class."""
     if name in _AWAY or (name == "header" and not in_article):
         return True
-    if not attrs or name in ("html", "body", "main") or (name == "article" and "comment" not in attrs):
+    if not attrs or name in ("html", "body", "main", "h1") or (name == "article" and "comment" not in attrs):
         return False
-    return bool(_HIDDEN.search(attrs)) or any(_HINT.search(next(filter(None, m), "")) for m in _NAMED.findall(attrs))
+    return bool(_HIDDEN.search(attrs)) or any(_HINT.fullmatch(x) for m in _NAMED.findall(attrs) for x in next(filter(None, m), "").split())
 
 
 def _tokens(html: str) -> Iterator[tuple[int, int, str, str, str]]:
@@ -63,6 +69,36 @@ def _tokens(html: str) -> Iterator[tuple[int, int, str, str, str]]:
         yield m.start(), at, m[1] or "", name, m[3] or ""
 
 
+def _holder(html: str, tokens: list, closes: dict[int, int]):
+    """Whether the element that a token opens holds too much to be left out: a written h1, the page's largest article, or most of its unlinked text.
+
+    Comments may be the most beside an article of some length.
+    """
+    upto, in_link, at = [0], False, 0
+    for start, end, slash, name, _ in tokens:
+        upto.append(upto[-1] + (0 if in_link else len(html[at:start].strip())))
+        at = end
+        if name == "a":
+            in_link = not slash
+    total = upto[-1] + len(html[at:].strip())
+    size = lambda k: upto[closes[k] + 1] - upto[k + 1]
+    whole = [k for k, (_, _, slash, name, attrs) in enumerate(tokens) if not slash and k in closes and name in ("article", "main", "h1") and size(k) and not _away(name, attrs, 1)]
+    articles = [k for k in whole if tokens[k][3] != "h1"]
+    largest = max(articles, key=size, default=-1)
+
+    def held(k: int) -> bool:
+        if tokens[k][3] in _NEVER:
+            return False
+        if any(k < i < closes[k] for i in whole if tokens[i][3] == "h1" or i == largest):
+            return True
+        if 2 * size(k) <= total:
+            return False
+        rest = size(largest) - size(k) * (largest < k < closes[largest]) if articles else 0
+        return rest < 5 * SURGE or not _TALK.search(tokens[k][4])
+
+    return held
+
+
 class Line(NamedTuple):
     text: str
     linked: int  # characters in links
@@ -85,6 +121,7 @@ def lines_of(html: str) -> list[Line]:
             opened.setdefault(name, []).append(k)
         elif opened.get(name):
             closes[opened[name].pop()] = k
+    held = _holder(html, tokens, closes)
     out: list[Line] = []
     parts: list[str] = []
     links, in_link, articles, at, k, kind = 0, False, 0, 0, 0, ""
@@ -107,7 +144,7 @@ def lines_of(html: str) -> list[Line]:
         start, end, slash, name, attrs = tokens[k]
         add(html[at:start])
         at = end
-        if name and not slash and k in closes and _away(name, attrs, articles):
+        if name and not slash and k in closes and _away(name, attrs, articles) and not held(k):
             flush()
             if not articles:
                 out.append(GAP)

@@ -238,6 +238,30 @@ def test_main_text_windows():
     assert html_text.main_text(teaser).split("\n")[:2] == prose[:2]  # a small article does not drop the text beside it
 
 
+def test_main_text_hints():
+    """Whole class tokens only, and never what holds the text."""
+    prose = [f"{'word ' * 30}{i}." for i in range(4)]
+    body = "<h1 class='page-header'>Title</h1>" + "".join(f"<p>{x}</p>" for x in prose)
+    want = ["Title", *prose]
+    bare = "".join(f"<p>{x}</p>" for x in prose)
+    for page in (
+        f"<div class='content no-sidebar'>{body}</div>",
+        f"<div class='elementor-widget elementor-widget-text-editor'>{body}</div>",
+        f"<div class='widget'><div><h1 class='page-header'><a href='/'>Title</a></h1>{bare}</div></div>",  # most of the text
+        f"<form><main>{body}</main></form>",
+        f"<div class='modal'><article>{body}</article></div>",
+        f"<article>{body}</article>",
+    ):
+        assert html_text.main_text(page).split("\n") == want
+    inside = "<article><p>" + prose[0] + " <math><mi>x</mi></math></p><object><p>Held text of an object.</p></object></article>"
+    assert html_text.main_text(inside).split("\n") == [f"{prose[0]} x", "Held text of an object."]
+    around = "".join(f"<div class='{c}'><p>{prose[3]}</p></div>" for c in ("sidebar", "site-footer", "cookie-banner", "widget", "comments-area", "related posts", "share_buttons"))
+    assert html_text.main_text(f"{around}<div>{bare * 3}</div>").split("\n") == prose * 3
+    talk = "<section id='comments'>" + f"<article class='comment-body'><p>{prose[3]}</p></article>" * 9 + "</section>"
+    assert html_text.main_text(f"<article>{body}</article>{talk}").split("\n") == want
+    assert html_text.main_text(f"<article>{body}{talk}</article>").split("\n") == want
+
+
 def test_pipeline(spark, tmp_path, docs, rows):
     import corpus_pipeline
 
