@@ -2,7 +2,8 @@
 
 Only a document longer than a sequence is cut, into full pieces and one remainder, which comes first. Full pieces are sequences already. All other pieces are dealt at random to
 shards of about SHARD pieces. On each shard several islands evolve a population of packings: a crossover injects whole well-filled bins of one parent into the other, drops the bins that
-held the same pieces, and best-fits the pieces displaced. Between epochs the best packing of each island migrates to the next island of its shard. An epoch of one island is
+held the same pieces, and best-fits the pieces displaced. The best packing is then refilled: the emptiest bins and some others give up their pieces, and each bin is filled again
+by the subset of them that fills it most, as long as bins get fewer or less even. Between epochs the best packing of each island migrates to the next island of its shard. An epoch of one island is
 one task of bounded size; a lost one is computed again from its shard, with the same random numbers. A shard stops at its lower bound.
 
 Defined results: a null or empty text is one piece with the end token alone; repeated rows are documents of their own; an empty table gives an empty table; columns beside
@@ -24,7 +25,7 @@ from .codec import default_path, encoder
 from .shared import stored
 
 LENGTH, END, SHARD = 1024, 2, 4096
-ISLANDS, EPOCHS, POPULATION, GENERATIONS, KEEP = 2, 2, 3, 4, 0.6
+ISLANDS, EPOCHS, POPULATION, GENERATIONS, KEEP, REFILLS = 2, 2, 3, 4, 0.6, 600
 
 Packing = list[list[int]]
 
@@ -66,6 +67,50 @@ def crossover(giver: Packing, taker: Packing, sizes, length: int, rng) -> Packin
     return best_fit(sorted(loose, key=lambda i: -sizes[i]), sizes, length, child)
 
 
+def fullest(room: int, pieces: list[int], sizes) -> list[int]:
+    """Of pieces, largest first, a subset that leaves least of room; earlier pieces are preferred. Bit n of a mask says that a sum of n is reached."""
+    most, masks = (2 << room) - 1, [1]
+    for i in pieces:
+        masks.append((masks[-1] | masks[-1] << sizes[i]) & most)
+        if masks[-1] >> room:
+            break
+    left, chosen = masks[-1].bit_length() - 1, []
+    for k in range(len(masks) - 2, -1, -1):
+        if not masks[k] >> left & 1:
+            chosen.append(pieces[k])
+            left -= sizes[pieces[k]]
+    return chosen
+
+
+def refill(packing: Packing, sizes, length: int, rng, tries: int) -> Packing:
+    """Fill some bins again, the emptiest ones among them, and keep what is no less fit, until the lower bound or so many tries."""
+    bins = [list(b) for b in packing]
+    filled = [sum(sizes[i] for i in b) for b in bins]
+    least = -(-sum(filled) // length)
+    emptiest = np.argsort(filled, kind="stable")[:3].tolist()
+    for _ in range(tries):
+        if len(bins) <= least:
+            break
+        some = min(len(bins), int(rng.integers(5, 40)))
+        open_ = sorted({*emptiest, *rng.integers(0, len(bins), some).tolist()}, reverse=True)
+        rest = sorted((i for k in open_ for i in bins[k]), key=lambda i: -sizes[i])
+        new = []
+        while rest:
+            new.append([rest[0], *fullest(length - sizes[rest[0]], rest[1:], sizes)])
+            rest = [i for i in rest if i not in new[-1]]
+        sums = [sum(sizes[i] for i in b) for b in new]
+        square = lambda xs: sum(x * x for x in xs)
+        if len(new) < len(open_) or (len(new) == len(open_) and square(sums) >= square(filled[k] for k in open_)):
+            for k in open_:
+                bins[k], filled[k] = bins[-1], filled[-1]
+                bins.pop()
+                filled.pop()
+            bins += new
+            filled += sums
+            emptiest = np.argsort(filled, kind="stable")[:3].tolist()
+    return bins
+
+
 def evolve(sizes, length: int, seed: int, immigrants: list[Packing], population: int = POPULATION, generations: int = GENERATIONS) -> Packing:
     """The best packing that one island finds in one epoch."""
     rng = np.random.default_rng(seed)
@@ -84,7 +129,7 @@ def evolve(sizes, length: int, seed: int, immigrants: list[Packing], population:
         people.append(crossover(people[a], people[b], sizes, length, rng))
         people.sort(key=lambda p: fitness(p, sizes, length), reverse=True)
         people.pop()
-    return people[0]
+    return refill(people[0], sizes, length, rng, REFILLS * SHARD // max(len(sizes), SHARD // 4))
 
 
 def pieces_of(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:

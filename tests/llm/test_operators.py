@@ -143,6 +143,25 @@ def test_crossover_keeps_every_piece_once():
     assert sorted(i for x in child for i in x) == list(range(300)) and all(sum(sizes[i] for i in x) <= 100 for x in child)
 
 
+def test_refill_beats_best_fit():
+    rng = np.random.default_rng(7)
+    sizes = rng.integers(1, 1024, 600).tolist()
+    seed = packing.best_fit(sorted(range(600), key=lambda i: -sizes[i]), sizes, 1024, [])
+    full = packing.refill(seed, sizes, 1024, rng, 200)
+    assert sorted(i for b in full for i in b) == list(range(600)) and all(sum(sizes[i] for i in b) <= 1024 for b in full)
+    for room in (0, 1, 7, 100):
+        some = sorted(rng.integers(1, 40, 9).tolist(), reverse=True)
+        best = max(x for x in (sum(some[k] for k in range(9) if m >> k & 1) for m in range(512)) if x <= room)
+        chosen = packing.fullest(room, list(range(9)), some)
+        assert sum(some[k] for k in chosen) == best and len(set(chosen)) == len(chosen)
+
+
+def test_packing_reaches_the_lower_bound(spark):
+    """Best-fit decreasing gives 964 sequences here."""
+    got = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert len(got) == -(-sum(r.n for r in got) // 1024) == 962 and max(r.n for r in got) <= 1024
+
+
 def test_token_counts(docs, rows, empty):
     lib = codec.library(codec.default_path())
     exact = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
