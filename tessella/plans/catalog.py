@@ -420,3 +420,14 @@ def diff_invalidated_tiles(spark, sf_dir):
     return C.invalidated_tiles(tiles, rows.select(F.col("px").alias("min_x"), F.col("py").alias("min_y"), F.col("px").alias("max_x"), F.col("py").alias("max_y")), OPTIONS)
 
 
+@query()
+def diff_invalidated_tiles_all(spark, sf_dir):
+    """All events, tracks and boxes against all tiles of the index."""
+    tiles = None
+    for z in range(OPTIONS.index_max_zoom + 1):
+        n = 1 << z
+        own = spark.range(n * n).select(F.lit(z).alias("z"), (F.col("id") % n).cast("int").alias("x"), F.floor(F.col("id") / n).cast("int").alias("y"))
+        tiles = own if tiles is None else tiles.unionByName(own)
+    bounds = [_projected(spark, sf_dir).select(F.col("px").alias("min_x"), F.col("py").alias("min_y"), F.col("px").alias("max_x"), F.col("py").alias("max_y"))]
+    bounds += [rows.select("min_x", "min_y", "max_x", "max_y") for rows in (_track_features(spark, sf_dir), _box_features(spark, sf_dir))]
+    return C.invalidated_tiles(tiles, bounds[0].unionByName(bounds[1]).unionByName(bounds[2]), OPTIONS)

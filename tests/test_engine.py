@@ -171,3 +171,32 @@ def test_clusters_fold_any_way(spark):
     assert [r.total for r in nodes.where("z = 0").collect()] == ["59"]
     joined = K.build_clusters(K.load_points(points, "k"), ClusterOptions(max_zoom=0), "name", fold=lambda a, b: f"{a},{b}")
     assert joined.where("z = 0").first().total == ",".join(f"{k:02d}" for k in range(60))
+
+
+def test_invalidated_tiles_of_all_features(spark):
+    """Each tile of the index against each event, track and box of the whole table."""
+    import numpy as np
+
+    from tessella.plans import catalog
+
+    folder = "/root/testdata/sf0.001"
+    points = catalog._projected(spark, folder).select("px", "py", "px", "py").toPandas().to_numpy()
+    boxes = [rows.select("min_x", "min_y", "max_x", "max_y").toPandas().to_numpy() for rows in (catalog._track_features(spark, folder), catalog._box_features(spark, folder))]
+    x0, y0, x1, y1 = np.concatenate([points, *boxes]).T
+    m, want = catalog.OPTIONS.margin, set()
+    for z in range(catalog.OPTIONS.index_max_zoom + 1):
+        n = 1 << z
+        for x in range(n):
+            for y in range(n):
+                if ((x0 < (x + 1 + m) / n) & (x1 >= (x - m) / n) & (y0 < (y + 1 + m) / n) & (y1 >= (y - m) / n)).any():
+                    want.add((z, x, y))
+    got = [(r.z, r.x, r.y) for r in catalog.queries()["diff_invalidated_tiles_all"](spark, folder).collect()]
+    assert set(got) == want and len(got) == len(want) and {z for z, _, _ in got} == set(range(6))
+    # Boxes wide enough for the join by ancestors.
+    rng = np.random.default_rng(3)
+    tiles = spark.createDataFrame([(5, x, y) for x in range(32) for y in range(32)], "z int, x int, y int")
+    low, size = rng.uniform(0, 0.5, (3, 2)), rng.uniform(0.3, 0.5, (3, 2)) * [[1, 0.01], [0.01, 1], [0.9, 0.9]]
+    wide = np.concatenate([low, low + size], axis=1)
+    rows = spark.createDataFrame(wide.tolist(), "min_x double, min_y double, max_x double, max_y double")
+    want = {(x, y) for x in range(32) for y in range(32) for a, b, c, d in wide if a < (x + 1 + m) / 32 and c >= (x - m) / 32 and b < (y + 1 + m) / 32 and d >= (y - m) / 32}
+    assert {(r.x, r.y) for r in C.invalidated_tiles(tiles, rows, catalog.OPTIONS).collect()} == want
