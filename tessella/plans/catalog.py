@@ -18,7 +18,7 @@ from . import fixtures as X
 from .fixtures import PX, PY, SQL_BOXES, SQL_POINTS, SQL_PROJECTED, SQL_TRACKS
 
 OPTIONS = TileOptions()
-CLUSTERS = ClusterOptions(max_zoom=5)
+CLUSTERS = ClusterOptions()
 _queries, _oracle = {}, {}
 
 
@@ -277,9 +277,13 @@ def one_shot_tile(spark, sf_dir):
     return rows.select(F.col("id").cast("long").alias("id"), "type", F.size("geometry").alias("lines"), "points")
 
 
-def _nodes(spark, sf_dir) -> DataFrame:
+def _nodes(spark, sf_dir, options=CLUSTERS) -> DataFrame:
     points = K.load_points(X.points(spark, sf_dir), "id")
-    return stored(K.build_clusters(points, CLUSTERS, "value"), "nodes")
+    return stored(K.build_clusters(points, options, "value"), "nodes")
+
+
+#: The SQL of the next two queries has seven levels; cluster_levels_all has all of them.
+_TO_SIX = ClusterOptions(max_zoom=5)
 
 
 _LEVELS = "(SELECT unnest(range(7))::INT AS z)"
@@ -287,12 +291,12 @@ _LEVELS = "(SELECT unnest(range(7))::INT AS z)"
 
 @query(f"SELECT z, (SELECT count(*) FROM events)::BIGINT AS points FROM {_LEVELS}")
 def cluster_levels_total(spark, sf_dir):
-    return _nodes(spark, sf_dir).groupBy("z").agg(F.sum("num_points").alias("points"))
+    return _nodes(spark, sf_dir, _TO_SIX).groupBy("z").agg(F.sum("num_points").alias("points"))
 
 
 @query(f"SELECT z, round((SELECT sum(value) FROM events), 2) AS total FROM {_LEVELS}")
 def cluster_reduce_sum(spark, sf_dir):
-    return _nodes(spark, sf_dir).groupBy("z").agg(F.round(F.sum("total"), 2).alias("total"))
+    return _nodes(spark, sf_dir, _TO_SIX).groupBy("z").agg(F.round(F.sum("total"), 2).alias("total"))
 
 
 @query()
@@ -431,3 +435,12 @@ def diff_invalidated_tiles_all(spark, sf_dir):
     bounds = [_projected(spark, sf_dir).select(F.col("px").alias("min_x"), F.col("py").alias("min_y"), F.col("px").alias("max_x"), F.col("py").alias("max_y"))]
     bounds += [rows.select("min_x", "min_y", "max_x", "max_y") for rows in (_track_features(spark, sf_dir), _box_features(spark, sf_dir))]
     return C.invalidated_tiles(tiles, bounds[0].unionByName(bounds[1]).unionByName(bounds[2]), OPTIONS)
+
+
+_ALL_LEVELS = "(SELECT unnest(range(18))::INT AS z)"
+
+
+@query(f"SELECT z, (SELECT count(*) FROM events)::BIGINT AS points, round((SELECT sum(value) FROM events), 2) AS total FROM {_ALL_LEVELS}")
+def cluster_levels_all(spark, sf_dir):
+    """Both sums at every level of the default options."""
+    return _nodes(spark, sf_dir).groupBy("z").agg(F.sum("num_points").alias("points"), F.round(F.sum("total"), 2).alias("total"))

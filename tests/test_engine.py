@@ -200,3 +200,10 @@ def test_invalidated_tiles_of_all_features(spark):
     rows = spark.createDataFrame(wide.tolist(), "min_x double, min_y double, max_x double, max_y double")
     want = {(x, y) for x in range(32) for y in range(32) for a, b, c, d in wide if a < (x + 1 + m) / 32 and c >= (x - m) / 32 and b < (y + 1 + m) / 32 and d >= (y - m) / 32}
     assert {(r.x, r.y) for r in C.invalidated_tiles(tiles, rows, catalog.OPTIONS).collect()} == want
+
+
+def test_cluster_queries_have_all_levels(spark):
+    from tessella.plans import catalog
+
+    rows = catalog.queries()["cluster_nodes"](spark, "/root/testdata/sf0.001").select("z").distinct().collect()
+    assert {r.z for r in rows} == set(range(18))
