@@ -16,7 +16,8 @@ def components(nodes, links) -> dict:
 
     def root(x):
         while up[x] != x:
-            x = up[x] = up[up[x]]
+            up[x] = up[up[x]]
+            x = up[x]
         return x
 
     for a, b in links:
