@@ -10,9 +10,14 @@ c agreements that are certain beyond them it may lose (c - 1) / 2 more, as may i
 many texts make.
 
 Signatures travel as packed blocks, one for each batch and target partition. Sets that share one become a candidate pair; in buckets of more than STAR sets only pairs with the least set are
-tried first. Passages that many texts share fill buckets with texts that are not similar, so every set also has a sketch, its counts in equal ranges of the hashes: the sum of differences of two
-sketches is at most that of the sets, and pairs beyond (|A| + |B|) / 9 are out without a look at the sets. What large buckets hold is compared by sketches, in blocks, and only sets that are not connected yet
-become pairs, the nearest few first and all others in the last round, so that a group of similar texts doesn't become all its pairs. Candidates are verified on the sets themselves.
+tried first. What large buckets hold is compared in tasks of bounded size, whose rows grow with their input, as no task writes pairs:
+
+1. Every set has a sketch, its counts in equal ranges of the hashes: the sum of differences of two sketches is at most that of the sets, and pairs beyond (|A| + |B|) / 9 can't be similar. A task over the
+   members of a bucket joins the components that could be linked by their sketches and returns a row for each component that it joined to a lesser one. Components joined over all buckets are a group; passages
+   that many texts share join none.
+2. A group is dealt once, with the sets themselves. A task counts shared shingles of sets that are not in one component yet, and returns a row for each component that a similar pair joined to a lesser one.
+
+A bucket or group beyond one task is cut in blocks. Its largest component, where it is large, is one class of blocks and meets the others, never itself; sets of step 1 are classed by size, and meet only their own class and the next.
 
 Shingles and sets are told apart by 64-bit hashes. Defined results: a text without words, or null, has an empty set and links with nothing; equal sets are one class; repeated rows are documents of their own with equal sets; a
 null doc_id counts as larger than all others; an empty table gives an empty table; other columns do not matter.
@@ -20,10 +25,8 @@ null doc_id counts as larger than all others; an empty table gives an empty tabl
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,7 +41,8 @@ from .hashing import U, WordHashes, mix, odd
 from .shared import drop_stored, partitions, row_key, small_or_not, stored
 
 WIDTH, SMALL, STAR, GROWTH, SLACK = 5, 13, 4, 1.6, 1.3
-FLUSH, BLOCK, ROUNDS = 1 << 19, 2000, (4, 1 << 60)
+#: Signatures held before they are sent; nodes of a bucket in one row; sets of a block in step 1, shingles of a block in step 2.
+FLUSH, ROW, BLOCK, SHINGLES = 1 << 19, 1 << 16, 2000, 1 << 19
 _words = WordHashes()
 
 
@@ -193,8 +197,8 @@ def _signed(parts: int):
     return run
 
 
-_FOUND = pa.schema([*(_OUT.field(x) for x in ("doc_id", "row", "node", "size", "spare", "sketch")), ("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.binary()), ("times", pa.int64())])
-_FOUND_SQL = "doc_id long, row long, node long, size long, spare long, sketch binary, a long, b long, bucket binary, times long"
+_FOUND = pa.schema([*(_OUT.field(x) for x in ("doc_id", "row", "node", "size", "spare", "sketch")), ("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("nodes", pa.binary()), ("sets", pa.int64()), ("times", pa.int64())])
+_FOUND_SQL = "doc_id long, row long, node long, size long, spare long, sketch binary, a long, b long, bucket long, nodes binary, sets long, times long"
 
 
 def _found(count: int, **columns) -> pa.RecordBatch:
@@ -208,8 +212,8 @@ def _distinct(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return order[np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])] if len(order) else order
 
 
-def bucket_pairs(pairs: np.ndarray) -> tuple[np.ndarray, Counter]:
-    """Candidates (n x 2) of packed (sig, node) pairs, and the different buckets of more than STAR sets with their number."""
+def bucket_pairs(pairs: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, int]]]:
+    """Candidates (n x 2) of packed (sig, node) pairs, and the different buckets of more than STAR sets by a key of their nodes: these and how often they occur."""
     pairs = pairs[_distinct(pairs["sig"], pairs["node"])]
     new = np.concatenate([[True], pairs["sig"][1:] != pairs["sig"][:-1]]) if len(pairs) else np.zeros(0, bool)
     start = np.flatnonzero(new)
@@ -223,7 +227,12 @@ def bucket_pairs(pairs: np.ndarray) -> tuple[np.ndarray, Counter]:
     found = np.concatenate(out)
     found = found[found[:, 0] != found[:, 1]]
     found = found[_distinct(found[:, 0], found[:, 1])]
-    return found, Counter(pairs["node"][s : s + n].tobytes() for s, n in zip(start[size > STAR], size[size > STAR], strict=True))
+    large: dict[int, tuple[np.ndarray, int]] = {}
+    for s, n in zip(start[size > STAR], size[size > STAR], strict=True):
+        nodes = np.ascontiguousarray(pairs["node"][s : s + n])
+        key = xxhash.xxh3_64_intdigest(nodes) - (1 << 63)
+        large[key] = (nodes, large.get(key, (None, 0))[1] + 1)
+    return found, large
 
 
 def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,8 +249,10 @@ def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(found), 100_000):
             x = found[lo : lo + 100_000]
             yield _found(len(x), a=pa.array(x[:, 0]), b=pa.array(x[:, 1]))
-        if large:
-            yield _found(len(large), bucket=pa.array(list(large), pa.binary()), times=pa.array(list(large.values()), pa.int64()))
+        cut = [(key, nodes[lo : lo + ROW].tobytes(), len(nodes), times) for key, (nodes, times) in large.items() for lo in range(0, len(nodes), ROW)]
+        for lo in range(0, len(cut), 10_000):
+            keys, raw, sets, times = zip(*cut[lo : lo + 10_000], strict=True)
+            yield _found(len(keys), bucket=pa.array(keys, pa.int64()), nodes=pa.array(raw, pa.binary()), sets=pa.array(sets, pa.int64()), times=pa.array(times, pa.int64()))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,17 +263,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @F.pandas_udf(T.BooleanType())
 def _similar(left: pd.Series, right: pd.Series) -> pd.Series:
-    def test(x: bytes, y: bytes) -> bool:
-        a, b = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
-        if len(a) > len(b):
-            a, b = b, a
-        if 100 * len(a) < 80 * len(b):
-            return False
-        at = np.searchsorted(b, a)
-        both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-        return 100 * both >= 80 * (len(a) + len(b) - both)
-
-    return pd.Series([test(x, y) for x, y in zip(left, right, strict=True)], dtype=bool)
+    return pd.Series([similar(np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)) for x, y in zip(left, right, strict=True)], dtype=bool)
 
 
 @F.pandas_udf(T.BooleanType())
@@ -276,53 +277,121 @@ def _possible(left: pd.Series, right: pd.Series, left_size: pd.Series, right_siz
     return pd.Series([test(*x) for x in zip(left, right, left_size, right_size, strict=True)], dtype=bool)
 
 
-def near_pairs(left: np.ndarray, right: np.ndarray, size: np.ndarray, counts: np.ndarray, component: np.ndarray, most: int) -> list[tuple[int, int, bool]]:
-    """(left, right, whether more were left out) for the possible, not connected pairs of two blocks of positions, up to `most` for each left one, nearest first."""
-    out = []
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label with the labels of a[i] and b[i] joined for each i: the least label of all that are connected."""
+    names, at = np.unique(label, return_inverse=True)
+    least, x, y = np.arange(len(names)), at[a], at[b]
+    while True:
+        low = np.minimum(least[x], least[y])
+        new = least.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == least).all():
+            return names[least[at]]
+        least = new
+
+
+def possible_components(left: np.ndarray, right: np.ndarray, size: np.ndarray, counts: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """component with those joined that hold a pair of positions of left and right whose sketches leave it possible."""
+    label = component
     coarse = counts.reshape(len(counts), 16, -1).sum(axis=2, dtype=np.int16)  # a weaker bound for a first look
     step = max(1, (1 << 21) // max(1, len(right) * 16))
     for lo in range(0, len(left), step):
         part = left[lo : lo + step]
-        near = component[part][:, None] != component[right][None, :]
+        near = label[part][:, None] != label[right][None, :]
+        if not near.any():
+            continue
         near &= 9 * np.abs(coarse[part][:, None, :] - coarse[right][None, :, :]).sum(axis=2, dtype=np.int32) <= size[part][:, None] + size[right][None, :]
         rows, cols = np.nonzero(near)
         for at in range(0, len(rows), 1 << 14):
             i, j = part[rows[at : at + (1 << 14)]], right[cols[at : at + (1 << 14)]]
-            apart = np.abs(counts[i] - counts[j]).sum(axis=1, dtype=np.int32)
-            good = 9 * apart <= size[i] + size[j]
-            out.append(np.stack([i[good], apart[good], j[good]], axis=1))
-    found = np.concatenate(out) if out else np.zeros((0, 3), dtype=np.int64)
-    found = found[np.lexsort((found[:, 1], found[:, 0]))]
-    new = np.flatnonzero(np.concatenate([[True], found[1:, 0] != found[:-1, 0]])) if len(found) else np.zeros(0, dtype=np.int64)
-    count = np.diff(np.append(new, len(found)))
-    rank = np.arange(len(found)) - np.repeat(new, count)
-    keep = rank < most
-    return list(zip(found[keep, 0].tolist(), found[keep, 2].tolist(), np.repeat(count > most, count)[keep].tolist(), strict=True))
-
-
-def _nearest(most: int):
-    """Pairs (a, b) of all blocks of a partition, which is sorted by bucket and block; and (a, more): the left sets, by bucket, that have others."""
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            good = 9 * np.abs(counts[i] - counts[j]).sum(axis=1, dtype=np.int32) <= size[i] + size[j]
+            if good.any():
+                label = _joined(label, i[good], j[good])
+    return label
+
+
+def similar_components(left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], component: np.ndarray) -> np.ndarray:
+    """component with those joined that hold a similar pair of positions of left and right."""
+    size, label = np.array([len(x) for x in sets]), component.copy()
+    if not len(left) or not len(right):
+        return label
+    bits = max(16, min(24, int(size.max()).bit_length() + 9))
+    keys = [(sets[j] >> U(64 - bits)).astype(np.int32) for j in right]
+    every, starts = np.concatenate(keys), np.concatenate([[0], np.cumsum(size[right])])
+    seen, first = np.zeros(1 << bits, dtype=bool), np.zeros(len(sets), dtype=bool)
+    first[left] = True
+    for i in left:
+        near = (label[right] != label[i]) & (5 * np.minimum(size[right], size[i]) >= 4 * np.maximum(size[right], size[i]))
+        near &= ~first[right] | (right > i)  # of two positions on both sides, once is enough
+        if not near.any():
+            continue
+        mine = (sets[i] >> U(64 - bits)).astype(np.int32)
+        seen[mine] = True
+        if 4 * near.sum() > len(near):
+            both = np.add.reduceat(seen[every], starts[:-1], dtype=np.int32)  # at least the shared shingles; no set is empty
+            near = np.flatnonzero(near & (9 * both >= 4 * (size[right] + size[i])))
+        else:
+            near = np.flatnonzero(near)
+            near = near[[9 * int(seen[keys[k]].sum()) >= 4 * (size[right[k]] + size[i]) for k in near]]
+        seen[mine] = False
+        for j in right[near]:
+            if label[i] != label[j] and similar(sets[i], sets[j]):
+                x, y = label[i], label[j]
+                label[label == max(x, y)] = min(x, y)
+    return label
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have at least 80 of 100 elements of their union in common."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < 80 * len(b):
+        return False
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return 100 * both >= 80 * (len(a) + len(b) - both)
+
+
+BOTH, LEFT, RIGHT = 0, 1, 2
+
+
+def _by_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each task of a partition, which is sorted by task."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        task = batch.column("task").to_numpy()
+        ends = [*(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
+        if held and len(task) and held[-1].column("task")[0].as_py() != task[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+            if hi > lo:
+                held.append(batch.slice(lo, hi - lo))
+            if hi < len(task):
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _joins(exact: bool):
+    """(a, b): for each task the components that it joined, each with the least one joined to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in chain(batches, [None]):
-            table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            if table is None or not len(table):
-                continue
-            key = np.stack([table[x].to_numpy() for x in ("bucket", "i", "j")], axis=1)
-            ends = np.append(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(key))
-            if batch is not None:  # the last block may go on in the next batch
-                rest, ends = table.slice(ends[-2] if len(ends) > 1 else 0), ends[:-1]
-            found, cut = [], set()
-            node, size, component = (table[x].to_numpy() for x in ("node", "size", "component"))
-            is_left, sketches = table["left"].to_numpy(), table["sketch"]
-            for lo, hi in zip([0, *ends[:-1]], ends, strict=True) if len(ends) else ():
-                side, counts = is_left[lo:hi], _counts(sketches.slice(lo, hi - lo).to_pylist())
-                pairs = near_pairs(np.flatnonzero(side), np.flatnonzero(~side), size[lo:hi], counts, component[lo:hi], most)
-                found += [(*sorted((int(node[lo + a]), int(node[lo + b]))), None) for a, b, _ in pairs]
-                cut |= {(int(node[lo + a]), None, int(key[lo, 0])) for a, _, more in pairs if more}
-            found = [*sorted(set(found)), *cut]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(3)], names=["a", "b", "more"])
+        for table in _by_task(batches):
+            role, old = table["role"].to_numpy(), table["component"].to_numpy()
+            left, right = np.flatnonzero(role != RIGHT), np.flatnonzero(role != LEFT)
+            if exact:
+                new = similar_components(left, right, [np.frombuffer(x.as_py(), dtype=U) for x in table["shingles"]], old)
+            else:
+                new = possible_components(left, right, table["size"].to_numpy(), _counts(table["sketch"].to_pylist()), old)
+            pairs = np.unique(np.stack([old, new], axis=1)[old != new], axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
 
@@ -332,10 +401,10 @@ def _unpacked(buckets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw, times in zip(batch.column("bucket"), batch.column("times"), strict=True):
-                nodes = np.frombuffer(raw.as_py(), dtype="<i8")
-                key = xxhash.xxh3_64_intdigest(raw.as_py()) - (1 << 63)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(nodes), key), nodes, np.full(len(nodes), len(nodes)), np.full(len(nodes), times.as_py()))], names=["bucket", "node", "sets", "times"])
+            nodes = [np.frombuffer(x.as_py(), dtype="<i8") for x in batch.column("nodes")]
+            if nodes:
+                count = [len(x) for x in nodes]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("bucket").to_numpy(), count)), pa.array(np.concatenate(nodes)), *(pa.array(np.repeat(batch.column(x).to_numpy(), count)) for x in ("sets", "times"))], names=["bucket", "node", "sets", "times"])
 
     rows = buckets.mapInArrow(run, "bucket long, node long, sets long, times long")
     return rows.groupBy("bucket", "node", "sets").agg(F.sum("times").alias("times"))
@@ -348,30 +417,63 @@ def _needed(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.where("upto > spare").select("bucket", "node")
 
 
+def _sets_of(used: DataFrame, keyed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes in used, without repeats. The sets are made anew from the texts, one of each node."""
+    wanted = stored(nodes.join(used, "node", "left_semi").select(F.col("row").alias("r"), "node"), "ngram-used")
+    texts = keyed.join(small_or_not(wanted), F.col("row") == F.col("r")).select("node", "text")
+    sets = stored(texts.mapInArrow(_sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "ngram-sets")
+    drop_stored(wanted)
+    return sets
+
+
 def _verified(pairs: DataFrame, keyed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. The sets are made anew from the texts, one of each node."""
-    used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    used = stored(nodes.join(used, "node", "left_semi").select(F.col("row").alias("r"), "node"), "ngram-used")
-    texts = keyed.join(small_or_not(used), F.col("row") == F.col("r")).select("node", "text")
-    sets = texts.mapInArrow(_sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sets = stored(sets, "ngram-sets")
+    """The pairs (a, b) whose sets are similar."""
+    sets = _sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), keyed, nodes)
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     links = stored(both.where(_similar("x", "y")).select("a", "b"), "ngram-links")
-    drop_stored(sets, used)
+    drop_stored(sets)
     return links
 
 
-def _in_blocks(inside: DataFrame, left: DataFrame | None) -> DataFrame:
-    """Members of buckets, dealt to pairs of blocks of at most about BLOCK of them; left (bucket, node): the sets whose pairs are asked for, or None for all."""
-    sizes = stored(inside.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("n")), "ngram-sizes")
-    rows = inside.join(small_or_not(sizes), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "n"))
-    fields = ["bucket", "node", "size", "sketch", "component"]
-    zero, last = F.lit(0).cast("long"), F.col("n") - 1
-    asking = rows if left is None else rows.join(left, ["bucket", "node"], "left_semi")
-    asking = asking.select(*fields, F.lit(True).alias("left"), F.col("block").alias("i"), F.explode(F.sequence(F.col("block") if left is None else zero, last)).alias("j"))
-    asked = rows.select(*fields, F.lit(False).alias("left"), F.explode(F.sequence(zero, F.col("block") if left is None else last)).alias("i"), F.col("block").alias("j"))
-    return asking.unionByName(asked)
+def _dealt(rows: DataFrame, by: str, weight, most: int, kind) -> DataFrame:
+    """rows with task and role: the pairs of every `by` between different components, in tasks of at most about two blocks of this weight.
+
+    Up to `most` it is one task. Beyond, its largest component is kind 0, if it is more than a block itself, and the other members have the kind given (from 1 on); members meet those of their own kind and the next one, and of kind 0,
+    which does not meet itself. Only a member of a large one is copied, once for each block that it meets.
+    """
+    sums = stored(rows.groupBy(by).agg(F.sum(weight).alias("sum")).where(F.col("sum") > most).select(F.col(by).alias("g")), "ngram-large")
+    marked = rows.join(small_or_not(sums), F.col(by) == F.col("g"), "left")
+    small = marked.where("g is null").drop("g").select("*", F.col(by).alias("task"), F.lit(BOTH).alias("role"))
+    large = marked.where("g is not null").drop("g")
+    parts = large.groupBy(by, "component").agg(F.sum(weight).alias("sum")).groupBy(F.col(by).alias("g")).agg(F.max_by("component", "sum").alias("main"), F.max("sum").alias("sum"))
+    parts = small_or_not(stored(parts.where(F.col("sum") > most).drop("sum"), "ngram-main"))
+    kinds = F.when(F.col("component") == F.col("main"), F.lit(0)).otherwise(kind).cast("int")
+    large = large.join(parts, F.col(by) == F.col("g"), "left").withColumn("kind", kinds).drop("g", "main")
+    n = F.greatest(F.lit(1), F.ceil(F.sum(weight) / most)).cast("long")
+    blocks = stored(large.groupBy(F.col(by).alias("g"), F.col("kind").alias("k")).agg(n.alias("n")), "ngram-blocks")
+    there = blocks.select(F.col("g").alias("g2"), F.col("k").alias("k2"), F.col("n").alias("n2"))
+    meets = F.when(F.col("k") == 0, F.col("k2") > 0).otherwise((F.col("k2") == F.col("k")) | (F.col("k2") == F.col("k") + 1))
+    tasks = stored(blocks.join(there, (F.col("g") == F.col("g2")) & meets).drop("g2"), "ngram-tasks")
+    block = lambda count: F.pmod(F.xxhash64("node"), F.col(count))
+    upto = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+    same, zero = F.col("k") == F.col("k2"), F.lit(0).cast("long")
+    task = F.xxhash64("g", "k", "i", "k2", "j").alias("task")
+    to = small_or_not(tasks)
+    left = large.join(to, (F.col(by) == F.col("g")) & (F.col("kind") == F.col("k"))).withColumn("i", block("n"))
+    left = left.withColumn("j", F.explode(upto(F.when(same, F.col("i")).otherwise(zero), F.col("n2") - 1)))
+    left = left.select(*rows.columns, task, F.when(same & (F.col("i") == F.col("j")), BOTH).otherwise(LEFT).alias("role"))
+    right = large.join(to, (F.col(by) == F.col("g")) & (F.col("kind") == F.col("k2"))).withColumn("j", block("n2"))
+    right = right.withColumn("i", F.explode(upto(zero, F.when(same, F.col("j")).otherwise(F.col("n")) - 1))).select(*rows.columns, task, F.lit(RIGHT).alias("role"))
+    return small.unionByName(left).unionByName(right)
+
+
+def _merged(dealt: DataFrame, exact: bool) -> DataFrame:
+    """(component, into): the least component that each one is joined to over all tasks."""
+    parts = partitions(dealt.sparkSession)
+    edges = dealt.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_joins(exact), "a long, b long")
+    found = connected_components(stored(edges.distinct(), "ngram-edges"))
+    return stored(found.select(F.col("node").alias("c"), F.col("component").alias("into")), "ngram-into")
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -386,30 +488,28 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     side = lambda k: nodes.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}"))
     pairs = found.where("a is not null").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
     tried = stored(pairs.where(_possible("sketch_a", "sketch_b", "size_a", "size_b")).select("a", "b"), "ngram-pairs")
-    links = _verified(tried, keyed, nodes)
-    component = stored(connected_components(links), "ngram-components")
-    members = stored(_needed(_unpacked(found.where("bucket is not null").select("bucket", "times")), nodes), "ngram-members")
-    left = None
-    for most in ROUNDS:
-        # Large buckets: of what is not connected yet, the nearest by sketch, then more of them.
-        inside = stored(members.join(component, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "ngram-inside")
-        mixed = inside.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        blocks = _in_blocks(inside.join(mixed, "bucket", "left_semi").join(nodes.select("node", "size", "sketch"), "node"), left)
-        blocks = blocks.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        near = stored(blocks.mapInArrow(_nearest(most), "a long, b long, more long"), "ngram-near")
-        different = stored(near.where("b is not null").select("a", "b").distinct(), "ngram-different")
-        new = stored(different.join(tried, ["a", "b"], "left_anti"), "ngram-new")
-        if not new.isEmpty():
-            tried = tried.unionByName(new)
-            links = links.unionByName(_verified(new, keyed, nodes))
-            component = stored(connected_components(links), "ngram-components")
-        left = near.where("more is not null").select(F.col("more").alias("bucket"), F.col("a").alias("node")).distinct()
-        if left.isEmpty():
-            break
-        members = members.join(left, "bucket", "left_semi")
-    joined = nodes.join(component, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    component = stored(connected_components(_verified(tried, keyed, nodes)), "ngram-components")
+    known = stored(nodes.join(component, "node", "left").select("node", "row", "least", "size", "sketch", F.coalesce("component", "node").alias("component")), "ngram-known")
+
+    # Large buckets of more than one component: which components could be linked.
+    members = _needed(_unpacked(found.where("bucket is not null").select("bucket", "nodes", "sets", "times")), nodes)
+    inside = stored(members.join(known.select("node", "component"), "node"), "ngram-inside")
+    mixed = inside.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    several = stored(inside.join(mixed, "bucket", "left_semi").join(known.select("node", "size", "sketch"), "node"), "ngram-mixed")
+    band = 1 + F.floor(F.log(F.col("size")) / F.log(F.lit(1.25)))
+    possible = _merged(_dealt(several, "bucket", F.lit(1), BLOCK, band), exact=False)
+    drop_stored(inside, several)
+
+    # Groups of them: which are.
+    groups = possible.withColumnRenamed("into", "g")
+    grouped = stored(known.join(small_or_not(groups), F.col("component") == F.col("c")).select("node", "size", "component", F.col("g").alias("bucket")), "ngram-groups")
+    sets = _sets_of(grouped.select("node"), keyed, nodes)
+    close = _merged(_dealt(grouped, "bucket", F.col("size"), SHINGLES, F.lit(1)).join(sets, "node"), exact=True)
+
+    joined = known.join(small_or_not(close), F.col("component") == F.col("c"), "left").select("node", "least", F.coalesce("into", "component").alias("component"))
     least = stored(joined.groupBy("component").agg(F.min("least").alias("component_id")), "ngram-least")
     named = stored(joined.join(least, "component").select(F.col("node").alias("m"), "component_id"), "ngram-named")
+    drop_stored(nodes, tried, component, known, possible, grouped, sets, close, least)
     out = rows.join(small_or_not(named), F.col("node") == F.col("m"), "left")
     component_id = F.when(F.col("size") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "row", "node", F.col("size").alias("n_shingles"), component_id.alias("component_id"))

@@ -69,6 +69,38 @@ def test_ngram_join(docs, rows, empty):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(groups)
 
 
+@pytest.mark.parametrize(("block", "shingles"), [(2000, 1 << 19), (60, 9000)])
+def test_ngram_join_of_a_large_group(spark, monkeypatch, block, shingles):
+    """Texts that are 0.7 to 0.8 similar to each other, and texts that share a passage; in one task, and in many blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "SHINGLES", shingles)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    base, rows = rng.choices(words, k=300), []
+    for i in range(2000):
+        text = list(base)
+        for p in rng.sample(range(300), rng.choice([4, 5, 6])):
+            text[p] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(text)))
+    for i in range(400):
+        rows.append((5000 + i, " ".join(rng.choices(words, k=rng.randint(30, 200)) + base[:100] + rng.choices(words, k=rng.randint(30, 200)))))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute.jaccard_groups(rows)
+
+
+def test_tasks_join_components():
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 1 << 64, 200, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.permutation(len(base))[:150]], rng.integers(0, 1 << 64, rng.integers(0, 60), dtype=np.uint64)])) for _ in range(40)]
+    node, every = np.arange(40), np.arange(40)
+    links = [(i, j) for i in range(40) for j in range(i) if ngram_join.similar(sets[i], sets[j])]
+    want = brute.components(range(40), links)
+    assert links and ngram_join.similar_components(every, every, sets, node).tolist() == [want[i] for i in range(40)]
+    counts = ngram_join._counts([ngram_join.sketch(x) for x in sets])
+    possible = ngram_join.possible_components(every, every, np.array(list(map(len, sets))), counts, node)
+    assert all(possible[i] == possible[j] for i, j in links)
+
+
 def test_signatures_meet_for_every_similar_pair():
     rng = np.random.default_rng(1)
     for size in [4, 5, 8, 9, 12, 13, 14, 16, 20, 22, 35, 60, 150, 400, 1500] * 3:
