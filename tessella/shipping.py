@@ -8,6 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Bytes that a batch to a Python worker may have.
+BATCH_BYTES = 16 << 20
 _shipped: set[str] = set()
 
 
@@ -16,6 +18,9 @@ def ship(spark: SparkSession) -> SparkSession:
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(batch) == "10000":  # the default: batches of long texts would take much memory on both sides
         spark.conf.set(batch, "2000")
+    whole = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(whole, "2147483647")) > BATCH_BYTES:  # the default is all that an Arrow batch can hold
+        spark.conf.set(whole, str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         _shipped.add(context.applicationId)
