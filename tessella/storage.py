@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a table that may be broadcast: checked by a count before each use (about 64 bytes a row).
 BROADCAST_ROWS = 100_000
+#: Bytes of a table's files for each partition of a shuffle whose size follows the table's.
+PARTITION_BYTES = 64 << 20
 _own_dir: str | None = None
 
 
@@ -47,5 +49,13 @@ def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def partitions(spark: SparkSession, of: DataFrame | None = None) -> int:
+    """How many partitions to shuffle to: the session's number, or more where the files that the table comes from ask for it."""
+    least = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if of is None:
+        return least
+    leaves, size = of._jdf.queryExecution().optimizedPlan().collectLeaves().iterator(), 0
+    while leaves.hasNext():
+        own = int(leaves.next().stats().sizeInBytes())
+        size += own if own < 1 << 60 else 0  # Spark's stand-in for a table of unknown size
+    return max(least, -(-size // PARTITION_BYTES))
