@@ -468,9 +468,8 @@ def _dealt(rows: DataFrame, by: str, weight, most: int, kind) -> DataFrame:
     return small.unionByName(left).unionByName(right)
 
 
-def _merged(dealt: DataFrame, exact: bool) -> DataFrame:
+def _merged(dealt: DataFrame, exact: bool, parts: int) -> DataFrame:
     """(component, into): the least component that each one is joined to over all tasks."""
-    parts = partitions(dealt.sparkSession)
     edges = dealt.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_joins(exact), "a long, b long")
     found = connected_components(stored(edges.distinct(), "ngram-edges"))
     return stored(found.select(F.col("node").alias("c"), F.col("component").alias("into")), "ngram-into")
@@ -478,7 +477,7 @@ def _merged(dealt: DataFrame, exact: bool) -> DataFrame:
 
 def similar_groups(docs: DataFrame) -> DataFrame:
     """doc_id, row (a key of the row's content), node (of its set), n_shingles, component_id of each row of docs (doc_id, text)."""
-    parts = partitions(docs.sparkSession)
+    parts = partitions(docs.sparkSession, docs)
     keyed = docs.select(F.col("doc_id").cast("long"), row_key("doc_id", "text").alias("row"), "text")
     dealt = keyed.mapInArrow(_signed(4 * parts), _OUT_SQL).repartition(parts, "part")
     found = stored(dealt.mapInArrow(_bucketed, _FOUND_SQL), "ngram-found")
@@ -497,14 +496,14 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     mixed = inside.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     several = stored(inside.join(mixed, "bucket", "left_semi").join(known.select("node", "size", "sketch"), "node"), "ngram-mixed")
     band = 1 + F.floor(F.log(F.col("size")) / F.log(F.lit(1.25)))
-    possible = _merged(_dealt(several, "bucket", F.lit(1), BLOCK, band), exact=False)
+    possible = _merged(_dealt(several, "bucket", F.lit(1), BLOCK, band), exact=False, parts=parts)
     drop_stored(inside, several)
 
     # Groups of them: which are.
     groups = possible.withColumnRenamed("into", "g")
     grouped = stored(known.join(small_or_not(groups), F.col("component") == F.col("c")).select("node", "size", "component", F.col("g").alias("bucket")), "ngram-groups")
     sets = _sets_of(grouped.select("node"), keyed, nodes)
-    close = _merged(_dealt(grouped, "bucket", F.col("size"), SHINGLES, F.lit(1)).join(sets, "node"), exact=True)
+    close = _merged(_dealt(grouped, "bucket", F.col("size"), SHINGLES, F.lit(1)).join(sets, "node"), exact=True, parts=parts)
 
     joined = known.join(small_or_not(close), F.col("component") == F.col("c"), "left").select("node", "least", F.coalesce("into", "component").alias("component"))
     least = stored(joined.groupBy("component").agg(F.min("least").alias("component_id")), "ngram-least")

@@ -8,6 +8,9 @@ are independent. Consecutive strings of one gram are one context of at most 1.5
 2. A shard concatenates these contexts, sorts their suffixes by induced sorting (induced.py), and takes the permuted common prefixes: strings whose common prefix with a neighbour in order has LENGTH bytes or more repeat.
 3. Each text drops the bytes covered by its repeated strings, all judged on the input.
 
+Two lengths are at work. PASSAGE finds passages of more than 50 words (words of the corpus have five letters and a space, and 50 of them 254 bytes or more); it is what drop_repeats() cuts, and what the column n_repeated of removed_repeats()
+counts. A string of LENGTH bytes that repeats lies within a run that strings of PASSAGE bytes cover, there and elsewhere, so only these runs are searched again for what removed_repeats() removes.
+
 Contexts are told apart by two 64-bit hashes. Defined results: a null text is the empty one; repeated rows repeat each other; a text shorter than LENGTH is left as it is; an
 empty table gives an empty table; columns beside doc_id and text do not matter.
 """
@@ -20,14 +23,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import U, Ranges, mix, odd
 from .induced import common_prefixes, suffix_array
-from .shared import partitions, row_key, stored
+from .shared import drop_stored, partitions, row_key, stored
 
-LENGTH, BATCH, SORTED = 400, 1 << 20, 1 << 20
+LENGTH, PASSAGE, BATCH, SORTED = 400, 250, 1 << 20, 1 << 20
 _CONTEXT = np.dtype([("gram", "<u8"), ("hash", "<u8"), ("row", "<i8"), ("start", "<u4"), ("more", "<u2"), ("lead", "<u2")])
 
 
@@ -132,10 +136,23 @@ def classified(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found[pick], kinds.astype(np.int32)
 
 
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The blocks of each shard of a partition, which is sorted by part."""
+    now, held = None, []
+    for batch in batches:
+        for part, block in zip(batch.column("part").to_pylist(), batch.column("block"), strict=True):
+            if part != now and held:
+                yield held
+                held = []
+            now = part
+            held.append(block.as_py())
+    if held:
+        yield held
+
+
 def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    blocks = [np.frombuffer(x.as_py(), dtype=_CONTEXT) for batch in batches for x in batch.column("block")]
-    if blocks:
-        found, kinds = classified(np.concatenate(blocks))
+    for blocks in _by_part(batches):
+        found, kinds = classified(np.frombuffer(b"".join(blocks), dtype=_CONTEXT))
         for lo in range(0, len(found), 50_000):
             x = found[lo : lo + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(x[c].astype(np.int64)) for c in ("row", "start", "more")] + [pa.array(np.ascontiguousarray(x["gram"]).view(np.int64)), pa.array(x["lead"].astype(np.int64)), pa.array(kinds[lo : lo + 50_000])], schema=_SPAN)
@@ -187,15 +204,18 @@ def repeated_strings(pieces: list[bytes], length: int = LENGTH) -> list[np.ndarr
 
 def _sorted(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blocks in _by_part(batches):
+            yield from shard(blocks)
+
+    def shard(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
         asks: dict[int, list] = {}
-        for batch in batches:
-            for raw in batch.column("block"):
-                raw, at = raw.as_py(), 0
-                while at < len(raw):
-                    gram, row, start, more, kind = np.frombuffer(raw, dtype=_ASK, count=1, offset=at)[0].tolist()
-                    at += _ASK.itemsize
-                    asks.setdefault(gram, []).append((row, start, kind, raw[at : at + more + length]))
-                    at += more + length
+        for raw in blocks:
+            at = 0
+            while at < len(raw):
+                gram, row, start, more, kind = np.frombuffer(raw, dtype=_ASK, count=1, offset=at)[0].tolist()
+                at += _ASK.itemsize
+                asks.setdefault(gram, []).append((row, start, kind, raw[at : at + more + length]))
+                at += more + length
         held, size = [], 0
 
         def spans():
@@ -228,29 +248,37 @@ def _keyed(docs: DataFrame, *more) -> DataFrame:
     return docs.select(*more, F.coalesce("text", F.lit("")).cast("binary").alias("text"), row_key("doc_id", "text").alias("row"))
 
 
-def covered_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(row, spans): for the key of each row's content the strings covered, as an array of (start, more), where there are any."""
-    spark = docs.sparkSession
-    parts = partitions(spark)
-    sent = _keyed(docs).where(F.length("text") >= length).mapInArrow(_hashed(4 * parts, length), "part int, block binary").repartition(parts, "part")
+def covered_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(row, spans): of each row of keyed (text: bytes, row: a key) that has any, the strings covered, as an array of (start, more)."""
+    parts = partitions(keyed.sparkSession, keyed)
+    shards = lambda df: df.repartition(parts, "part").sortWithinPartitions("part")
+    sent = shards(keyed.where(F.length("text") >= length).select("text", "row").mapInArrow(_hashed(4 * parts, length), "part int, block binary"))
     found = stored(sent.mapInArrow(_classified, _SPAN_SQL), "suffix-contexts")
     asks = found.where(F.col("kind") != COVERED).groupBy("row").agg(F.collect_list(F.struct("gram", "start", "more", "kind")).alias("asks"))
     asks = stored(asks.withColumnRenamed("row", "r"), "suffix-asks")
-    wanted = _keyed(docs).join(asks.hint("merge"), F.col("row") == F.col("r")).select("text", "row", "asks")
-    shards = wanted.mapInArrow(_bytes_of(4 * parts, length), "part int, block binary").repartition(parts, "part")
-    answers = shards.mapInArrow(_sorted(length), _SPAN_SQL)
+    wanted = keyed.join(asks.hint("merge"), F.col("row") == F.col("r")).select("text", "row", "asks")
+    answers = shards(wanted.mapInArrow(_bytes_of(4 * parts, length), "part int, block binary")).mapInArrow(_sorted(length), _SPAN_SQL)
     spans = found.where(F.col("kind") == COVERED).unionByName(answers).groupBy("row").agg(F.collect_list(F.struct("start", "more")).alias("spans"))
-    return stored(spans, "suffix-spans")
+    spans = stored(spans, "suffix-spans")
+    drop_stored(found, asks)
+    return spans
 
 
-def _cut(raw: bytes, starts, mores, length: int) -> tuple[bytes, int, int]:
-    """(what is left, bytes removed, maximal runs removed)"""
+def _runs(starts, mores, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs that some strings cover."""
     if not len(starts):
-        return raw, 0, 0
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     order = np.argsort(starts, kind="stable")
     lo, hi = np.asarray(starts)[order], np.maximum.accumulate((np.asarray(starts) + np.asarray(mores) + length)[order])
     new = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]]))
-    begins, ends = lo[new], hi[np.append(new[1:], len(hi)) - 1]
+    return lo[new], hi[np.append(new[1:], len(hi)) - 1]
+
+
+def _cut(raw: bytes, starts, mores, length: int) -> tuple[bytes, int, int]:
+    """(what is left, bytes removed, maximal runs removed)"""
+    begins, ends = _runs(starts, mores, length)
+    if not len(begins):
+        return raw, 0, 0
     kept = b"".join(raw[a:b] for a, b in zip([0, *ends], [*begins, len(raw)], strict=True))
     return kept, len(raw) - len(kept), len(begins)
 
@@ -259,19 +287,56 @@ def _with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     return rows.join(spans.withColumnRenamed("row", "r").hint("merge"), F.col("row") == F.col("r"), "left").withColumn("starts", F.coalesce(F.col("spans.start"), F.array().cast("array<bigint>"))).withColumn("mores", F.coalesce(F.col("spans.more"), F.array().cast("array<bigint>")))
 
 
-def removed_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs (doc_id, text)."""
+_PIECE = pa.schema([("row", pa.int64()), ("of", pa.int64()), ("at", pa.int64()), ("covered", pa.int64()), ("text", pa.binary())])
+_PIECE_SQL = "row long, of long, at long, covered long, text binary"
+
+
+def _pieces(passage: int, length: int):
+    """Of each text with spans a row without text for the bytes they cover, and one for each run of `length` bytes or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, row, starts, mores in zip(*(batch.column(x) for x in ("text", "row", "starts", "mores")), strict=True):
+                text, row = text.as_py(), row.as_py()
+                lo, hi = _runs(starts.values.to_numpy(), mores.values.to_numpy(), passage)
+                out.append((None, row, None, int((hi - lo).sum()), None))
+                for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
+                    if b - a >= length:
+                        out.append((xxhash.xxh3_64_intdigest(f"{row} {a}") - (1 << 63), row, a, None, text[a:b]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(_PIECE)], schema=_PIECE)
+
+    return run
+
+
+def _both_lengths(keyed: DataFrame, length: int, passage: int) -> DataFrame:
+    """(row, spans, covered): strings of `length` bytes that repeat, and the bytes that strings of `passage` bytes cover, for each row that has any of the latter."""
+    spans = covered_spans(keyed, passage)
+    wide = _with_spans(keyed.select("text", "row"), spans).where(F.size("starts") > 0).select("text", "row", "starts", "mores")
+    pieces = stored(wide.mapInArrow(_pieces(passage, length), _PIECE_SQL), "suffix-pieces")
+    inner = covered_spans(pieces.where("row is not null").select("text", "row"), length).withColumnRenamed("row", "p")
+    of = pieces.where("row is not null").select(F.col("row").alias("q"), "of", "at").distinct()
+    moved = inner.join(of, F.col("p") == F.col("q")).select(F.col("of").alias("row"), F.transform("spans", lambda x: F.struct((x["start"] + F.col("at")).alias("start"), x["more"].alias("more"))).alias("spans"))
+    moved = moved.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    covered = pieces.where("row is null").groupBy(F.col("of").alias("o")).agg(F.max("covered").alias("covered"))
+    return stored(covered.join(moved, F.col("o") == F.col("row"), "left").select(F.col("o").alias("row"), "spans", "covered"), "suffix-both")
+
+
+def removed_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, n_repeated of each row of docs (doc_id, text); n_repeated: bytes that repeated strings of `passage` bytes, at most `length`, cover."""
 
     @F.pandas_udf("n_removed bigint, n_spans bigint, kept_sha256 string")
     def judged(texts: pd.Series, starts: pd.Series, mores: pd.Series) -> pd.DataFrame:
         out = [_cut(t, s, m, length) for t, s, m in zip(texts, starts, mores, strict=True)]
         return pd.DataFrame([(n, k, hashlib.sha256(t).hexdigest()) for t, n, k in out], columns=["n_removed", "n_spans", "kept_sha256"])
 
-    rows = _with_spans(_keyed(docs, "doc_id"), covered_spans(docs, length))
-    return rows.select("doc_id", F.length("text").cast("long").alias("n_bytes"), judged("text", "starts", "mores").alias("x")).select("doc_id", "n_bytes", "x.*")
+    rows = _with_spans(_keyed(docs, "doc_id"), _both_lengths(_keyed(docs), length, min(passage, length)))
+    n_bytes = F.length("text").cast("long")
+    out = rows.select("doc_id", n_bytes.alias("n_bytes"), judged("text", "starts", "mores").alias("x"), F.coalesce("covered", F.lit(0)).cast("long").alias("n_repeated"))
+    return out.select("doc_id", "n_bytes", "x.*", (F.col("n_bytes") - F.col("x.n_removed")).alias("n_kept"), "n_repeated")
 
 
-def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def drop_repeats(docs: DataFrame, length: int = PASSAGE) -> DataFrame:
     """docs with the repeated strings cut out of the texts, and n_chars, where there is one, counted anew; characters that lose some of their bytes go."""
 
     @F.pandas_udf("string")
@@ -279,7 +344,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pd.Series([_cut(t, s, m, length)[0].decode("utf-8", "ignore") for t, s, m in zip(texts, starts, mores, strict=True)])
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all")
-    rows = _with_spans(_keyed(docs, row), covered_spans(docs, length))
+    rows = _with_spans(_keyed(docs, row), covered_spans(_keyed(docs), length))
     text = F.when(F.size("starts") == 0, F.col("all.text")).otherwise(left("text", "starts", "mores"))
     rows = rows.select("all", text.alias("cut"))
     new = {"text": F.col("cut"), "n_chars": F.coalesce(F.char_length("cut").cast("long"), F.col("all.n_chars")) if "n_chars" in docs.columns else None}

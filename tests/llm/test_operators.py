@@ -54,8 +54,10 @@ def test_suffix_arrays():
 
 @pytest.mark.parametrize("length", [40, 400])
 def test_repeats(docs, rows, empty, length):
-    got = sorted(map(tuple, suffix_dedup.removed_repeats(docs, length).collect()))
-    assert got == sorted(brute.repeats([r[:2] for r in rows], length))
+    got = suffix_dedup.removed_repeats(docs, length).collect()
+    want, passages = (brute.repeats([r[:2] for r in rows], n) for n in (length, min(length, suffix_dedup.PASSAGE)))
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
+    assert sorted((r.doc_id, r.n_bytes - r.n_kept, r.n_repeated) for r in got) == sorted((w[0], w[2], p[2]) for w, p in zip(want, passages, strict=True))
     assert suffix_dedup.removed_repeats(empty).count() == 0
     assert suffix_dedup.drop_repeats(docs).columns == docs.columns
 
@@ -91,7 +93,7 @@ def test_ngram_join_of_a_large_group(spark, monkeypatch, block, shingles):
 def test_tasks_join_components():
     rng = np.random.default_rng(8)
     base = np.unique(rng.integers(0, 1 << 64, 200, dtype=np.uint64))
-    sets = [np.unique(np.concatenate([base[rng.permutation(len(base))[:150]], rng.integers(0, 1 << 64, rng.integers(0, 60), dtype=np.uint64)])) for _ in range(40)]
+    sets = [np.unique(np.concatenate([base[rng.permutation(len(base))[:185]], rng.integers(0, 1 << 64, rng.integers(0, 40), dtype=np.uint64)])) for _ in range(40)]
     node, every = np.arange(40), np.arange(40)
     links = [(i, j) for i in range(40) for j in range(i) if ngram_join.similar(sets[i], sets[j])]
     want = brute.components(range(40), links)
@@ -350,7 +352,7 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert sorted(r.doc_id for r in single) == sorted({c for _, c in groups.values()}) and set(single) <= set(good)
     assert len(single) < len(good) < len(docs)
 
-    want = {d: x for d, *x in brute.repeats([(r.doc_id, r.text) for r in single])}
+    want = {d: x for d, *x in brute.repeats([(r.doc_id, r.text) for r in single], suffix_dedup.PASSAGE)}
     assert sorted(r.doc_id for r in cut) == sorted(want)
     for r in cut:
         raw = r.text.encode()
