@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 #: Bytes that a batch to a Python worker may have.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 _shipped: set[str] = set()
 
 
