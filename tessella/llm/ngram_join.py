@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from ..operators.components import connected_components
 from .hashing import U, WordHashes, mix, odd
-from .shared import drop_stored, partitions, row_key, small_or_not, stored
+from .shared import drop_stored, partitions, row_key, slices, small_or_not, stored
 
 WIDTH, SMALL, STAR, GROWTH, SLACK = 5, 13, 4, 1.6, 1.3
 #: Signatures held before they are sent; nodes of a bucket in one row; sets of a block in step 1, shingles of a block in step 2.
@@ -185,14 +185,14 @@ def _signed(parts: int):
                     held += len(sig)
                 info.append((node, len(found), seen[node], sketch(found)))
                 if held > FLUSH:
-                    yield flush()
+                    yield from slices(flush())
                     seen, sigs, nodes, held = {}, [], [], 0
             rows = batch.column("row")
             part = pa.array((rows.to_numpy() % parts).astype(np.int32))
             node, size, spare = (pa.array([x[i] for x in info], pa.int64()) for i in range(3))
             yield pa.RecordBatch.from_arrays([part, pa.nulls(len(info), pa.binary()), batch.column("doc_id"), rows, node, size, spare, pa.array([x[3] for x in info], pa.binary())], schema=_OUT)
         if held:
-            yield flush()
+            yield from slices(flush())
 
     return run
 
@@ -246,19 +246,19 @@ def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _found(len(rest), **{x: rest.column(x) for x in ("doc_id", "row", "node", "size", "spare", "sketch")})
     for part in list(blocks):  # no signature is in two parts
         found, large = bucket_pairs(np.frombuffer(b"".join(blocks.pop(part)), dtype=_PAIR))
-        for lo in range(0, len(found), 100_000):
-            x = found[lo : lo + 100_000]
+        for lo in range(0, len(found), 20_000):
+            x = found[lo : lo + 20_000]
             yield _found(len(x), a=pa.array(x[:, 0]), b=pa.array(x[:, 1]))
         cut = [(key, nodes[lo : lo + ROW].tobytes(), len(nodes), times) for key, (nodes, times) in large.items() for lo in range(0, len(nodes), ROW)]
         for lo in range(0, len(cut), 10_000):
             keys, raw, sets, times = zip(*cut[lo : lo + 10_000], strict=True)
-            yield _found(len(keys), bucket=pa.array(keys, pa.int64()), nodes=pa.array(raw, pa.binary()), sets=pa.array(sets, pa.int64()), times=pa.array(times, pa.int64()))
+            yield from slices(_found(len(keys), bucket=pa.array(keys, pa.int64()), nodes=pa.array(raw, pa.binary()), sets=pa.array(sets, pa.int64()), times=pa.array(times, pa.int64())))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [shingles(x.as_py()).tobytes() for x in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "shingles"])
+        yield from slices(pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "shingles"]))
 
 
 @F.pandas_udf(T.BooleanType())

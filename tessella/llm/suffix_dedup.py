@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .hashing import U, Ranges, mix, odd
 from .induced import common_prefixes, suffix_array
-from .shared import drop_stored, partitions, row_key, stored
+from .shared import drop_stored, partitions, row_key, slices, stored
 
 LENGTH, PASSAGE, BATCH, SORTED = 400, 250, 1 << 20, 1 << 20
 _CONTEXT = np.dtype([("gram", "<u8"), ("hash", "<u8"), ("row", "<i8"), ("start", "<u4"), ("more", "<u2"), ("lead", "<u2")])
@@ -109,10 +109,10 @@ def _hashed(parts: int, length: int):
             waiting.append(contexts([t for t, _ in held], [r for _, r in held], length))
             count += len(waiting[-1])
             if count > 1 << 18:
-                yield flush()
+                yield from slices(flush())
                 waiting, count = [], 0
         if count:
-            yield flush()
+            yield from slices(flush())
 
     return run
 
@@ -153,9 +153,9 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
 def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for blocks in _by_part(batches):
         found, kinds = classified(np.frombuffer(b"".join(blocks), dtype=_CONTEXT))
-        for lo in range(0, len(found), 50_000):
-            x = found[lo : lo + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(x[c].astype(np.int64)) for c in ("row", "start", "more")] + [pa.array(np.ascontiguousarray(x["gram"]).view(np.int64)), pa.array(x["lead"].astype(np.int64)), pa.array(kinds[lo : lo + 50_000])], schema=_SPAN)
+        for lo in range(0, len(found), 20_000):
+            x = found[lo : lo + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(x[c].astype(np.int64)) for c in ("row", "start", "more")] + [pa.array(np.ascontiguousarray(x["gram"]).view(np.int64)), pa.array(x["lead"].astype(np.int64)), pa.array(kinds[lo : lo + 20_000])], schema=_SPAN)
 
 
 _ASK = np.dtype([("gram", "<u8"), ("row", "<i8"), ("start", "<u4"), ("more", "<u2"), ("kind", "<u2")])
@@ -180,10 +180,10 @@ def _bytes_of(parts: int, length: int):
                     out.setdefault(ask["gram"] % (1 << 64) % parts, []).append(head + piece)
                     held += len(piece)
                 if held > 8 << 20:
-                    yield flush()
+                    yield from slices(flush())
                     out, held = {}, 0
         if held:
-            yield flush()
+            yield from slices(flush())
 
     return run
 
@@ -304,7 +304,7 @@ def _pieces(passage: int, length: int):
                 for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
                     if b - a >= length:
                         out.append((xxhash.xxh3_64_intdigest(f"{row} {a}") - (1 << 63), row, a, None, text[a:b]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(_PIECE)], schema=_PIECE)
+            yield from slices(pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(_PIECE)], schema=_PIECE))
 
     return run
 
