@@ -49,7 +49,7 @@ class Ranges:
     """Hashes of any byte ranges of one text."""
 
     def __init__(self, raw: np.ndarray):
-        up, self.down, table = _powers(1 << max(21, int(len(raw)).bit_length()))
+        up, self.down, table = _powers(1 << max(20, int(len(raw)).bit_length()))
         with np.errstate(over="ignore"):
             self.sums = np.zeros(len(raw) + 1, dtype=U)
             np.cumsum(table[raw] * up[: len(raw)], dtype=U, out=self.sums[1:])

@@ -31,7 +31,7 @@ from .hashing import U, Ranges, mix, odd
 from .induced import common_prefixes, suffix_array
 from .shared import drop_stored, partitions, row_key, slices, stored
 
-LENGTH, PASSAGE, BATCH, SORTED = 400, 250, 1 << 20, 1 << 20
+LENGTH, PASSAGE, BATCH, SORTED = 400, 250, 1 << 19, 1 << 19
 _CONTEXT = np.dtype([("gram", "<u8"), ("hash", "<u8"), ("row", "<i8"), ("start", "<u4"), ("more", "<u2"), ("lead", "<u2")])
 
 
