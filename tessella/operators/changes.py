@@ -23,6 +23,8 @@ def apply_changes(source: DataFrame, remove: DataFrame | None = None, add: DataF
 
     remove: id. add: features; where ids aren't repeated, all rows of an id are one feature. update: features with seq, whose values, where not null, replace those of all features of that id; ids that are not there are ignored.
     """
+    # One number that all others follow. Of added rows those of the change set alone are counted.
+    last = (source.agg(F.max("seq")).first()[0] or 0) if add is not None or update is not None else 0
     affected = source if remove_all else source.limit(0)
     source = source.limit(0) if remove_all else source
     add = last_per_id(add) if add is not None and repeated else add
@@ -34,16 +36,15 @@ def apply_changes(source: DataFrame, remove: DataFrame | None = None, add: DataF
         affected = affected.unionByName(source.join(gone, "id", "left_semi"))
         source = source.join(gone, "id", "left_anti")
     if add is not None:
-        last = F.coalesce(F.lit(source.agg(F.max("seq")).first()[0]), F.lit(0))
-        added = add.withColumn("seq", last + 1 + F.col("seq"))
+        added = add.withColumn("seq", F.lit(last + 1) + F.col("seq"))
         source, affected = source.unionByName(added), affected.unionByName(added)
     if update is not None:
         patch = small_or_not(last_per_id(update.where("id is not null")))
         values = [c for c in source.columns if c not in ("id", "seq") and c in patch.columns]
         old = source.join(patch.select("id"), "id", "left_semi")
-        last = F.lit(source.agg(F.max("seq")).first()[0] or 0)
+        last += 1 + (add.agg(F.max("seq")).first()[0] or 0) if add is not None else 0
         renamed = patch.select("id", F.col("seq").alias("u_seq"), *[F.col(c).alias(f"u_{c}") for c in values])
-        new = old.join(renamed, "id").select("id", (last + 1 + F.col("u_seq")).alias("seq"), *[F.coalesce(f"u_{c}", c).alias(c) if c in values else F.col(c) for c in source.columns if c not in ("id", "seq")])
+        new = old.join(renamed, "id").select("id", (F.lit(last + 1) + F.col("u_seq")).alias("seq"), *[F.coalesce(f"u_{c}", c).alias(c) if c in values else F.col(c) for c in source.columns if c not in ("id", "seq")])
         source = source.join(patch.select("id"), "id", "left_anti").unionByName(new)
         affected = affected.unionByName(old).unionByName(new)
     return source, affected

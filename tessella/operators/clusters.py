@@ -4,6 +4,7 @@ At one zoom greedy decisions reach no further than the radius, so connected comp
 grid cells. Neighbours are visited in array order, bounds are inclusive.
 
 nodes: z, idx (place in the level), x, y, id (cluster id, or the point's index), parent_id, num_points, point (source row of a single point, else null), total (the mapped values, folded: by default their sum).
+x and y are 32-bit floats of single points, as the search sees them; what is shown of a single point comes from its own row: px and py in full, id and tags.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import operator
 from collections.abc import Callable
 from functools import reduce
+from math import floor
 
 import numpy as np
 import pandas as pd
@@ -24,7 +26,6 @@ from .components import connected_components
 
 #: Levels of at most so many nodes are one task; a larger one is split by connected components first. Both give the same nodes.
 ONE_TASK = 200_000
-_NODES = "idx long, x double, y double, id long, parent_id long, num_points long, point long, total double"
 
 
 def dense_index(df: DataFrame, *order) -> DataFrame:
@@ -40,10 +41,20 @@ def dense_index(df: DataFrame, *order) -> DataFrame:
 
 
 def load_points(points: DataFrame, *order) -> DataFrame:
-    """Level max_zoom + 1 from (lon, lat, value) in this order: coordinates as 32-bit floats; rows without coordinates go."""
+    """Level max_zoom + 1 from (lon, lat, value) in this order: px, py, and x, y as 32-bit floats; rows without coordinates go."""
     rows = dense_index(points.where("lon is not null and lat is not null"), *order)
-    single = lambda c: c.cast("float").cast("double")
-    return rows.select("*", single(project_x(F.col("lon"))).alias("x"), single(project_y(F.col("lat"))).alias("y"))
+    return _rounded(rows.select("*", project_x(F.col("lon")).alias("px"), project_y(F.col("lat")).alias("py")))
+
+
+def feature_points(features: DataFrame) -> DataFrame:
+    """The same from features (sources.geojson): their single points, world copies among them, with id and tags, in order of seq."""
+    at = lambda k: F.col("paths")[0]["xyz"][k]
+    rows = features.where("kind = 'Point'").select("seq", "id", "tags", at(0).alias("px"), at(1).alias("py"))
+    return _rounded(dense_index(rows, "seq").withColumnRenamed("id", "feature_id"))
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.select("*", *[F.col(f"p{c}").cast("float").cast("double").alias(c) for c in "xy"])
 
 
 def near_pairs(level: DataFrame, reach: float) -> DataFrame:
@@ -57,40 +68,71 @@ def near_pairs(level: DataFrame, reach: float) -> DataFrame:
     return pairs.where(dx * dx + dy * dy <= reach * reach).select("a", "b")
 
 
-def greedy(nodes: list[dict], reach: float, zoom: int, points: int, min_points: int, fold: Callable = operator.add) -> tuple[list[dict], dict[int, int]]:
-    """(nodes of the next level in order, id of the cluster that each absorbed idx got) of one component in array order."""
-    fx = {n["idx"]: (float(np.float32(n["x"])), float(np.float32(n["y"]))) for n in nodes}
-    grid: dict[tuple[int, int], list[dict]] = {}
-    for n in nodes:
-        grid.setdefault((int(fx[n["idx"]][0] // reach), int(fx[n["idx"]][1] // reach)), []).append(n)
-    out, parents, seen = [], {}, set()
-    for n in nodes:
-        if n["idx"] in seen:
+def near_components(level: DataFrame, reach: float) -> DataFrame:
+    """(node, component) over near pairs. Nodes of one place are near each other without being paired: only the first of them joins the search."""
+    place = level.groupBy("x", "y").agg(F.min("idx").alias("idx"))
+    place = stored(place, "places")
+    same = level.join(place.withColumnRenamed("idx", "b"), ["x", "y"]).where("idx <> b").select(F.col("idx").alias("a"), "b")
+    return connected_components(near_pairs(place, reach).unionByName(same))
+
+
+def _around(x: np.ndarray, y: np.ndarray, fx: np.ndarray, fy: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, lo, hi): targets sorted by grid cell, and for each origin three ranges of that order that hold all targets within reach."""
+    key = lambda cx, cy: (cx + (1 << 30)) * (1 << 32) + (cy + (1 << 30))
+    cell = lambda v: np.floor(v / reach).astype(np.int64)
+    keys = key(cell(fx), cell(fy))
+    order = np.argsort(keys, kind="stable")
+    keys, cx, cy = keys[order], cell(x), cell(y)
+    lo = np.stack([np.searchsorted(keys, key(cx + i, cy - 1), "left") for i in (-1, 0, 1)])
+    hi = np.stack([np.searchsorted(keys, key(cx + i, cy + 1), "right") for i in (-1, 0, 1)])
+    return order, lo, hi
+
+
+def greedy(nodes: pd.DataFrame, reach: float, zoom: int, points: int, min_points: int, fold: Callable = operator.add) -> tuple[list[tuple], dict[int, int]]:
+    """Of one component, sorted by idx: nodes of the next level in order, as (x, y, id, num_points, point, total, origin, place), and the id of the cluster that each absorbed idx got."""
+    idx, x, y, num = (nodes[c].to_numpy() for c in ("idx", "x", "y", "num_points"))
+    ids, point, total = nodes["id"].tolist(), nodes["point"].tolist(), nodes["total"].tolist()
+    fx, fy = (v.astype(np.float32).astype(np.float64) for v in (x, y))
+    order, lo, hi = _around(x, y, fx, fy, reach)
+    crowded = (hi - lo).sum(axis=0) > 1
+    seen = np.zeros(len(idx), dtype=bool)
+    out, parents = [], {}
+
+    def same(k: int, origin: int, place: int) -> tuple:
+        return (x[k], y[k], ids[k], num[k], None if num[k] > 1 else point[k], total[k], idx[origin], place)
+
+    for i in range(len(idx)):
+        if seen[i]:
+            continue
+        seen[i] = True
+        if not crowded[i]:  # nobody is near
+            out.append(same(i, i, 0))
             continue
-        seen.add(n["idx"])
-        cx, cy = int(n["x"] // reach), int(n["y"] // reach)
-        near = [m for i in (-1, 0, 1) for j in (-1, 0, 1) for m in grid.get((cx + i, cy + j), ()) if m["idx"] not in seen and (fx[m["idx"]][0] - n["x"]) ** 2 + (fx[m["idx"]][1] - n["y"]) ** 2 <= reach * reach]
-        near.sort(key=lambda m: m["idx"])
-        total = n["num_points"] + sum(m["num_points"] for m in near)
-        seen.update(m["idx"] for m in near)
-        if near and total >= min_points:
-            group = [n, *near]
-            key = (n["idx"] << 5) + zoom + 1 + points
-            parents |= {m["idx"]: key for m in group}
-            mean = lambda c: sum(m[c] * m["num_points"] for m in group) / total  # noqa: B023, E731
-            out.append({"x": mean("x"), "y": mean("y"), "id": key, "num_points": total, "point": None, "total": reduce(fold, (m["total"] for m in group)), "origin": n["idx"], "place": 0})
+        near = np.concatenate([order[lo[k, i] : hi[k, i]] for k in range(3)])
+        near = near[~seen[near]]
+        near = np.sort(near[(fx[near] - x[i]) ** 2 + (fy[near] - y[i]) ** 2 <= reach * reach])
+        group = [i, *near.tolist()]
+        seen[near] = True
+        weight = [int(n) for n in num[group]]
+        if len(group) > 1 and sum(weight) >= min_points:
+            key = (int(idx[i]) << 5) + zoom + 1 + points
+            parents |= dict.fromkeys(idx[group].tolist(), key)
+            mean = lambda v: sum(a * n for a, n in zip(v[group].tolist(), weight, strict=True)) / sum(weight)  # noqa: B023, E731
+            out.append((mean(x), mean(y), key, sum(weight), None, reduce(fold, (total[k] for k in group)), idx[i], 0))
         else:
-            out += [{**{k: m[k] for k in ("x", "y", "id", "num_points", "point", "total")}, "origin": n["idx"], "place": k} for k, m in enumerate([n, *near])]
+            out += [same(k, i, place) for place, k in enumerate(group)]
     return out, parents
 
 
+_MADE = ("x", "y", "id", "num_points", "point", "total", "origin", "place")
+
+
 def _component_kernel(reach: float, zoom: int, points: int, min_points: int, fold: Callable):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("idx").astype(object).where(pdf.sort_values("idx").notna(), None).to_dict("records")
-        made, parents = greedy(rows, reach, zoom, points, min_points, fold)
-        old = [{"origin": i, "parent": p} for i, p in parents.items()]
-        frame = pd.DataFrame([{**m, "parent": None} for m in made] + [{"origin": o["origin"], "parent": o["parent"]} for o in old], columns=["x", "y", "id", "num_points", "point", "total", "origin", "place", "parent"])
-        return frame.astype({k: "Int64" for k in ("id", "num_points", "point", "origin", "place", "parent")})
+        made, parents = greedy(pdf.sort_values("idx"), reach, zoom, points, min_points, fold)
+        rows = [(*m, None) for m in made] + [(None,) * 6 + (origin, None, parent) for origin, parent in parents.items()]
+        frame = pd.DataFrame(rows, columns=[*_MADE, "parent"], dtype=object)
+        return frame.astype({"x": "float64", "y": "float64"} | {k: "Int64" for k in ("id", "num_points", "point", "origin", "place", "parent")})
 
     return run
 
@@ -98,7 +140,8 @@ def _component_kernel(reach: float, zoom: int, points: int, min_points: int, fol
 def build_clusters(points: DataFrame, options: ClusterOptions = ClusterOptions(), value: str | None = None, one_task: int = ONE_TASK, fold: Callable | None = None) -> DataFrame:
     """nodes of all levels from load_points() rows; `total` sums the column `value`, or counts points.
 
-    fold(accumulated, next) -> accumulated replaces the sum: it starts from the value of a cluster's origin and takes its neighbours in array order; the column keeps its type, a number or a text.
+    fold(accumulated, next) -> accumulated replaces the sum: it starts from the value of a cluster's origin and takes its neighbours in array order; the column keeps its type: a number, a text, or a
+    struct, which comes as a dict and is a record of several accumulators.
     """
     total = points.count()
     kind = points.schema[value].dataType.simpleString() if fold and value else "double"
@@ -110,7 +153,7 @@ def build_clusters(points: DataFrame, options: ClusterOptions = ClusterOptions()
         if level.limit(one_task + 1).count() <= one_task:
             marked = level.withColumn("component", F.lit(0).cast("long"))
         else:
-            component = connected_components(near_pairs(level, reach))
+            component = near_components(level, reach)
             marked = stored(level.join(component, F.col("idx") == F.col("node"), "left").drop("node"), "marked")
         kernel = _component_kernel(reach, z, total, options.min_points, fold or operator.add)
         made = marked.where("component is not null").groupBy("component").applyInPandas(kernel, f"x double, y double, id long, num_points long, point long, total {kind}, origin long, place long, parent long")
@@ -126,46 +169,74 @@ def build_clusters(points: DataFrame, options: ClusterOptions = ClusterOptions()
     return out
 
 
-def cluster_columns(nodes: DataFrame) -> DataFrame:
+def shown(nodes: DataFrame, points: DataFrame, generate_id: bool = False) -> DataFrame:
+    """nodes with px, py, feature_id and tags: of clusters their mean, id and properties; of single points all that their rows in points have (feature_id and tags: JSON, where there are any).
+
+    With generate_id a single point's id is its index.
+    """
+    own = points.select(F.col("idx").alias("q"), F.col("px").alias("own_x"), F.col("py").alias("own_y"), *[(F.col(c) if c in points.columns else F.lit(None)).cast("string").alias(f"own_{c}") for c in ("feature_id", "tags")])
+    is_cluster, total = F.col("num_points") > 1, dict(nodes.dtypes)["total"]
+    properties = F.struct(F.lit(True).alias("cluster"), F.col("id").alias("cluster_id"), F.col("num_points").alias("point_count"), abbreviated(F.col("num_points")).alias("point_count_abbreviated"))
+    tags = F.to_json(properties)
+    if total.startswith("struct"):  # a record's fields are properties of their own
+        tags = F.concat(F.expr("left(to_json(total), length(to_json(total)) - 1)"), F.lit(","), F.substring(tags, 2, 1 << 20))
+    rows = nodes.join(own, F.col("point") == F.col("q"), "left")
+    number = F.col("id").cast("string")
+    return rows.select(
+        *nodes.columns,
+        F.coalesce("own_x", "x").alias("px"),
+        F.coalesce("own_y", "y").alias("py"),
+        F.when(is_cluster | F.lit(generate_id), number).otherwise(F.col("own_feature_id")).alias("feature_id"),
+        F.when(is_cluster, tags).otherwise(F.col("own_tags")).alias("tags"),
+    )
+
+
+def cluster_columns(nodes: DataFrame, points: DataFrame, generate_id: bool = False) -> DataFrame:
     """Nodes as map features: position in degrees, and the properties of clusters."""
     is_cluster = F.col("num_points") > 1
-    return nodes.select("z", "idx", "id", unproject_x(F.col("x")).alias("lon"), unproject_y(F.col("y")).alias("lat"), is_cluster.alias("cluster"), F.when(is_cluster, F.col("id")).alias("cluster_id"), "num_points", abbreviated(F.col("num_points")).alias("point_count_abbreviated"), "point", "total")
+    rows = shown(nodes, points, generate_id)
+    return rows.select("z", "idx", "id", unproject_x(F.col("px")).alias("lon"), unproject_y(F.col("py")).alias("lat"), is_cluster.alias("cluster"), F.when(is_cluster, F.col("id")).alias("cluster_id"), "num_points", abbreviated(F.col("num_points")).alias("point_count_abbreviated"), "point", "total", "feature_id", "tags")
+
+
+def cluster_geojson(columns: DataFrame) -> DataFrame:
+    """(z, idx, value): rows of cluster_columns as GeoJSON features."""
+    text = lambda c: F.coalesce(c, F.lit("null"))
+    own = F.when(F.col("feature_id").isNotNull(), F.concat(F.lit('"id":'), "feature_id", F.lit(","))).otherwise(F.lit(""))
+    at = F.to_json(F.array("lon", "lat"))
+    return columns.select("z", "idx", F.concat(F.lit('{"type":"Feature",'), own, F.lit('"properties":'), text(F.col("tags")), F.lit(',"geometry":{"type":"Point","coordinates":'), at, F.lit("}}")).alias("value"))
 
 
 def bbox_ranges(west: float, south: float, east: float, north: float) -> list[tuple[float, float, float, float]]:
     """Longitude ranges of a box: one, or two where it crosses the date line; latitudes clamped."""
     lo, hi = max(-90.0, min(90.0, south)), max(-90.0, min(90.0, north))
-    turn = lambda v: ((v + 180) % 360 + 360) % 360 - 180
+    turn = lambda v: v - 360 * floor((v + 180) / 360)
     w, e = turn(west), 180.0 if east == 180 else turn(east)
     if east - west >= 360:
         return [(-180.0, lo, 180.0, hi)]
     return [(w, lo, 180.0, hi), (-180.0, lo, e, hi)] if w > e else [(w, lo, e, hi)]
 
 
-def get_clusters(nodes: DataFrame, bbox: tuple[float, float, float, float], zoom: float, options: ClusterOptions = ClusterOptions()) -> DataFrame:
+def get_clusters(nodes: DataFrame, points: DataFrame, bbox: tuple[float, float, float, float], zoom: float, options: ClusterOptions = ClusterOptions()) -> DataFrame:
     rows = nodes.where(F.col("z") == options.clamp(zoom))
     inside = F.lit(False)
     for w, s, e, n in bbox_ranges(*bbox):
         x = F.col("x").cast("float").cast("double").between(project_x(F.lit(w)), project_x(F.lit(e)))
         inside = inside | (x & F.col("y").cast("float").cast("double").between(project_y(F.lit(n)), project_y(F.lit(s))))
-    return cluster_columns(rows.where(inside))
+    return cluster_columns(rows.where(inside), points, options.generate_id)
 
 
-def cluster_tile(nodes: DataFrame, z: int, x: int, y: int, options: ClusterOptions = ClusterOptions()) -> DataFrame:
-    """idx, id, num_points, tx, ty of the nodes in a tile with its margin; at the edges of the world copies from the other side come too."""
-    level, scale, p = nodes.where(F.col("z") == options.clamp(z)), float(1 << z), options.radius / options.extent
+def cluster_tile(nodes: DataFrame, points: DataFrame, z: int, x: int, y: int, options: ClusterOptions = ClusterOptions()) -> DataFrame:
+    """copy, idx, id, num_points, point, tx, ty, feature_id, tags of the nodes in a tile with its margin; at the edges of the world copies from the other side come too."""
+    level, scale, p = nodes.where(F.col("z") == options.clamp(z)), 2.0**z, options.radius / options.extent
     top, bottom = (y - p) / scale, (y + 1 + p) / scale
     ranges = [((x - p) / scale, (x + 1 + p) / scale, x)]
     ranges += [(1 - p / scale, 1.0, 1 << z)] if x == 0 else []
     ranges += [(0.0, p / scale, -1)] if x == (1 << z) - 1 else []
-    out = None
     single = lambda c: F.col(c).cast("float").cast("double")
-    for k, (lo, hi, at) in enumerate(ranges):
-        rows = level.where(single("x").between(lo, hi) & single("y").between(top, bottom))
-        unit = lambda v, t: F.floor(F.lit(float(options.extent)) * (v * scale - t) + 0.5).cast("int")
-        rows = rows.select(F.lit(k).alias("copy"), "idx", "id", "num_points", "point", unit(F.col("x"), at).alias("tx"), unit(F.col("y"), y).alias("ty"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    copies = F.filter(F.array(*[F.struct(F.lit(k).alias("copy"), F.lit(float(at)).alias("at"), single("x").between(lo, hi).alias("inside")) for k, (lo, hi, at) in enumerate(ranges)]), lambda c: c["inside"])
+    rows = level.where(single("y").between(top, bottom)).withColumn("c", F.explode(copies)).select("*", "c.copy", "c.at").drop("c")
+    unit = lambda v, t: F.floor(F.lit(float(options.extent)) * (F.col(v) * scale - t) + 0.5).cast("int")
+    return shown(rows, points, options.generate_id).select("copy", "idx", "id", "num_points", "point", unit("px", F.col("at")).alias("tx"), unit("py", F.lit(float(y))).alias("ty"), "feature_id", "tags")
 
 
 def expansion_zoom(cluster: int, points: int) -> int:
@@ -173,7 +244,7 @@ def expansion_zoom(cluster: int, points: int) -> int:
 
 
 def children(nodes: DataFrame, cluster: int, points: int) -> DataFrame:
-    """The nodes one level below a cluster, in order. Raises ValueError if there are none."""
+    """The nodes one level below a cluster, in order. points: how many there are. Raises ValueError if there are none."""
     found = nodes.where((F.col("z") == expansion_zoom(cluster, points)) & (F.col("parent_id") == cluster))
     if found.isEmpty():
         raise ValueError("no cluster with the specified id")
@@ -193,4 +264,31 @@ def leaves(nodes: DataFrame, cluster: int, points: int, limit: int | None = 10,
     return done.orderBy("path").offset(offset).limit(limit or 10)
 
 
-__all__ = ["build_clusters", "children", "cluster_columns", "cluster_tile", "dense_index", "expansion_zoom", "get_clusters", "leaves", "load_points", "near_pairs", "origin_index"]
+class ClusterIndex:
+    """Clusters over loaded points (load_points or feature_points), and all that can be asked of them."""
+
+    def __init__(self, points: DataFrame, options: ClusterOptions = ClusterOptions(), value: str | None = None, fold: Callable | None = None):
+        self.options, self.points = options, stored(points, "points")
+        self.count = self.points.count()
+        self.nodes = stored(build_clusters(self.points, options, value, fold=fold), "nodes")
+
+    def get_tile(self, z: int, x: int, y: int) -> DataFrame:
+        return cluster_tile(self.nodes, self.points, z, x, y, self.options)
+
+    def get_clusters(self, bbox: tuple[float, float, float, float], zoom: float) -> DataFrame:
+        return get_clusters(self.nodes, self.points, bbox, zoom, self.options)
+
+    def expansion_zoom(self, cluster: int) -> int:
+        return expansion_zoom(cluster, self.count)
+
+    def children(self, cluster: int) -> DataFrame:
+        return cluster_columns(children(self.nodes, cluster, self.count), self.points, self.options.generate_id).orderBy("idx")
+
+    def leaves(self, cluster: int, limit: int | None = 10, offset: int = 0) -> DataFrame:
+        """point, path, lon, lat, feature_id, tags of the single points, in order of their paths."""
+        rows = leaves(self.nodes, cluster, self.count, limit, offset)
+        own = self.points.select(F.col("idx").alias("q"), unproject_x(F.col("px")).alias("lon"), unproject_y(F.col("py")).alias("lat"), *[(F.col(c) if c in self.points.columns else F.lit(None).cast("string")).alias(c) for c in ("feature_id", "tags")])
+        return rows.join(own, F.col("point") == F.col("q")).select("point", "path", "lon", "lat", "feature_id", "tags").orderBy("path")
+
+
+__all__ = ["ClusterIndex", "cluster_geojson", "feature_points", "greedy", "shown", "build_clusters", "children", "cluster_columns", "cluster_tile", "dense_index", "expansion_zoom", "get_clusters", "leaves", "load_points", "near_pairs", "origin_index"]

@@ -8,19 +8,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kernels import Shape, clip, quadtree, quantised, tile_lines, world_copies
 from ..functions.projection import project_x, project_y, quantise, tiles_of
 from ..options import TileOptions
 from ..sources.geojson import ARROW, FEATURES, row_shape, shape_row, to_geojson
-from ..storage import small_or_not, stored
-from .changes import apply_changes, keep_where, last_per_id
+from ..storage import BROADCAST_ROWS, partitions, small_or_not, stored
+from .changes import apply_changes, invalidated_tiles, keep_where, last_per_id, update_properties
 from .clusters import dense_index
 
 _RINGS = pa.list_(pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())])))
 _TILE = pa.schema([("z", pa.int32()), ("x", pa.int32()), ("y", pa.int32()), ("seq", pa.int64()), ("part", pa.int32()), ("type", pa.int32()), ("id", pa.string()), ("tags", pa.string()), ("clip_start", pa.float64()), ("clip_end", pa.float64()), ("geometry", _RINGS), ("points", pa.int64()), ("simplified", pa.int64()), *((k, pa.float64()) for k in ("min_x", "min_y", "max_x", "max_y"))])
+#: Rows that a task holds before it gives them out.
+FLUSH = 2000
 TILE_FEATURES = "z int, x int, y int, seq long, part int, type int, id string, tags string, clip_start double, clip_end double, geometry array<array<struct<x:int,y:int>>>, points long, simplified long, min_x double, min_y double, max_x double, max_y double"
 
 
@@ -58,35 +60,59 @@ def _row(shape: Shape, z: int, x: int, y: int, options: TileOptions) -> dict:
     return {"z": z, "x": x, "y": y, "type": kind, "clip_start": start, "clip_end": stop, "geometry": lines, "points": count, "simplified": kept, **bounds}
 
 
-def tile_features(features: DataFrame, options: TileOptions = TileOptions(), max_zoom: int | None = None, target: tuple[int, int, int] | None = None) -> DataFrame:
-    """A row for each feature and tile that holds something of it, down to max_zoom, or on the way to one target tile.
-
-    A row whose geometry is empty was simplified away: it counts in the tile but isn't a feature of it.
-    """
-    last = min(options.max_zoom, options.index_max_zoom if max_zoom is None else max_zoom)
-    wanted = None
-    if target:
-        tz, tx, ty = target
-        last = min(options.max_zoom, tz)
-        wanted = lambda z, x, y: (tx >> (tz - z), ty >> (tz - z)) == (x, y)
-        scale, m = float(1 << tz), options.margin
-        features = features.where((F.col("max_x") >= (tx - m) / scale) & (F.col("min_x") <= (tx + 1 + m) / scale) & (F.col("max_y") >= (ty - m) / scale) & (F.col("min_y") <= (ty + 1 + m) / scale))
+def _tile_rows(features: DataFrame, options: TileOptions, last: int, wanted=None, levels: frozenset[int] | None = None) -> DataFrame:
+    """Tile features by the quadtree of each feature, given out in batches of FLUSH rows, however many a single feature makes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
         for batch in batches:
-            rows = []
             for r in batch.to_pylist():
                 for z, x, y, held in quadtree([row_shape(r)], options.margin, options.line_metrics, last, wanted):
-                    if not target or z == tz:
+                    if levels is None or z in levels:
                         rows += [{"seq": r["seq"], "part": k, "id": r["id"], "tags": r["tags"], **_row(s, z, x, y, options)} for k, s in enumerate(held)]
-                if len(rows) > 5000:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_TILE)
-                    rows = []
-            yield pa.RecordBatch.from_pylist(rows, schema=_TILE)
+                    if len(rows) >= FLUSH:
+                        yield pa.RecordBatch.from_pylist(rows, schema=_TILE)
+                        rows = []
+        yield pa.RecordBatch.from_pylist(rows, schema=_TILE)
 
     return features.mapInArrow(run, TILE_FEATURES)
 
 
+def _last_zoom(options: TileOptions, max_zoom: int | None) -> int:
+    return min(options.max_zoom, options.index_max_zoom if max_zoom is None else max_zoom)
+
+
+def tile_features(features: DataFrame, options: TileOptions = TileOptions(), max_zoom: int | None = None, only: frozenset | None = None) -> DataFrame:
+    """A row for each feature and tile that holds something of it, down to max_zoom; with `only`, a set of tiles (z, x, y) with their ancestors, in these alone.
+
+    A row whose geometry is empty was simplified away: it counts in the tile but isn't a feature of it.
+    """
+    return _tile_rows(features, options, _last_zoom(options, max_zoom), None if only is None else lambda z, x, y: (z, x, y) in only)
+
+
+def drill_down(features: DataFrame, target: tuple[int, int, int], options: TileOptions = TileOptions()) -> DataFrame:
+    """Rows of a target tile and of its parent, by the way from the root to it: subtrees off the way are not cut, and features that don't reach it or its parent are not read."""
+    tz, tx, ty = target
+    z, x, y = (tz - 1, tx >> 1, ty >> 1) if tz else target  # the parent decides whether the tile is there
+    scale, m = float(1 << z), options.margin
+    near = (F.col("max_x") >= (x - m) / scale) & (F.col("min_x") <= (x + 1 + m) / scale) & (F.col("max_y") >= (y - m) / scale) & (F.col("min_y") <= (y + 1 + m) / scale)
+    wanted = lambda z, x, y: (tx >> (tz - z), ty >> (tz - z)) == (x, y)
+    return _tile_rows(features.where(near) if z else features, options, min(options.max_zoom, tz), wanted, frozenset((z, tz)))
+
+
+def point_features(points: DataFrame, options: TileOptions = TileOptions(), max_zoom: int | None = None) -> DataFrame:
+    """tile_features() of features that are single points, by column expressions alone. The root holds all of them, wherever they are."""
+    rows = points.withColumn("px", F.col("paths")[0]["xyz"][0]).withColumn("py", F.col("paths")[0]["xyz"][1])
+    n, m, out = options.extent, options.margin, None
+    for z in range(_last_zoom(options, max_zoom) + 1):
+        every = F.array(F.lit(0))
+        one = rows.withColumn("z", F.lit(z)).withColumn("x", F.explode(tiles_of(F.col("px"), z, m) if z else every)).withColumn("y", F.explode(tiles_of(F.col("py"), z, m) if z else every))
+        out = one if out is None else out.unionByName(one)
+    vertex = F.struct(quantise(F.col("px"), F.col("z"), F.col("x"), n).alias("x"), quantise(F.col("py"), F.col("z"), F.col("y"), n).alias("y"))
+    none, one = F.lit(None).cast("double"), F.lit(1).cast("long")
+    return out.select("z", "x", "y", "seq", F.lit(0).alias("part"), F.lit(1).alias("type"), "id", "tags", none.alias("clip_start"), none.alias("clip_end"), F.array(F.array(vertex)).alias("geometry"), one.alias("points"), one.alias("simplified"), "min_x", "min_y", "max_x", "max_y")
+
+
 def single_tile(features: DataFrame, z: int, x: int, y: int, options: TileOptions = TileOptions()) -> DataFrame:
     """One tile without a pyramid: wrapped and clipped only on demand, though always clipped where line metrics are on. Never null."""
     rows = wrap(features, options) if options.wrap else features
@@ -149,6 +175,46 @@ def _renumbered(features: DataFrame) -> DataFrame:
     return rows.select(*[(F.col("idx") if c == "seq" else F.col(c)).alias(c) for c in features.columns])
 
 
+#: Columns of a change of properties, with JSON texts as new values.
+PATCH = {"remove_all_properties": "boolean", "remove_properties": "array<string>", "set_properties": "map<string,string>"}
+
+
+def patched_tags(tags: Column) -> Column:
+    """tags (JSON) with the changes of the columns of PATCH; as they are where there is none."""
+    every, gone, new = F.coalesce("remove_all_properties", F.lit(False)), F.coalesce("remove_properties", F.array().cast("array<string>")), F.coalesce("set_properties", F.create_map().cast("map<string,string>"))
+    held = F.from_json(F.coalesce(tags, F.lit("{}")), "map<string,variant>")
+    changed = F.to_json(update_properties(held, gone, F.transform_values(new, lambda _, v: F.parse_json(v)), every))
+    return F.when(every | (F.size(gone) > 0) | (F.size(new) > 0), changed).otherwise(tags)
+
+
+def feature_json(rows: DataFrame, prefix: str = "") -> DataFrame:
+    """(z, x, y, seq, part, value): tile features in JSON form: type, geometry (points of a point feature, lines or rings of others), tags and id.
+
+    A line with metrics has the part of it that its slice covers as tags <prefix>clip_start and <prefix>clip_end.
+    """
+    vertex = lambda v: F.concat(F.lit("["), v["x"].cast("string"), F.lit(","), v["y"].cast("string"), F.lit("]"))
+    lines = F.transform("geometry", lambda line: F.concat(F.lit("["), F.array_join(F.transform(line, vertex), ","), F.lit("]")))
+    geometry = F.when(F.col("type") == 1, lines[0]).otherwise(F.concat(F.lit("["), F.array_join(lines, ","), F.lit("]")))
+    own = F.from_json(F.coalesce("tags", F.lit("{}")), "map<string,variant>")
+    number = lambda c: F.parse_json(F.col(c).cast("string"))
+    measured = update_properties(own, F.array().cast("array<string>"), F.create_map(F.lit(f"{prefix}clip_start"), number("clip_start"), F.lit(f"{prefix}clip_end"), number("clip_end")), F.lit(False))
+    tags = F.when(F.col("clip_start").isNull(), F.coalesce("tags", F.lit("null"))).otherwise(F.to_json(measured))
+    key = F.when(F.col("id").isNotNull(), F.concat(F.lit(',"id":'), "id")).otherwise(F.lit(""))
+    value = F.concat(F.lit('{"type":'), F.col("type").cast("string"), F.lit(',"geometry":'), geometry, F.lit(',"tags":'), tags, key, F.lit("}"))
+    return rows.where(F.size("geometry") > 0).select("z", "x", "y", "seq", "part", value.alias("value"))
+
+
+def write_tiles(rows: DataFrame, folder: str) -> None:
+    """Tile features as JSON lines under z=<zoom>/, those of a tile together and in order. A tile is many rows, so that none has to be held whole."""
+    parts = partitions(rows.sparkSession, rows)
+    feature_json(rows).repartitionByRange(parts, "z", "x", "y", "seq", "part").sortWithinPartitions("z", "x", "y", "seq", "part").write.partitionBy("z").json(folder)
+
+
+def read_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    """(z, x, y, seq, part, value) as write_tiles() wrote it."""
+    return spark.read.schema("x int, y int, seq long, part int, value string, z int").json(folder).select("z", "x", "y", "seq", "part", "value")
+
+
 class TileEngine:
     """A pyramid over features: tiles on request, the eager index, and updates."""
 
@@ -157,11 +223,13 @@ class TileEngine:
         self.source = stored(wrap(features, options), "source")
 
     def tiles(self, max_zoom: int | None = None) -> DataFrame:
-        return tile_features(self.source, self.options, max_zoom)
+        """Tile features of all tiles down to max_zoom: of single points by column expressions, of others by their quadtrees."""
+        points, others = self.source.where("kind = 'Point'"), self.source.where("kind <> 'Point'")
+        return point_features(points, self.options, max_zoom).unionByName(tile_features(others, self.options, max_zoom))
 
     def tile_coords(self) -> DataFrame:
         """The tiles of the eager index."""
-        return eager_tiles(tile_counters(self.tiles()), self.options).select("z", "x", "y")
+        return eager_tiles(stored(tile_counters(self.tiles()), "counters"), self.options).select("z", "x", "y")
 
     def get_tile(self, z: int, x: int, y: int) -> DataFrame | None:
         """The features of a tile in order; None where the tile doesn't exist. x wraps around the world."""
@@ -169,11 +237,28 @@ class TileEngine:
         if not 0 <= z <= min(24, self.options.max_zoom):
             return None
         x %= 1 << z
-        found = tile_features(self.source, self.options, target=(z, x, y))
-        parent = self.source if z == 0 else tile_features(self.source, self.options, target=(z - 1, x >> 1, y >> 1))
-        if parent.isEmpty() or not 0 <= y < 1 << z:
+        if not 0 <= y < 1 << z:
+            return None
+        rows = stored(drill_down(self.source, (z, x, y), self.options), "tile")
+        if rows.where(F.col("z") == max(0, z - 1)).isEmpty():
             return None
-        return found.where(F.size("geometry") > 0).orderBy("seq", "part")
+        return rows.where((F.col("z") == z) & (F.size("geometry") > 0)).orderBy("seq", "part")
+
+    def reindexed(self, tiles: DataFrame, affected: DataFrame, max_zoom: int | None = None) -> DataFrame:
+        """The rows of tiles() of this engine from those of the engine before an update: rows of tiles that no affected feature reaches stay, the others are made anew.
+
+        Features descend into the tiles that are made anew alone, where these can be broadcast.
+        """
+        last = _last_zoom(self.options, max_zoom)
+        reached = invalidated_tiles(tiles.select("z", "x", "y").distinct(), affected, self.options)
+        reached = stored(reached.unionByName(tile_features(affected, self.options, last).select("z", "x", "y")).distinct(), "reached")
+        few = reached.limit(BROADCAST_ROWS + 1).collect()
+        only = frozenset(map(tuple, few)) if len(few) <= BROADCAST_ROWS else None
+        key = ["z", "x", "y"]
+        mark = small_or_not(reached)
+        others = tile_features(self.source.where("kind <> 'Point'"), self.options, last, only)
+        made = point_features(self.source.where("kind = 'Point'"), self.options, last).unionByName(others)
+        return tiles.join(mark, key, "left_anti").unionByName(made.join(mark, key, "left_semi").select(*tiles.columns))
 
     def get_data(self) -> DataFrame:
         """seq, value: the features as GeoJSON, world copies among them."""
@@ -184,7 +269,8 @@ class TileEngine:
         """(engine over the changed features, affected features): remove all, remove, add or replace, update, then the filter `good`.
 
         remove: id. add: read_features(..., numbered=True). update: features, the last of each id, for ids that are there; where kind is null only tags change, in all
-        copies, and where tags is null they stay. What is rewritten moves to the end, new geometries first. This engine stays as it is.
+        copies, and where tags is null they stay. It may have the columns of PATCH beside: keys of the tags that go, keys with new values (JSON), and whether all go, which
+        also drops what would be added. What is rewritten moves to the end, new geometries first. This engine stays as it is.
         """
         self._updateable()
         order = lambda df: "feature" if "feature" in df.columns else "seq"
@@ -195,12 +281,14 @@ class TileEngine:
         source, affected = apply_changes(source, remove, added, remove_all=remove_all, repeated=False)
         if update is not None:
             source = stored(source, "changed")
-            patch = stored(last_per_id(update.where("id is not null"), order(update)).select(*columns), "patch")
+            for name, kind in PATCH.items():
+                update = update if name in update.columns else update.withColumn(name, F.lit(None).cast(kind))
+            patch = stored(last_per_id(update.where("id is not null"), order(update)).select(*columns, *PATCH), "patch")
             old = source.join(small_or_not(patch.select("id").distinct()), "id", "left_semi").select(*columns)
             first = old.groupBy("id").agg(F.min_by("tags", "seq").alias("own"))
-            moved = fresh(patch.where("kind is not null").join(first, "id").withColumn("tags", F.coalesce("tags", "own")))
-            tags = patch.where("kind is null").select("id", F.col("tags").alias("new"))
-            tagged = old.join(tags, "id").withColumn("tags", F.coalesce("new", "tags")).select(*columns)
+            moved = fresh(patch.where("kind is not null").join(first, "id").withColumn("tags", patched_tags(F.coalesce("tags", "own"))))
+            tags = patch.where("kind is null").select("id", F.col("tags").alias("new"), *PATCH)
+            tagged = old.join(tags, "id").withColumn("tags", patched_tags(F.coalesce("new", "tags"))).select(*columns)
             new = moved.withColumn("at", F.lit(0)).unionByName(tagged.withColumn("at", F.lit(1)))
             new = dense_index(new, "at", "seq").drop("at", "seq").withColumnRenamed("idx", "seq").select(*columns)
             after = F.lit((source.agg(F.max("seq")).first()[0] or 0) + 1)

@@ -277,9 +277,12 @@ def one_shot_tile(spark, sf_dir):
     return rows.select(F.col("id").cast("long").alias("id"), "type", F.size("geometry").alias("lines"), "points")
 
 
+def _index(spark, sf_dir, options=CLUSTERS) -> K.ClusterIndex:
+    return K.ClusterIndex(K.load_points(X.points(spark, sf_dir), "id"), options, "value")
+
+
 def _nodes(spark, sf_dir, options=CLUSTERS) -> DataFrame:
-    points = K.load_points(X.points(spark, sf_dir), "id")
-    return stored(K.build_clusters(points, options, "value"), "nodes")
+    return _index(spark, sf_dir, options).nodes
 
 
 #: The SQL of the next two queries has seven levels; cluster_levels_all has all of them.
@@ -301,17 +304,18 @@ def cluster_reduce_sum(spark, sf_dir):
 
 @query()
 def cluster_nodes(spark, sf_dir):
-    return K.cluster_columns(_nodes(spark, sf_dir))
+    index = _index(spark, sf_dir)
+    return K.cluster_columns(index.nodes, index.points)
 
 
 @query()
 def cluster_tile(spark, sf_dir):
-    return K.cluster_tile(_nodes(spark, sf_dir), 2, 0, 1, CLUSTERS)
+    return _index(spark, sf_dir).get_tile(2, 0, 1)
 
 
 @query()
 def cluster_bbox(spark, sf_dir):
-    return K.get_clusters(_nodes(spark, sf_dir), (150.0, -40.0, 210.0, 40.0), 3, CLUSTERS)
+    return _index(spark, sf_dir).get_clusters((150.0, -40.0, 210.0, 40.0), 3)
 
 
 @query("SELECT 0::BIGINT AS wrong_parents")
@@ -324,9 +328,9 @@ def cluster_children_sum(spark, sf_dir):
 
 @query()
 def cluster_leaves_page(spark, sf_dir):
-    nodes, total = _nodes(spark, sf_dir), X.table(spark, sf_dir, "events").count()
-    top = nodes.where("z = 0 and num_points > 1").orderBy(F.col("num_points").desc(), "idx").first()
-    return K.leaves(nodes, top.id, total, 20, 5).select("point", "path")
+    index = _index(spark, sf_dir)
+    top = index.nodes.where("z = 0 and num_points > 1").orderBy(F.col("num_points").desc(), "idx").first()
+    return index.leaves(top.id, 20, 5).select("point", "path")
 
 
 _R3 = 40 / (512 * 8)
@@ -350,13 +354,6 @@ def cluster_abbrev(spark, sf_dir):
     return X.table(spark, sf_dir, "orders").select("o_orderkey", P.abbreviated((F.col("o_orderkey") * 7 % 30000).cast("long")).alias("short"))
 
 
-@query(f"WITH {SQL_PROJECTED} SELECT (count(*) + count(*) FILTER (WHERE px < 0.015625) + count(*) FILTER (WHERE px >= 0.984375))::BIGINT AS points FROM pp")
-def cluster_facade_duplicates(spark, sf_dir):
-    m = OPTIONS.margin
-    copies = F.array_compact(F.array(F.when(F.col("px") < m, 1), F.lit(0), F.when(F.col("px") >= 1 - m, -1)))
-    return _projected(spark, sf_dir).select(F.explode(copies).alias("world")).agg(F.count("*").alias("points"))
-
-
 @query(f"WITH {SQL_POINTS} SELECT id FROM gp WHERE (lon >= 170 OR lon <= -160) AND lat BETWEEN -30 AND 60")
 def bbox_dateline_split(spark, sf_dir):
     inside = F.lit(False)
@@ -444,3 +441,6 @@ _ALL_LEVELS = "(SELECT unnest(range(18))::INT AS z)"
 def cluster_levels_all(spark, sf_dir):
     """Both sums at every level of the default options."""
     return _nodes(spark, sf_dir).groupBy("z").agg(F.sum("num_points").alias("points"), F.round(F.sum("total"), 2).alias("total"))
+
+
+from . import cluster_catalog, engine_catalog  # noqa: E402, F401  they add their queries

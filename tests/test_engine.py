@@ -1,5 +1,6 @@
 import json
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from tessella.operators import tiles as T
 from tessella.options import ClusterOptions, TileOptions
 from tessella.sources.geojson import features_of, read_features, to_geojson
 
-LINE = [(0, 0), (50, 0), (50, 10), (20, 10), (20, 20), (30, 20), (30, 30), (50, 30), (50, 40), (25, 40), (25, 50), (0, 50), (0, 60), (25, 60)]
+#: A staircase over two bands: the walked distance at each corner is written beside it.
+STAIRS = [(2, 1), (12, 1), (12, 4), (3, 4), (3, 9), (18, 9), (18, 10), (6, 10)]  # 0, 10, 13, 22, 27, 42, 43, 55
 
 
 def _features(spark, *texts, options=TileOptions()):
@@ -23,9 +25,9 @@ def _line(*coordinates):
 
 
 def test_clip_keeps_track_of_the_line():
-    size = sum(abs(b[0] - a[0]) + abs(b[1] - a[1]) for a, b in zip(LINE, LINE[1:], strict=False))
-    slices = G.clip_path(G.Path([(x, y, 0) for x, y in LINE], size, 0, size), 10, 40, 0, False, True)
-    assert [(p.start, p.stop) for p in slices] == [(10, 40), (70, 130), (160, 200), (230, 245)]
+    slices = G.clip_path(G.Path([(x, y, 0) for x, y in STAIRS], 55, 0, 55), 5, 15, 0, False, True)
+    # In at x = 5 after 3, out at x = 5 after 20; in after 29, out at x = 15 after 39; in at x = 15 after 46, to the end.
+    assert [(p.start, p.stop) for p in slices] == [(3, 20), (29, 39), (46, 55)]
 
 
 def test_touching_a_bound_is_not_crossing_it():
@@ -61,9 +63,10 @@ def test_options_are_checked():
 
 
 def test_unbuffered_edge_line_belongs_to_the_right_tile(spark):
-    engine = T.TileEngine(_features(spark, _line((0, 90), (0, -90))), TileOptions(buffer=0))
-    assert engine.get_tile(2, 1, 1) is None
-    assert [[tuple(p) for p in line] for line in engine.get_tile(2, 2, 1).first().geometry] == [[(0, 0), (0, 4096)]]
+    """A line on the bound x = 0.625 of the tiles 4 and 5 at zoom 3, from row 2 to row 5."""
+    engine = T.TileEngine(_features(spark, _line((45, 60), (45, -60))), TileOptions(buffer=0))
+    assert engine.get_tile(3, 4, 3).count() == 0 and engine.get_tile(3, 3, 3) is None
+    assert [[tuple(p) for p in line] for line in engine.get_tile(3, 5, 3).first().geometry] == [[(0, 0), (0, 4096)]]
     assert engine.get_tile(-1, 0, 0) is None and engine.get_tile(25, 0, 0) is None
 
 
@@ -102,8 +105,9 @@ def test_clusters_are_the_same_by_components_and_in_one_task(spark):
 
 
 def test_unclustered_points_keep_full_precision():
-    made, parents = G and K.greedy([{"idx": 0, "x": 0.25, "y": 0.25, "id": 0, "num_points": 1, "point": 0, "total": 1.0}], 0.1, 3, 1, 2)
-    assert made[0]["x"] == 0.25 and parents == {}
+    one = pd.DataFrame({"idx": [0], "x": [0.25], "y": [0.25], "id": [0], "num_points": [1], "point": [0], "total": [1.0]})
+    made, parents = K.greedy(one, 0.1, 3, 1, 2)
+    assert made[0][0] == 0.25 and parents == {}
 
 
 def test_boxes_over_the_date_line():
