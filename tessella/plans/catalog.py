@@ -105,61 +105,9 @@ def tile_parent_child(spark, sf_dir):
     return rows.join(child, ["z", "x", "y"])
 
 
-@query(f"""WITH {SQL_POINTS}, w AS (SELECT id, CASE id % 10 WHEN 0 THEN lon + 360 WHEN 1 THEN lon - 360 ELSE lon END AS lon, lat FROM gp), p AS (SELECT id, {PX} AS px FROM w),
-c AS (SELECT id, 0 AS world, px + 1 AS px FROM p WHERE px >= -1.015625 AND px < 0.015625 UNION ALL SELECT id, 1, px FROM p WHERE px >= -0.015625 AND px < 1.015625 UNION ALL SELECT id, 2, px - 1 FROM p WHERE px >= 0.984375 AND px < 2.015625)
-SELECT id, world, round(px, 9) AS x FROM c""")
-def wrap_points(spark, sf_dir):
-    turn = F.when(F.col("id") % 10 == 0, 360.0).when(F.col("id") % 10 == 1, -360.0).otherwise(0.0)
-    rows = X.points(spark, sf_dir).select("id", P.project_x(F.col("lon") + turn).alias("px"))
-    m = OPTIONS.margin
-    bands = F.array(*[F.struct(F.lit(k).alias("world"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(by).alias("by")) for k, lo, hi, by in ((0, -1 - m, m, 1.0), (1, -m, 1 + m, 0.0), (2, 1 - m, 2 + m, -1.0))])
-    rows = rows.withColumn("b", F.explode(bands)).where("px >= b.lo and px < b.hi")
-    return rows.select("id", "b.world", F.round(F.col("px") + F.col("b.by"), 9).alias("x"))
-
-
-@query(f"WITH {SQL_PROJECTED} SELECT user_id AS id, count(*)::INT AS points, CASE WHEN count(*) = 1 THEN 'Point' ELSE 'MultiPoint' END AS kind FROM pp WHERE px >= 0.25 AND px <= 0.3 GROUP BY 1")
-def multipoint_clip(spark, sf_dir):
-    rows = _projected(spark, sf_dir).groupBy(F.col("user_id").alias("id")).agg(F.collect_list("px").alias("xs"))
-    kept = F.filter("xs", lambda x: x.between(0.25, 0.3))
-    return rows.select("id", F.size(kept).alias("points"), F.when(F.size(kept) == 1, "Point").otherwise("MultiPoint").alias("kind")).where("points > 0")
-
-
 _SEGMENTS = f"{SQL_TRACKS}, tp AS (SELECT id, k, {PX} AS px, {PY} AS py FROM tr), sg AS (SELECT *, lag(px) OVER w AS ox, lag(py) OVER w AS oy FROM tp WINDOW w AS (PARTITION BY id ORDER BY k))"
 
 
-@query(f"WITH {_SEGMENTS} SELECT id, count(*)::INT AS vertices, round(coalesce(sum(sqrt((px - ox) * (px - ox) + (py - oy) * (py - oy))), 0), 9) AS length FROM sg GROUP BY id")
-def line_length(spark, sf_dir):
-    pts = F.transform("pts", lambda p: F.struct(P.project_x(p["lon"]).alias("x"), P.project_y(p["lat"]).alias("y")))
-    rows = X.tracks(spark, sf_dir).select("id", pts.alias("p"))
-    step = lambda a, b: F.sqrt((b["x"] - a["x"]) * (b["x"] - a["x"]) + (b["y"] - a["y"]) * (b["y"] - a["y"]))
-    steps = F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p")), step)
-    return rows.select("id", F.size("p").alias("vertices"), F.round(F.aggregate(steps, F.lit(0.0), lambda s, v: s + v), 9).alias("length"))
-
-
-@query(f"WITH {SQL_BOXES}, q AS (SELECT id, {PX.replace('lon', 'west')} AS x0, {PX.replace('lon', 'east')} AS x1, {PY.replace('lat', 'north')} AS y0, {PY.replace('lat', 'south')} AS y1 FROM bb) SELECT id, round((x1 - x0) * (y1 - y0), 12) AS area FROM q")
-def ring_area(spark, sf_dir):
-    b = X.boxes(spark, sf_dir)
-    x0, x1, y0, y1 = P.project_x(F.col("west")), P.project_x(F.col("east")), P.project_y(F.col("north")), P.project_y(F.col("south"))
-    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    ring = F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1), corner(x0, y0))
-    rows = b.select("id", ring.alias("r"))
-    cross = F.zip_with(F.slice("r", 1, 4), F.slice("r", 2, 4), lambda a, c: a["x"] * c["y"] - c["x"] * a["y"])
-    return rows.select("id", F.round(F.abs(F.aggregate(cross, F.lit(0.0), lambda s, v: s + v)) / 2, 12).alias("area"))
-
-
-@query(f"WITH {_SEGMENTS} SELECT id, round(min(px), 9) AS min_x, round(min(py), 9) AS min_y, round(max(px), 9) AS max_x, round(max(py), 9) AS max_y FROM sg GROUP BY id")
-def feature_bbox(spark, sf_dir):
-    rows = X.tracks(spark, sf_dir)
-    xs, ys = F.transform("pts", lambda p: P.project_x(p["lon"])), F.transform("pts", lambda p: P.project_y(p["lat"]))
-    return rows.select("id", *[F.round(f(v), 9).alias(n) for n, f, v in (("min_x", F.array_min, xs), ("min_y", F.array_min, ys), ("max_x", F.array_max, xs), ("max_y", F.array_max, ys))])
-
-
-@query(f"WITH {SQL_BOXES}, q AS (SELECT id, {PX.replace('lon', 'west')} AS lo, {PX.replace('lon', 'east')} AS hi FROM bb) SELECT id, CASE WHEN lo >= 0.25 AND hi < 0.5 THEN 'accept' WHEN hi < 0.25 OR lo >= 0.5 THEN 'reject' ELSE 'clip' END AS verdict FROM q")
-def bbox_accept_reject(spark, sf_dir):
-    lo, hi = P.project_x(F.col("west")), P.project_x(F.col("east"))
-    return X.boxes(spark, sf_dir).select("id", F.when((lo >= 0.25) & (hi < 0.5), "accept").when((hi < 0.25) | (lo >= 0.5), "reject").otherwise("clip").alias("verdict"))
-
-
 def _texts(rows: DataFrame, geometry) -> DataFrame:
     return rows.select(F.to_json(F.struct(F.lit("Feature").alias("type"), "id", geometry.alias("geometry"))).alias("value"))
 
@@ -195,20 +143,20 @@ def _clipped(spark, sf_dir, metrics: bool) -> DataFrame:
             for r in batch.to_pylist():
                 paths = [p for s in clip(row_shape(r), 0.4, 0.6, 0, True) for p in s.paths]
                 whole = r["min_x"] >= 0.4 and r["max_x"] < 0.6
-                rows += [{"id": int(r["id"]), "slice": k, "vertices": len(p.points), "first": p.start / p.size if p.size and not whole else 0.0, "last": p.stop / p.size if p.size and not whole else 1.0} for k, p in enumerate(paths)]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("id", pa.int64()), ("slice", pa.int32()), ("vertices", pa.int32()), ("first", pa.float64()), ("last", pa.float64())]))
+                rows += [{"id": int(r["id"]), "slice": k, "vertices": len(p.points), "size": p.size, "first": p.start / p.size if p.size and not whole else 0.0, "last": p.stop / p.size if p.size and not whole else 1.0} for k, p in enumerate(paths)]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("id", pa.int64()), ("slice", pa.int32()), ("vertices", pa.int32()), ("size", pa.float64()), ("first", pa.float64()), ("last", pa.float64())]))
 
-    return _track_features(spark, sf_dir).where("size(paths[0].xyz) > 3").mapInArrow(run, "id long, slice int, vertices int, first double, last double")
+    return _track_features(spark, sf_dir).mapInArrow(run, "id long, slice int, vertices int, size double, first double, last double")
 
 
-@query(f"{_CLIP} SELECT id, count(*)::INT AS slices, sum(vertices)::BIGINT AS vertices FROM g GROUP BY id")
+@query(f"{_CLIP}, o1 AS (SELECT id, min(px) AS px FROM tp GROUP BY id HAVING count(*) = 1) SELECT id, count(*)::INT AS slices, sum(vertices)::BIGINT AS vertices FROM g GROUP BY id UNION ALL SELECT id, 1, 1 FROM o1 WHERE px >= 0.4 AND px < 0.6")
 def line_axis_clip(spark, sf_dir):
     return _clipped(spark, sf_dir, False).groupBy("id").agg(F.count("*").cast("int").alias("slices"), F.sum("vertices").alias("vertices"))
 
 
 @query(f"{_CLIP} SELECT id, round(sum(coalesce(en, size) - coalesce(st, 0)) / max(size), 6) AS inside FROM g JOIN z USING (id) WHERE size > 0 GROUP BY id")
 def line_metrics(spark, sf_dir):
-    return _clipped(spark, sf_dir, True).groupBy("id").agg(F.round(F.sum(F.col("last") - F.col("first")), 6).alias("inside"))
+    return _clipped(spark, sf_dir, True).where("size > 0").groupBy("id").agg(F.round(F.sum(F.col("last") - F.col("first")), 6).alias("inside"))
 
 
 @query(f"""WITH {SQL_BOXES}, q AS (SELECT id, {PX.replace('lon', 'west')} AS x0, {PX.replace('lon', 'east')} AS x1, {PY.replace('lat', 'north')} AS y0, {PY.replace('lat', 'south')} AS y1 FROM bb),
@@ -242,11 +190,6 @@ def line_importance(spark, sf_dir):
     return rows.select(F.col("id").cast("long").alias("id"), F.size(F.filter(z, lambda v: v > OPTIONS.tolerance_at(5) ** 2)).alias("kept_at_5"))
 
 
-@query("SELECT o_custkey AS id, o_orderstatus AS status, count(*)::INT AS vertices FROM orders GROUP BY ALL")
-def multiline_explode(spark, sf_dir):
-    return X.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("status")).agg(F.count("*").cast("int").alias("vertices"))
-
-
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def id_promote(spark, sf_dir):
     rows = X.points(spark, sf_dir)
@@ -421,7 +364,11 @@ def diff_invalidated_tiles(spark, sf_dir):
     return C.invalidated_tiles(tiles, rows.select(F.col("px").alias("min_x"), F.col("py").alias("min_y"), F.col("px").alias("max_x"), F.col("py").alias("max_y")), OPTIONS)
 
 
-@query()
+_ALL_BOUNDS = f"""{SQL_PROJECTED}, {_SEGMENTS}, {SQL_BOXES}, ab AS (SELECT px AS x0, py AS y0, px AS x1, py AS y1 FROM pp UNION SELECT min(px), min(py), max(px), max(py) FROM sg GROUP BY id
+UNION SELECT {PX.replace('lon', 'west')}, {PY.replace('lat', 'north')}, {PX.replace('lon', 'east')}, {PY.replace('lat', 'south')} FROM bb)"""
+
+
+@query(f"WITH {_ALL_BOUNDS}, t AS (SELECT z.z::INT AS z, x.t::INT AS x, y.t::INT AS y FROM (SELECT unnest(range(6)) AS z) z JOIN (SELECT unnest(range(32)) AS t) x ON x.t < pow(2, z.z) JOIN (SELECT unnest(range(32)) AS t) y ON y.t < pow(2, z.z)) SELECT DISTINCT z, x, y FROM t JOIN ab ON x1 >= (x - 0.015625) / pow(2, z) AND x0 < (x + 1.015625) / pow(2, z) AND y1 >= (y - 0.015625) / pow(2, z) AND y0 < (y + 1.015625) / pow(2, z)")
 def diff_invalidated_tiles_all(spark, sf_dir):
     """All events, tracks and boxes against all tiles of the index."""
     tiles = None

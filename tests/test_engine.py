@@ -211,3 +211,127 @@ def test_cluster_queries_have_all_levels(spark):
 
     rows = catalog.queries()["cluster_nodes"](spark, "/root/testdata/sf0.001").select("z").distinct().collect()
     assert {r.z for r in rows} == set(range(18))
+
+
+def _brute_levels(points, options):
+    """(z, place) -> (x, y, id, points, parent) of every level, by looking at all nodes for each origin. points: (x, y) in order."""
+    import numpy as np
+
+    nodes, out = [[float(np.float32(x)), float(np.float32(y)), k, 1, None] for k, (x, y) in enumerate(points)], {}
+    for z in range(options.max_zoom, options.min_zoom - 1, -1):
+        near = np.array([[float(np.float32(n[0])), float(np.float32(n[1]))] for n in nodes])
+        taken, new, reach = np.zeros(len(nodes), bool), [], options.radius / (options.extent * 2**z)
+        for k, n in enumerate(nodes):
+            if taken[k]:
+                continue
+            taken[k] = True
+            others = np.flatnonzero(~taken & ((near[:, 0] - n[0]) ** 2 + (near[:, 1] - n[1]) ** 2 <= reach * reach)).tolist()
+            taken[others] = True
+            group = [n, *(nodes[j] for j in others)]
+            count = sum(m[3] for m in group)
+            if others and count >= options.min_points:
+                name = k * 32 + z + 1 + len(points)
+                for m in group:
+                    m[4] = name
+                new.append([sum(m[0] * m[3] for m in group) / count, sum(m[1] * m[3] for m in group) / count, name, count, None])
+            else:
+                new += [[*m[:4], None] for m in group]
+        out |= {(z + 1, k): tuple(n) for k, n in enumerate(nodes)}
+        nodes = new
+    return out | {(options.min_zoom, k): tuple(n) for k, n in enumerate(nodes)}
+
+
+@pytest.mark.parametrize("options", [ClusterOptions(), ClusterOptions(min_zoom=2, max_zoom=9, min_points=4, radius=75, extent=256)])
+def test_all_levels_against_brute_force(spark, options):
+    """Every node of every level over the events; then a tile, a box and a page of leaves from these nodes."""
+    from tessella.plans import fixtures as X
+
+    rows = X.points(spark, "/root/testdata/sf0.001").orderBy("id").collect()
+    places = [G.project(r.lon, r.lat) for r in rows]
+    want = _brute_levels(places, options)
+    index = K.ClusterIndex(K.load_points(X.points(spark, "/root/testdata/sf0.001"), "id"), options)
+    got = {(r.z, r.idx): r for r in index.nodes.collect()}
+    assert got.keys() == want.keys()
+    for key, (x, y, name, count, parent) in want.items():
+        r = got[key]
+        assert (r.id, r.num_points, r.parent_id) == (name, count, parent) and r.x == pytest.approx(x, abs=1e-12) and r.y == pytest.approx(y, abs=1e-12)
+
+    z, x, y, p = 3, 0, 4, options.radius / options.extent
+    tile = set()
+    for (level, k), n in want.items():
+        if level == z:
+            px, py = places[n[2]] if n[3] == 1 else n[:2]
+            for tx, lo, hi in ((x, (x - p) / 8, (x + 1 + p) / 8), (8, 1 - p / 8, 1.0)):
+                if lo <= float(pd.Series([n[0]], dtype="float32")[0]) <= hi and (y - p) / 8 <= float(pd.Series([n[1]], dtype="float32")[0]) <= (y + 1 + p) / 8:
+                    tile.add((k, int((options.extent * (px * 8 - tx) + 0.5) // 1), int((options.extent * (py * 8 - y) + 0.5) // 1)))
+    assert {(r.idx, r.tx, r.ty) for r in index.get_tile(z, x, y).collect()} == tile and tile
+
+    def below(name):
+        for (_, _), n in sorted(((k, n) for k, n in want.items() if n[4] == name)):
+            yield from [n[2]] if n[3] == 1 else below(n[2])
+
+    top = max((n for (level, _), n in want.items() if level == options.min_zoom), key=lambda n: n[3])
+    assert [r.point for r in index.leaves(top[2], 1000).collect()] == list(below(top[2]))
+    assert [r.point for r in index.leaves(top[2], 4, 3).collect()] == list(below(top[2]))[3:7]
+    assert [r.idx for r in index.children(top[2]).collect()] == sorted(k for (_, k), n in want.items() if n[4] == top[2])
+
+
+def test_importance_against_recursion():
+    """The farthest vertex between two kept ones, the nearest to the middle among equals, down to the tolerance."""
+    import random
+
+    def walk(points, first, last, tolerance, out):
+        far = [(G.squared_distance(points[i], points[first], points[last]), i) for i in range(first + 1, last)]
+        best = max((d for d, _ in far), default=0)
+        if best > tolerance:
+            i = min((i for d, i in far if d == best), key=lambda i: (abs(2 * i - first - last), i))
+            out[i] = best
+            walk(points, first, i, tolerance, out)
+            walk(points, i, last, tolerance, out)
+
+    rng = random.Random(4)
+    for n in (2, 3, 10, 60):
+        points = [(rng.random(), rng.random()) for _ in range(n)]
+        out = [1.0] + [0.0] * (n - 2) + [1.0]
+        walk(points, 0, n - 1, 0.01, out)
+        assert G.importance(points, 0.01) == out
+
+
+def test_one_shot_lines_against_brute_force(spark):
+    """Whole lines in a tile: the vertices of the tracks that the band's edges leave, in order, without simplification."""
+    from tessella.plans import catalog
+
+    features = catalog._track_features(spark, "/root/testdata/sf0.001", TileOptions(tolerance=0))
+    z, x, y, m = 3, 4, 3, 64 / 4096
+    inside = {}
+    for r in features.collect():
+        xyz = r.paths[0].xyz
+        held = [(a, b) for a, b in zip(xyz[::3], xyz[1::3], strict=True)]
+        if all((x - m) / 8 <= a < (x + 1 + m) / 8 and (y - m) / 8 <= b < (y + 1 + m) / 8 for a, b in held):
+            inside[r.id] = [[int((4096 * (a * 8 - x) + 0.5) // 1), int((4096 * (b * 8 - y) + 0.5) // 1)] for a, b in held]
+    rows = {r.id: [list(v) for v in r.geometry[0]] for r in T.single_tile(features, z, x, y, TileOptions(clip=True, tolerance=0)).collect()}
+    assert inside and {k: rows[k] for k in inside} == inside
+
+
+def test_a_wide_feature_is_given_out_in_parts(spark):
+    """The rows of one feature that covers the world leave a task in batches of FLUSH."""
+    world = {"type": "Polygon", "coordinates": [[[-180, -85], [180, -85], [180, 85], [-180, 85], [-180, -85]]]}
+    rows = T.tile_features(_features(spark, world), TileOptions(), 6)
+    assert rows.groupBy("z").count().orderBy("z").collect() == [(z, 4**z) for z in range(7)]
+
+
+def test_records_and_generated_ids(spark):
+    points = spark.range(30).select((F.col("id") % 3 * 40.0).alias("lon"), F.lit(1.0).alias("lat"), F.col("id").alias("k"), F.struct(F.lit(1).cast("long").alias("n"), F.col("id").cast("double").alias("most")).alias("record"))
+    loaded = K.load_points(points, "k")
+    fold = lambda a, b: {"n": a["n"] + b["n"], "most": max(a["most"], b["most"])}
+    index = K.ClusterIndex(loaded, ClusterOptions(min_zoom=3, max_zoom=4, generate_id=True), "record", fold)
+    rows = K.cluster_columns(index.nodes.where("z = 3"), index.points).orderBy("idx").collect()
+    assert [(r.total.n, r.total.most, json.loads(r.tags)["most"]) for r in rows] == [(10, 27.0, 27.0), (10, 28.0, 28.0), (10, 29.0, 29.0)]
+    assert {r.feature_id for r in index.get_tile(5, 16, 15).where("num_points = 1").collect()} == {str(k) for k in range(0, 30, 3)}
+
+
+def test_tile_json(spark):
+    line = {"type": "Feature", "id": "l", "properties": {"n": 1.5, "s": 'a"b'}, "geometry": _line((0, 0), (30, 10), (60, 0))}
+    options = TileOptions(line_metrics=True)
+    rows = T.feature_json(T.TileEngine(_features(spark, line, options=options), options).tiles(0), "my_").collect()
+    assert [json.loads(r.value) for r in rows] == [{"type": 2, "geometry": [[[2048, 2048], [2389, 1934], [2731, 2048]]], "tags": {"n": 1.5, "s": 'a"b', "my_clip_start": 0, "my_clip_end": 1}, "id": "l"}]
