@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -110,3 +111,39 @@ def targets(sizes: dict, weights=(1, 2, 3), cap=3.0) -> dict:
         if not above:
             return fixed | share
         fixed |= {s: cap * sizes[s] for s in above}
+
+
+def quality_verdicts(docs: list[tuple], least: dict, tail=0.8, spread=5.0, sampling=3.0, least_docs=50) -> dict:
+    """doc_id -> (kept, how near the nearest fence is, relative to it) of (doc_id, text, lang, source), by exact quantiles of each group."""
+    measured, groups = {}, defaultdict(list)
+    for d, text, lang, source in docs:
+        n_words, word_chars, n_symbols, n_dup, n_repeat = base_figures(text)
+        lines = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
+        capitals = sum(unicodedata.category(c) == "Lu" for c in text or "")
+        w, c, n = max(1, n_words), max(1, word_chars), max(1, lines)
+        failed = n_words < 10 or 100 * n_repeat > 20 * n_words
+        ratios = {"symbols": (n_symbols / w, w), "repeated_lines": (n_dup / n, n), "capitals": (capitals / c, c), "letters": (word_chars / w, w)}
+        measured[d] = (failed, ratios, lang, source)
+        if not failed:
+            for key in ((lang, source), (lang,), ()):
+                groups[key].append(ratios)
+    exact = lambda xs, p: sorted(xs)[max(0, -(-int(round(p * len(xs) * 1e9)) // 10**9) - 1)]
+    fences = {}
+    for key in [k for k in groups if len(k) == 2]:
+        of = next((k for k in (key, key[:1]) if len(groups[k]) >= least_docs), ())
+        for name in least:
+            xs = [r[name][0] for r in groups[of]]
+            low, mid, high = (exact(xs, p) for p in (1 - tail, 0.5, tail))
+            by = sampling * (mid / 2 if name == "letters" else max(high, least[name]) ** 0.5)
+            fences[key, name] = (low - spread * max(mid - low, least[name]) if name == "letters" else -np.inf, high + spread * max(high - mid, least[name]), by)
+    out = {}
+    for d, (failed, ratios, lang, source) in measured.items():
+        kept, near = not failed, np.inf
+        if not failed:
+            for name, (x, n) in ratios.items():
+                lo, hi, by = fences[(lang, source), name]
+                lo, hi = lo - by / n**0.5, hi + by / n**0.5
+                kept &= lo <= x <= hi
+                near = min(near, abs(x / hi - 1), abs(x / lo - 1) if np.isfinite(lo) else np.inf)
+        out[d] = (kept, near)
+    return out
