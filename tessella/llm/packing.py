@@ -25,7 +25,8 @@ from .codec import default_path, encoder
 from .shared import stored
 
 LENGTH, END, SHARD = 1024, 2, 4096
-ISLANDS, EPOCHS, POPULATION, GENERATIONS, KEEP, REFILLS = 2, 2, 3, 4, 0.6, 600
+#: What an island may spend in an epoch; one that meets the lower bound stops at once.
+ISLANDS, EPOCHS, POPULATION, GENERATIONS, KEEP, REFILLS = 2, 2, 6, 30, 0.6, 600
 
 Packing = list[list[int]]
 
