@@ -1,6 +1,6 @@
 """Near-duplicate vectors by an exact metric range join.
 
-Equal vectors of one label are one class. A bounded sample of classes gives pivots; each class has its home in the cell of the nearest pivot. Cosine >= c is a chord of at most
+Equal vectors of one label are one class, told apart by a 64-bit hash. A bounded sample of classes gives pivots; each class has its home in the cell of the nearest pivot. Cosine >= c is a chord of at most
 T = sqrt(2 - 2c) between unit vectors, so by the triangle inequality a vector v can be that near a vector with home in cell j only if d(v, p_j) <= d(v, p_home) + 2T; for chords the distance to the plane between
 both pivots gives the sharper (d(v, p_j)^2 - d(v, p_home)^2) / (2 d(p_home, p_j)) <= T. Where both hold, v is copied to the cell. Cells join independently, large ones in blocks of at most
 BLOCK x BLOCK, so that a task is bounded whatever the cell holds. A block returns a row for each class: the number of vectors linked, and the least class of its local component. No pairs are written.
@@ -11,7 +11,7 @@ each other; a null vec_id counts as larger than all others; an empty table gives
 
 from __future__ import annotations
 
-from math import fsum, sqrt
+from math import ceil, fsum, sqrt
 
 import numpy as np
 import pandas as pd
@@ -22,12 +22,18 @@ from ..operators.components import connected_components
 from .shared import small_or_not, stored
 
 COSINE, BLOCK = 0.98, 2000
-#: Pivots: one for every CELL classes of an average label, MOST_PIVOTS at most; a larger table has larger cells, joined in more blocks.
-CELL, MOST_PIVOTS = 1000, 256
+#: Pivots: the square root of an average label's classes by CELL, as a vector near many bounds is copied to many cells. Their number is bounded by what a plan may hold (4 MB of 64 dimensions), at 1.7 thousand million classes a label.
+CELL, MOST_PIVOTS = 25, 8192
 
 
-def _unit(vectors) -> np.ndarray:
+def _scaled(vectors) -> np.ndarray:
+    """Vectors as rows, each by the power of two that makes its largest component about 1: no square under- or overflows, and no digit changes."""
     x = np.stack([np.asarray(v, dtype="float64") for v in vectors])
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
+def _unit(vectors) -> np.ndarray:
+    x = _scaled(vectors)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -84,7 +90,7 @@ def _block_join(cosine: float):
         left, right = pdf[pdf["left"]], pdf[~pdf["left"]]
         if not len(left) or not len(right):
             return pd.DataFrame({"k": [], "links": [], "other": []}).astype("int64")
-        stack = lambda x: np.stack([np.asarray(v, dtype="float64") for v in x["v"]])
+        stack = lambda x: _scaled(x["v"])
         ia, ib = left["k"].to_numpy(), right["k"].to_numpy()
         counts, la, lb = linked_block(ia, stack(left), ib, stack(right), right["n"].to_numpy(), cosine)
         a, b = (la != ia) | (counts > 0), lb != ib
@@ -103,7 +109,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     classes = keyed.where("k is not null").groupBy("k", "label", "v").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
     classes = stored(classes.withColumn("dim", F.size("v")), "vec-classes")
     total, groups = classes.agg(F.count("*"), F.count_distinct("label")).first()
-    wanted = min(MOST_PIVOTS, max(1, -(-total // (cell * max(1, groups)))))
+    wanted = min(MOST_PIVOTS, ceil(sqrt(total / (cell * max(1, groups)))))
     sample = classes.orderBy(F.xxhash64("k", F.lit(1))).limit(wanted).select("v").collect() if total else []
     pivots = {d: _unit([r.v for r in sample if len(r.v) == d]) for d in {len(r.v) for r in sample}}
     placed = stored(classes.withColumn("at", _cells(pivots, reach)("v")).select("k", "label", "dim", "v", "n", "at.home", "at.copies"), "vec-cells")
