@@ -24,8 +24,8 @@ from .shared import small_or_not, stored
 #: Production parameters: (verdict, host, path) of the path rules, and the listed domains.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 BLOCKED = tuple(f"{name}.example.{tld}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for tld in ("com", "net", "org"))
-#: Bits for each key of a level, and the most bits that all levels may have to be literals of a plan (8 MB).
-BITS_PER_KEY, MOST_BITS = 24, 1 << 26
+#: Bits for each key of a level: few, as the next levels mend what they let through. The most bits that a level may have to be a literal of a plan (8 MB), enough for 13 million listed keys.
+BITS_PER_KEY, MOST_BITS = 5, 1 << 26
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -108,15 +108,15 @@ def _listed_frame(spark: SparkSession, listed) -> DataFrame:
 
 
 def judge_urls(pages: DataFrame, listed=BLOCKED, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict of each row of pages (page_id, url).
+    """page_id, host, path, rule, verdict of each row of pages (page_id, url). listed: domains, or a table of them with the column key.
 
     Listed domains beyond the literal bound are looked up by a shuffled semi-join instead, with the same result.
     """
-    labels = max([1, *(x.count(".") + 1 for x in listed)])
+    table = listed.select("key").where("key is not null").distinct() if isinstance(listed, DataFrame) else _listed_frame(pages.sparkSession, listed)
+    labels = table.agg(F.max(F.size(F.split("key", r"\.")))).first()[0] or 1
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     keys = keys_of(F.col("host"), labels)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    table = _listed_frame(pages.sparkSession, listed)
     universe = rows.select("host").distinct().select(F.explode(keys).alias("key")).distinct()
     try:
         levels = build_cascade(table, universe)
