@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .codec import default_path, encoder, library
 
-CHUNK, OVERLAP, MARGIN = 1 << 16, 1 << 10, 64
+CHUNK, OVERLAP, MARGIN = 1 << 13, 1 << 9, 64
 
 
 def _boundaries(encoding, at: int) -> dict[int, int]:
