@@ -42,7 +42,7 @@ from .shared import drop_stored, partitions, row_key, slices, small_or_not, stor
 
 WIDTH, SMALL, STAR, GROWTH, SLACK = 5, 13, 4, 1.6, 1.3
 #: Signatures held before they are sent; nodes of a bucket in one row; sets of a block in step 1, shingles of a block in step 2.
-FLUSH, ROW, BLOCK, SHINGLES = 1 << 19, 1 << 16, 2000, 1 << 19
+FLUSH, ROW, BLOCK, SHINGLES = 1 << 19, 1 << 16, 2000, 1 << 17
 _words = WordHashes()
 
 
