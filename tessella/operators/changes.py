@@ -18,13 +18,14 @@ def last_per_id(changes: DataFrame, order: str = "seq") -> DataFrame:
     return changes.withColumn("rank", rank).where("rank = 1").drop("rank")
 
 
-def apply_changes(source: DataFrame, remove: DataFrame | None = None, add: DataFrame | None = None, update: DataFrame | None = None, remove_all: bool = False, repeated: bool = True) -> tuple[DataFrame, DataFrame]:
+def apply_changes(source: DataFrame, remove: DataFrame | None = None, add: DataFrame | None = None, update: DataFrame | None = None, remove_all: bool = False, repeated: bool = True, last: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(source, affected): tables with the columns of source.
 
     remove: id. add: features; where ids aren't repeated, all rows of an id are one feature. update: features with seq, whose values, where not null, replace those of all features of that id; ids that are not there are ignored.
     """
-    # One number that all others follow. Of added rows those of the change set alone are counted.
-    last = (source.agg(F.max("seq")).first()[0] or 0) if add is not None or update is not None else 0
+    # One number that all others follow: by default the last of source.
+    if last is None:
+        last = (source.agg(F.max("seq")).first()[0] or 0) if add is not None or update is not None else 0
     affected = source if remove_all else source.limit(0)
     source = source.limit(0) if remove_all else source
     add = last_per_id(add) if add is not None and repeated else add

@@ -16,20 +16,24 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set and all runs in one process."""
     global _own_dir
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="tessella-")
     return _own_dir
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and outlives lost executors."""
+    """Write df to the shared folder and read it back: cuts the lineage and outlives lost executors. What drop_stored() has not deleted goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gone = spark._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(gone)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -124,14 +124,33 @@ def test_changes_in_order(spark):
     assert affected.count() == 5
 
 
-def test_change_log_stream_skips_batches_it_has(spark, tmp_path):
+def test_change_log_stream(spark, tmp_path):
+    """Batches that come again are skipped, rows of a batch count in their order, and only touched buckets are written."""
     from tessella.streaming import change_log as S
 
-    source = spark.createDataFrame([("1", 0, "a")], "id string, seq long, tags string")
-    source.write.parquet(f"{tmp_path}/v/version=0")
-    log = spark.createDataFrame([("add", "2", 0, "b")], "op string, id string, seq long, tags string")
+    folder, columns = f"{tmp_path}/v", "id string, seq long, tags string"
+    S.start(spark.createDataFrame([(str(k), k, "a") for k in range(40)] + [(None, 99, "z")], columns), folder, 8)
+    log = lambda *rows: spark.createDataFrame(rows, f"op string, {columns}")
+    shown = lambda: {r.id: r.tags for r in S.version(spark, folder, S.latest(spark, folder)).collect()}
     for _ in range(2):
-        S.apply_batch(f"{tmp_path}/v")(log, 0)
+        S.apply_batch(folder)(log(("add", "x", 0, "b"), ("remove", "x", 1, None), ("remove", "1", 2, None), ("add", "1", 3, "new"), ("update", "1", 4, "newer"), ("update", "2", 5, "c")), 0)
+    want = {str(k): "a" for k in range(40)} | {None: "z", "1": "newer", "2": "c"}
+    assert shown() == want and S.latest(spark, folder) == 1
+    held = S._manifest(spark, folder, 1)
+    assert {v for v in held.values()} == {0, 1} and sum(v == 1 for v in held.values()) <= 3
+    S.apply_batch(folder)(log(("add", "y", 0, "lost"), ("remove_all", None, 1, None), ("add", "w", 2, "only")), 1)
+    assert shown() == {"w": "only"} and S.version(spark, folder, 1).count() == 41
+    S.expire(spark, folder, 1)
+    assert shown() == {"w": "only"} and S._versions(spark, folder) == [2]
+
+
+def test_change_log_as_a_stream(spark, tmp_path):
+    from tessella.streaming import change_log as S
+
+    S.start(spark.createDataFrame([("1", 0, "a")], "id string, seq long, tags string"), f"{tmp_path}/v", 4)
+    spark.createDataFrame([("add", "2", 0, "b")], "op string, id string, seq long, tags string").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("op string, id string, seq long, tags string").parquet(f"{tmp_path}/in")
+    stream.writeStream.foreachBatch(S.apply_batch(f"{tmp_path}/v")).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     assert S.version(spark, f"{tmp_path}/v", S.latest(spark, f"{tmp_path}/v")).count() == 2
 
 
