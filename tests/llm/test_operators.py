@@ -268,6 +268,28 @@ def test_urls(spark):
     ]
 
 
+def test_a_table_of_listed_domains(spark):
+    pages = spark.createDataFrame([(1, "http://a.b.example.net/x"), (2, "http://b.example.net"), (3, "http://example.net/"), (4, None)], "page_id long, url string")
+    listed = spark.createDataFrame([("b.example.net",), (None,), ("b.example.net",)], "key string")
+    assert [r.verdict for r in url_filter.judge_urls(pages, listed).orderBy("page_id").collect()] == ["block", "block", "allow", "allow"]
+    assert [r.verdict for r in url_filter.judge_urls(pages, listed.limit(0)).orderBy("page_id").collect()] == ["allow"] * 4
+    assert url_filter.judge_urls(pages.limit(0)).count() == 0
+
+
+def test_cascade_has_several_levels_on_the_tables(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("host")).distinct()
+    universe = hosts.select(F.explode(url_filter.keys_of(F.col("host"), 3)).alias("key")).distinct()
+    assert len(url_filter.build_cascade(url_filter._listed_frame(spark, url_filter.BLOCKED), universe)) > 1
+
+
+def test_embeddings_beyond_squares(spark):
+    """Components whose squares under- or overflow have a cosine like any other."""
+    rows = [(1, [1e-200, 2e-200], 1), (2, [1e200, 2e200], 1), (3, [1.0, 2.0], 1), (4, [2.0, -1.0], 1)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).orderBy("vec_id").collect()
+    assert [(r.n_links, r.component_id) for r in got] == [(2, 1), (2, 1), (2, 1), (0, 4)]
+
+
 def test_cascade_is_exact(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "BITS_PER_KEY", 3)  # many false positives, so several levels
     universe = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
@@ -340,6 +362,18 @@ def test_main_text(spark):
     assert [len(x) for x in got[4].split("\n")[-3:]] == [151] * 3 and "y" not in got[4].split("\n")
 
 
+def test_main_text_of_odd_pages(spark):
+    """Unclosed tags, tables in tables, a very long page, repeated rows and an empty table."""
+    prose = [f"{'word ' * 30}{i}." for i in range(4)]
+    assert html_text.main_text(f"<div><p>{prose[0]}<p>{prose[1]}<ul><li>{prose[2]}<div><b>{prose[3]}").split("\n") == prose
+    assert html_text.main_text(f"<table><tr><td><table><tr><td>{prose[0]}</td></tr></table></td><td>{prose[1]}</td></tr></table>").split("\n") == prose[:2]
+    assert html_text.main_text(f"<p>{prose[0]}</p><script>var x = '</p>{prose[1]}'").split("\n") == prose[:1]
+    long = [f"{'word ' * 40}{i}." for i in range(20_000)]
+    assert html_text.main_text("<ul><li><a href='/'>Menu</a></li></ul>" + "".join(f"<p>{x}</p>" for x in long)) == "\n".join(long)
+    table = spark.createDataFrame([(1, "u", f"<p>{prose[0]}</p>")] * 2, "page_id long, url string, html string")
+    assert [r.text for r in html_text.extract(table).collect()] == prose[:1] * 2 and html_text.extract(table.limit(0)).count() == 0
+
+
 def test_main_text_windows():
     """Surge and dive decide with and without <article>; tags are only gaps."""
     links = "".join(f"<li><a href='/{i}'>Menu entry number {i}</a></li>" for i in range(6))
