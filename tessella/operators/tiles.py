@@ -149,16 +149,13 @@ def tile_counters(rows: DataFrame) -> DataFrame:
 
 
 def eager_tiles(counters: DataFrame, options: TileOptions = TileOptions()) -> DataFrame:
-    """The tiles of counters that an eager index makes: those whose ancestors all have more than index_max_points points."""
-    kept = counters.where("z = 0").select("z", "x", "y")
-    level = kept
-    for z in range(1, options.index_max_zoom + 1):
-        open_ = level.join(counters.where(F.col("num_points") > options.index_max_points), ["z", "x", "y"], "left_semi")
-        parents = open_.select(F.col("x").alias("px"), F.col("y").alias("py"))
-        children = counters.where(F.col("z") == z)
-        level = children.join(small_or_not(parents), (F.shiftright("x", 1) == F.col("px")) & (F.shiftright("y", 1) == F.col("py")), "left_semi").select("z", "x", "y")
-        kept = kept.unionByName(level)
-    return counters.join(kept, ["z", "x", "y"], "left_semi")
+    """The tiles of counters that an eager index makes: those whose ancestors all have more than index_max_points points. counters are read twice."""
+    key = ["z", "x", "y"]
+    above = "explode(transform(sequence(1, z), k -> struct(cast(z - k as int) as oz, cast(shiftright(x, k) as int) as ox, cast(shiftright(y, k) as int) as oy))) as o"
+    open_ = counters.where(F.col("num_points") > options.index_max_points).select(*[F.col(c).cast("int").alias(f"o{c}") for c in key])
+    below = counters.where(F.col("z").between(1, options.index_max_zoom)).selectExpr(*key, above).select(*key, "o.*")
+    full = below.join(open_, ["oz", "ox", "oy"]).groupBy(*key).agg(F.count("*").alias("ancestors")).where("ancestors = z").select(*key)
+    return counters.join(counters.where("z = 0").select(*key).unionByName(full), key, "left_semi")
 
 
 def existing_tiles(counters: DataFrame, max_zoom: int) -> DataFrame:
