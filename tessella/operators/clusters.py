@@ -41,8 +41,8 @@ def dense_index(df: DataFrame, *order) -> DataFrame:
 
 
 def load_points(points: DataFrame, *order) -> DataFrame:
-    """Level max_zoom + 1 from (lon, lat, value) in this order: px, py, and x, y as 32-bit floats; rows without coordinates go."""
-    rows = dense_index(points.where("lon is not null and lat is not null"), *order)
+    """Level max_zoom + 1 from (lon, lat, value) in this order: px, py, and x, y as 32-bit floats; rows without finite coordinates go."""
+    rows = dense_index(points.where("abs(lon) < double('infinity') and abs(lat) < double('infinity')"), *order)
     return _rounded(rows.select("*", project_x(F.col("lon")).alias("px"), project_y(F.col("lat")).alias("py")))
 
 

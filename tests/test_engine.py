@@ -56,6 +56,14 @@ def test_collections_nest_to_a_limit():
         list(features_of({"type": "Pologon"}, TileOptions()))
 
 
+def test_coordinates_have_to_be_finite(spark):
+    for bad in ([float("nan"), 1], [1, float("inf")]):
+        with pytest.raises(ValueError):
+            list(features_of({"type": "LineString", "coordinates": [[0, 0], bad]}, TileOptions()))
+    rows = [(1.0, 2.0, 0), (float("nan"), 1.0, 1), (1.0, float("-inf"), 2), (None, 1.0, 3)]
+    assert K.load_points(spark.createDataFrame(rows, "lon double, lat double, k int"), "k").count() == 1
+
+
 def test_options_are_checked():
     for bad in ({"max_zoom": 25}, {"promote_id": "a", "generate_id": True}):
         with pytest.raises(ValueError):
