@@ -26,14 +26,18 @@ from .shared import stored
 
 LENGTH, END, SHARD = 1024, 2, 4096
 #: What an island may spend in an epoch; one that meets the lower bound stops at once.
-ISLANDS, EPOCHS, POPULATION, GENERATIONS, KEEP, REFILLS = 2, 2, 6, 30, 0.6, 600
+ISLANDS, EPOCHS, POPULATION, GENERATIONS, KEEP, REFILLS = 2, 2, 5, 16, 0.6, 600
 
 Packing = list[list[int]]
 
 
+def fills(packing: Packing, sizes) -> list[int]:
+    return [sum(map(sizes.__getitem__, b)) for b in packing]
+
+
 def best_fit(order, sizes, length: int, packing: Packing) -> Packing:
     """Put each piece of order into the fullest bin that still holds it, or into a new one. Changes packing."""
-    room = sorted((length - sum(sizes[i] for i in b), k) for k, b in enumerate(packing))
+    room = sorted((length - n, k) for k, n in enumerate(fills(packing, sizes)))
     for i in order:
         at = bisect_left(room, (sizes[i], -1))
         if at < len(room):
@@ -49,19 +53,19 @@ def best_fit(order, sizes, length: int, packing: Packing) -> Packing:
 
 def fitness(packing: Packing, sizes, length: int) -> tuple[int, float]:
     """Fewer bins first; among equals, rather full and empty ones than even ones."""
-    return -len(packing), sum((sum(sizes[i] for i in b) / length) ** 2 for b in packing) / max(1, len(packing))
+    return -len(packing), sum((n / length) ** 2 for n in fills(packing, sizes)) / max(1, len(packing))
 
 
 def crossover(giver: Packing, taker: Packing, sizes, length: int, rng) -> Packing:
     """Inject a random share of the giver's well-filled bins into the taker, drop its bins that hold the same pieces, best-fit what they displace."""
-    good = [b for b in giver if sum(sizes[i] for i in b) >= 0.98 * length] or giver
+    good = [b for b, n in zip(giver, fills(giver, sizes), strict=True) if n >= 0.98 * length] or giver
     injected = [list(good[k]) for k in rng.choice(len(good), max(1, int(len(good) * KEEP * rng.random())), replace=False)]
     inside = {i for b in injected for i in b}
     child, loose = injected, []
-    for b in taker:
+    for b, n in zip(taker, fills(taker, sizes), strict=True):
         if not inside.isdisjoint(b):
             loose += [i for i in b if i not in inside]
-        elif sum(sizes[i] for i in b) >= 0.9 * length:
+        elif n >= 0.9 * length:
             child.append(list(b))
         else:  # ill-filled bins are displaced too
             loose += b
@@ -86,7 +90,7 @@ def fullest(room: int, pieces: list[int], sizes) -> list[int]:
 def refill(packing: Packing, sizes, length: int, rng, tries: int) -> Packing:
     """Fill some bins again, the emptiest ones among them, and keep what is no less fit, until the lower bound or so many tries."""
     bins = [list(b) for b in packing]
-    filled = [sum(sizes[i] for i in b) for b in bins]
+    filled = fills(bins, sizes)
     least = -(-sum(filled) // length)
     emptiest = np.argsort(filled, kind="stable")[:3].tolist()
     for _ in range(tries):
@@ -99,7 +103,7 @@ def refill(packing: Packing, sizes, length: int, rng, tries: int) -> Packing:
         while rest:
             new.append([rest[0], *fullest(length - sizes[rest[0]], rest[1:], sizes)])
             rest = [i for i in rest if i not in new[-1]]
-        sums = [sum(sizes[i] for i in b) for b in new]
+        sums = fills(new, sizes)
         square = lambda xs: sum(x * x for x in xs)
         if len(new) < len(open_) or (len(new) == len(open_) and square(sums) >= square(filled[k] for k in open_)):
             for k in open_:
@@ -122,15 +126,16 @@ def evolve(sizes, length: int, seed: int, immigrants: list[Packing], population:
         people.append(best_fit(np.argsort(-(np.asarray(sizes) * (1 + noise)), kind="stable").tolist(), sizes, length, []))
         if len(people[-1]) == least:
             return people[-1]
-    people.sort(key=lambda p: fitness(p, sizes, length), reverse=True)
+    ranked = sorted(((fitness(p, sizes, length), p) for p in people), key=lambda x: x[0], reverse=True)
     for _ in range(generations):
-        if len(people[0]) == least:
+        if len(ranked[0][1]) == least:
             break
-        a, b = rng.choice(len(people), 2, replace=False)
-        people.append(crossover(people[a], people[b], sizes, length, rng))
-        people.sort(key=lambda p: fitness(p, sizes, length), reverse=True)
-        people.pop()
-    return refill(people[0], sizes, length, rng, REFILLS * SHARD // max(len(sizes), SHARD // 4))
+        a, b = rng.choice(len(ranked), 2, replace=False)
+        child = crossover(ranked[a][1], ranked[b][1], sizes, length, rng)
+        ranked.append((fitness(child, sizes, length), child))
+        ranked.sort(key=lambda x: x[0], reverse=True)
+        ranked.pop()
+    return refill(ranked[0][1], sizes, length, rng, REFILLS * SHARD // max(len(sizes), SHARD // 4))
 
 
 def pieces_of(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
