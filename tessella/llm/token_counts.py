@@ -11,6 +11,7 @@ rows get equal results; an empty table gives an empty table; other columns do no
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,18 +20,23 @@ from pyspark.sql import functions as F
 
 from .codec import default_path, encoder, library
 
-CHUNK, OVERLAP, MARGIN = 1 << 13, 1 << 9, 64
+CHUNK, OVERLAP, MARGIN = 1 << 14, 1 << 9, 64
 
 
-def _boundaries(encoding, at: int) -> dict[int, int]:
-    """Start of each pre-token, in the whole text's characters -> tokens of the chunk before it.
+def _boundaries(encoding, at: int, low: int) -> dict[int, int]:
+    """Start of each pre-token after low, in the whole text's characters -> tokens of the chunk before it.
 
     Tokens of one pre-token share a word number; a special token has none and is a pre-token of its own.
     """
-    found, last, seen_end = {}, object(), 0
-    for n, (word, (start, end)) in enumerate(zip(encoding.word_ids, encoding.offsets, strict=True)):
+    words, offsets = encoding.word_ids, encoding.offsets
+    n = max(0, bisect_right(offsets, (low - at, 0)) - 1)
+    while n and offsets[n][0] >= low - at:  # the token that holds low, or the one before it
+        n -= 1
+    found, last, seen_end = {}, words[n] if n < len(words) else None, offsets[n][1] if n < len(offsets) else 0
+    for k in range(n + 1, len(words)):
+        word, (start, end) = words[k], offsets[k]
         if word is None or word != last or start > seen_end:
-            found.setdefault(at + start, n)
+            found.setdefault(at + start, k)
         last, seen_end = word, max(seen_end, end)
     return found
 
@@ -50,10 +56,10 @@ def count_tokens(text: str, path: str, chunk: int = CHUNK, overlap: int = OVERLA
         first = encoded(start, end)
         if end == len(text):
             return total + len(first.ids)
-        mine, step = _boundaries(first, start), max(overlap, 2 * margin)
+        step = max(overlap, 2 * margin)
         splice = None
         while splice is None and step < end - start:
-            other = _boundaries(encoded(end - step, min(len(text), end + step)), end - step)
+            mine, other = _boundaries(first, start, end - step), _boundaries(encoded(end - step, min(len(text), end + step)), end - step, end - step)
             # The first common boundary after the second chunk's own start.
             splice = min((p for p in mine if end - step < p <= end - margin and p in other), default=None)
             step *= 2
