@@ -243,6 +243,23 @@ def test_token_counts(docs, rows, empty):
         assert token_counts.count_tokens(whole, codec.default_path(), chunk, overlap) == exact(whole)
 
 
+def test_token_counts_splice_anywhere():
+    """Small chunks of texts made of what a tokenizer's pattern minds."""
+    path, rng = codec.default_path(), random.Random(5)
+    lib = codec.library(path)
+    parts = ["a", "b", " ", "  ", "\n", "'s", "<|endoftext|>", "\u00e9", "\u65e5", "\U0001f642", "1", "23", "!", "\t", "\u3000", "'", "word", " the"]
+    for _ in range(200):
+        text = "".join(rng.choices(parts, k=rng.randint(100, 900)))
+        assert token_counts.count_tokens(text, path, rng.choice([60, 130, 260]), rng.choice([10, 40]), 16) == len(lib.encode(text, add_special_tokens=False).ids)
+
+
+def test_token_counts_of_long_documents(spark):
+    """The texts of sf0.1 that are counted by chunks."""
+    lib = codec.library(codec.default_path())
+    long = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(F.length("text") > token_counts.CHUNK).collect()]
+    assert len(long) > 50 and all(token_counts.count_tokens(t, codec.default_path()) == len(lib.encode(t, add_special_tokens=False).ids) for t in long)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(12, 6))
@@ -432,6 +449,17 @@ def test_pipeline(spark, tmp_path, docs, rows):
     assert "sequence_id" in corpus_pipeline.run(spark, str(tmp_path)).columns
 
 
+def test_pipeline_of_nothing(spark, tmp_path, empty, docs):
+    """An empty table, and a first stage that keeps nothing."""
+    import corpus_pipeline
+
+    empty.write.parquet(f"{tmp_path}/a/documents.parquet")
+    docs.where("length(text) < 3").write.parquet(f"{tmp_path}/b/documents.parquet")
+    for name in "ab":
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.count() == 0 and "sequence_id" in out.columns
+
+
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
     """Each stage on what its predecessor kept of a whole table."""
     import hashlib
