@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a table that may be broadcast: checked by a count before each use (about 64 bytes a row).
-BROADCAST_ROWS = 100_000
+#: Rows and bytes of a table that may be broadcast: checked before each use.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 #: Bytes of a table's files for each partition of a shuffle whose size follows the table's.
 PARTITION_BYTES = 64 << 20
 _own_dir: str | None = None
@@ -48,9 +48,18 @@ def drop_stored(*frames: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
-def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark df for a broadcast if a count proves it small; else leave it to a shuffled join, whose skew AQE splits."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _width(name: str, kind: str):
+    """Bytes of a column's value, about."""
+    c = F.col(f"`{name}`")
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(c), F.lit(0))
+    return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) if "<" in kind else F.lit(8)
+
+
+def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark df for a broadcast if a count of its rows and bytes proves it small; else leave it to a shuffled join, whose skew AQE splits."""
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(sum((_width(*c) for c in df.dtypes), F.lit(0))).alias("bytes")).first()
+    return F.broadcast(df) if found.n <= rows and (found.bytes or 0) <= size else df
 
 
 def partitions(spark: SparkSession, of: DataFrame | None = None) -> int:
