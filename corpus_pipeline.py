@@ -10,7 +10,7 @@ from tessella.llm.mixing import mix_documents
 from tessella.llm.ngram_join import keep_one_of_each_group
 from tessella.llm.packing import pack
 from tessella.llm.quality import keep_good
-from tessella.llm.shared import shared_dir
+from tessella.llm.shared import drop_stored, shared_dir
 from tessella.llm.suffix_dedup import drop_repeats
 from tessella.shipping import ship
 
@@ -52,5 +52,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        if k:
+            drop_stored(docs)  # its successor is written
         docs = spark.read.parquet(path)
     return docs
