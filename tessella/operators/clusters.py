@@ -1,7 +1,8 @@
 """Hierarchical greedy clustering of points, level by level, and navigation.
 
-At one zoom greedy decisions reach no further than the radius, so connected components of the graph of near nodes are clustered independently, each in array order. Near pairs come from an equi-join on
-grid cells. Neighbours are visited in array order, bounds are inclusive.
+At one zoom the origins of clusters are those nodes, in array order, that no earlier origin is near; an origin takes all nodes near it that no earlier one took. Neighbours are visited in array order, bounds are inclusive.
+A level of up to ONE_TASK nodes is one task. A larger one is cut in square blocks of SIDE times the radius, each with the nodes of its neighbours that are near its edge. A block decides in order
+what it can: a node waits while an earlier one near it is undecided; what waits for another block is decided in the next round. So a task is bounded by a block, whatever hangs together.
 
 nodes: z, idx (place in the level), x, y, id (cluster id, or the point's index), parent_id, num_points, point (source row of a single point, else null), total (the mapped values, folded: by default their sum).
 x and y are 32-bit floats of single points, as the search sees them; what is shown of a single point comes from its own row: px and py in full, id and tags.
@@ -16,16 +17,15 @@ from math import floor
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.projection import abbreviated, origin_index, origin_zoom, project_x, project_y, unproject_x, unproject_y
 from ..options import ClusterOptions
-from ..storage import partitions, small_or_not, stored
-from .components import connected_components
+from ..storage import drop_stored, partitions, small_or_not, stored
 
-#: Levels of at most so many nodes are one task; a larger one is split by connected components first. Both give the same nodes.
-ONE_TASK = 200_000
+#: Levels of at most so many nodes are one task. Both ways give the same nodes, but for the last digit of a mean.
+ONE_TASK, SIDE = 200_000, 256
 
 
 def dense_index(df: DataFrame, *order) -> DataFrame:
@@ -68,14 +68,6 @@ def near_pairs(level: DataFrame, reach: float) -> DataFrame:
     return pairs.where(dx * dx + dy * dy <= reach * reach).select("a", "b")
 
 
-def near_components(level: DataFrame, reach: float) -> DataFrame:
-    """(node, component) over near pairs. Nodes of one place are near each other without being paired: only the first of them joins the search."""
-    place = level.groupBy("x", "y").agg(F.min("idx").alias("idx"))
-    place = stored(place, "places")
-    same = level.join(place.withColumnRenamed("idx", "b"), ["x", "y"]).where("idx <> b").select(F.col("idx").alias("a"), "b")
-    return connected_components(near_pairs(place, reach).unionByName(same))
-
-
 def _around(x: np.ndarray, y: np.ndarray, fx: np.ndarray, fy: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, lo, hi): targets sorted by grid cell, and for each origin three ranges of that order that hold all targets within reach."""
     key = lambda cx, cy: (cx + (1 << 30)) * (1 << 32) + (cy + (1 << 30))
@@ -137,6 +129,93 @@ def _component_kernel(reach: float, zoom: int, points: int, min_points: int, fol
     return run
 
 
+UNDECIDED, ORIGIN, TAKEN = 0, 1, 2
+
+
+def decide(x: np.ndarray, y: np.ndarray, state: np.ndarray, own: np.ndarray, reach: float) -> np.ndarray:
+    """state of a block's nodes, in array order, with the undecided ones of its own decided where no undecided earlier node is near."""
+    fx, fy = (v.astype(np.float32).astype(np.float64) for v in (x, y))
+    order, lo, hi = _around(fx, fy, x, y, reach)  # of a target the origins around it
+    crowded, state = (hi - lo).sum(axis=0) > 1, state.copy()
+    for i in np.flatnonzero(own & (state == UNDECIDED)):
+        if not crowded[i]:
+            state[i] = ORIGIN
+            continue
+        near = np.concatenate([order[lo[k, i] : hi[k, i]] for k in range(3)])
+        near = near[near < i]
+        near = state[near[(fx[i] - x[near]) ** 2 + (fy[i] - y[near]) ** 2 <= reach * reach]]
+        state[i] = TAKEN if (near == ORIGIN).any() else UNDECIDED if (near == UNDECIDED).any() else ORIGIN
+    return state
+
+
+def owners(idx: np.ndarray, x: np.ndarray, y: np.ndarray, state: np.ndarray, reach: float) -> np.ndarray:
+    """Of each taken node the idx of the first origin near it, of others their own."""
+    fx, fy = (v.astype(np.float32).astype(np.float64) for v in (x, y))
+    order, lo, hi = _around(fx, fy, x, y, reach)
+    out = idx.copy()
+    for i in np.flatnonzero(state == TAKEN):
+        near = np.concatenate([order[lo[k, i] : hi[k, i]] for k in range(3)])
+        near = near[(near < i) & (state[near] == ORIGIN)]
+        near = near[(fx[i] - x[near]) ** 2 + (fy[i] - y[near]) ** 2 <= reach * reach]
+        out[i] = idx[near.min()] if len(near) else -1
+    return out
+
+
+def _in_blocks(nodes: DataFrame, reach: float) -> DataFrame:
+    """nodes in their own block (own) and in those whose edge they are near."""
+    side, m = SIDE * reach, 1.01 * reach + 1e-6
+    span = lambda c: F.sequence(F.floor((F.col(c) - m) / side), F.floor((F.col(c) + m) / side))
+    rows = nodes.withColumn("bx", F.explode(span("x"))).withColumn("by", F.explode(span("y")))
+    return rows.withColumn("own", (F.col("bx") == F.floor(F.col("x") / side)) & (F.col("by") == F.floor(F.col("y") / side)))
+
+
+def assigned(level: DataFrame, reach: float) -> DataFrame:
+    """(idx, origin) of each node of a level, block by block. Nodes of one place go with the first of them, as long as that is near itself."""
+    place = ["x", "y"] if reach > 1e-6 else ["x", "y", "idx"]
+    first = stored(level.groupBy(*place).agg(F.min("idx").alias("f")).select("x", "y", F.col("f").alias("idx")), "places")
+    state = stored(first.withColumn("state", F.lit(UNDECIDED)), "state")
+
+    def round_(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        new = decide(*(pdf[c].to_numpy() for c in ("x", "y", "state", "own")), reach)
+        return pdf.assign(state=new)[pdf["own"]][["idx", "x", "y", "state"]]
+
+    def last(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        origin = owners(*(pdf[c].to_numpy() for c in ("idx", "x", "y", "state")), reach)
+        return pdf.assign(f=pdf["idx"], origin=origin)[pdf["own"]][["x", "y", "f", "origin"]]
+
+    while not state.where(F.col("state") == UNDECIDED).isEmpty():
+        new = stored(_in_blocks(state, reach).groupBy("bx", "by").applyInPandas(round_, "idx long, x double, y double, state int"), "state")
+        drop_stored(state)
+        state = new
+    owned = stored(_in_blocks(state, reach).groupBy("bx", "by").applyInPandas(last, "x double, y double, f long, origin long"), "owned")
+    drop_stored(state, first)
+    found = level.select("idx", "x", "y").join(owned, ["x", "y"] if reach > 1e-6 else (level["idx"] == owned["f"]))
+    return found.select("idx", "origin")
+
+
+def _next_level(level: DataFrame, reach: float, z: int, points: int, options: ClusterOptions, fold: Callable | None, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes with origin and place, (o, parent)) of a level that is larger than one task."""
+    rows = stored(level.join(assigned(level, reach).withColumnRenamed("idx", "i"), F.col("idx") == F.col("i")).drop("i"), "assigned")
+    exact = lambda c: F.sum((F.col(c) * F.col("num_points")).cast("decimal(38,18)"))  # noqa: E731  the same whatever the order
+    sums = rows.groupBy("origin").agg(F.count("*").alias("members"), F.sum("num_points").alias("n"), exact("x").alias("sx"), exact("y").alias("sy"), *([] if fold else [F.sum("total").alias("t")]))
+    sums = stored(sums.where((F.col("members") > 1) & (F.col("n") >= options.min_points)).withColumnRenamed("origin", "g"), "clusters")
+    mean = lambda c: (F.col(c).cast("double") / F.col("n")).alias(c[1])
+    name = (F.shiftleft("g", 5) + F.lit(z + 1 + points)).alias("id")
+    if fold:
+        folded = lambda pdf: pd.DataFrame({"h": pdf["origin"].iloc[:1], "t": pd.Series([reduce(fold, pdf.sort_values("idx")["total"].tolist())], dtype=object, index=pdf.index[:1])})
+        totals = rows.join(sums.select("g"), F.col("origin") == F.col("g"), "left_semi").groupBy("origin").applyInPandas(folded, f"h long, t {kind}")
+        sums = stored(sums.join(totals, F.col("g") == F.col("h")), "folded")
+    none = F.lit(None).cast("long")
+    made = sums.select(mean("sx"), mean("sy"), name, F.col("n").alias("num_points"), none.alias("point"), F.col("t").alias("total"), F.col("g").alias("origin"), F.lit(0).cast("long").alias("place"))
+    # Groups too small for a cluster have fewer than min_points nodes, so their window is bounded.
+    small = rows.join(sums.select("g"), F.col("origin") == F.col("g"), "left_anti")
+    small = small.withColumn("place", F.row_number().over(Window.partitionBy("origin").orderBy("idx")).cast("long") - 1)
+    parents = rows.select("idx", "origin").join(sums.select("g", name), F.col("origin") == F.col("g")).select(F.col("idx").alias("o"), F.col("id").alias("parent"))
+    return made.unionByName(small.select(*made.columns)), parents
+
+
 def build_clusters(points: DataFrame, options: ClusterOptions = ClusterOptions(), value: str | None = None, one_task: int = ONE_TASK, fold: Callable | None = None) -> DataFrame:
     """nodes of all levels from load_points() rows; `total` sums the column `value`, or counts points.
 
@@ -151,17 +230,13 @@ def build_clusters(points: DataFrame, options: ClusterOptions = ClusterOptions()
     for z in range(options.max_zoom, options.min_zoom - 1, -1):
         reach = options.reach(z)
         if level.limit(one_task + 1).count() <= one_task:
-            marked = level.withColumn("component", F.lit(0).cast("long"))
+            kernel = _component_kernel(reach, z, total, options.min_points, fold or operator.add)
+            made = stored(level.withColumn("task", F.lit(0)).groupBy("task").applyInPandas(kernel, f"x double, y double, id long, num_points long, point long, total {kind}, origin long, place long, parent long"), "made")
+            parents, new = made.where("parent is not null").select(F.col("origin").alias("o"), "parent"), made.where("parent is null").drop("parent")
         else:
-            component = near_components(level, reach)
-            marked = stored(level.join(component, F.col("idx") == F.col("node"), "left").drop("node"), "marked")
-        kernel = _component_kernel(reach, z, total, options.min_points, fold or operator.add)
-        made = marked.where("component is not null").groupBy("component").applyInPandas(kernel, f"x double, y double, id long, num_points long, point long, total {kind}, origin long, place long, parent long")
-        made = stored(made, "made")
-        alone = marked.where("component is null").select("x", "y", "id", "num_points", "point", "total", F.col("idx").alias("origin"), F.lit(0).cast("long").alias("place"))
-        parents = made.where("parent is not null").select(F.col("origin").alias("o"), "parent")
+            new, parents = _next_level(level, reach, z, total, options, fold, kind)
+            parents = stored(parents, "parents")
         levels.append(level.join(small_or_not(parents), F.col("idx") == F.col("o"), "left").select(F.lit(z + 1).alias("z"), "idx", "x", "y", "id", F.col("parent").alias("parent_id"), "num_points", "point", "total"))
-        new = made.where("parent is null").drop("parent").unionByName(alone)
         level = stored(dense_index(new, "origin", "place").select("idx", "x", "y", "id", "num_points", "point", "total"), "level")
     out = level.select(F.lit(options.min_zoom).alias("z"), "idx", "x", "y", "id", none.alias("parent_id"), "num_points", "point", "total")
     for one in reversed(levels):

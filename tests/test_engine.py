@@ -98,18 +98,26 @@ def test_round_trip_of_all_types(spark):
         assert flat(row["geometry"]["coordinates"]) == flat(kinds[kind]) and row["properties"] == {"k": kind} and row["id"] == ("x" if kind == "Point" else 0)
 
 
-def test_clusters_are_the_same_by_components_and_in_one_task(spark):
+@pytest.mark.parametrize("side", [256, 2])
+def test_clusters_are_the_same_by_blocks_and_in_one_task(spark, monkeypatch, side):
+    monkeypatch.setattr(K, "SIDE", side)
     points = spark.range(400).select(((F.col("id") * 7919) % 360 - 180.0).alias("lon"), ((F.col("id") * 104729) % 170 - 85.0).alias("lat"), F.col("id").alias("k"))
     loaded = K.load_points(points, "k").drop("k")
     options = ClusterOptions(max_zoom=3)
-    one, split = (sorted(map(tuple, K.build_clusters(loaded, options, one_task=n).drop("parent_id").collect())) for n in (10_000, 0))
-    assert one == split
+    for k in (options, ClusterOptions(max_zoom=3, min_points=4)):
+        one, split = ({(r.z, r.idx): r for r in K.build_clusters(loaded, k, one_task=n).collect()} for n in (10_000, 0))
+        assert one.keys() == split.keys()
+        for key, r in one.items():
+            assert (r.id, r.parent_id, r.num_points, r.point, r.total) == (split[key].id, split[key].parent_id, split[key].num_points, split[key].point, split[key].total)
+            assert (r.x, r.y) == pytest.approx((split[key].x, split[key].y), abs=1e-12)
     nodes = K.build_clusters(loaded, options)
     assert {r["n"] for r in nodes.groupBy("z").agg(F.sum("num_points").alias("n")).collect()} == {400}
     top = nodes.where("z = 0 and num_points > 1").orderBy("idx").first()
     assert K.leaves(nodes, top.id, 400, 1000).count() == top.num_points
     with pytest.raises(ValueError):
         K.children(nodes, 1 << 40, 400)
+    folded = [sorted(map(tuple, K.build_clusters(loaded.withColumn("name", F.format_string("%03d", "idx")), ClusterOptions(min_zoom=1, max_zoom=2), "name", one_task=n, fold=lambda a, b: f"{a},{b}").select("z", "idx", "total").collect())) for n in (10_000, 0)]
+    assert folded[0] == folded[1]
 
 
 def test_unclustered_points_keep_full_precision():
