@@ -9,6 +9,8 @@ from __future__ import annotations
 import json
 from functools import lru_cache
 
+import numpy as np
+
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PROBE = "It's a probe:  naïve ÄÖ 12,345 -- <|endoftext|>\n\n\t end  　 日本語 🙂 x" + " y" * 5 + " "
 
@@ -38,9 +40,9 @@ def _bytes_of_symbols() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """text -> ids, as the tokenizers library gives them without added special tokens."""
+    """text -> ids (an array of unsigned 32-bit numbers), as the tokenizers library gives them without added special tokens."""
     lib = library(path)
-    slow = lambda text: lib.encode(text, add_special_tokens=False).ids
+    slow = lambda text: np.asarray(lib.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
     try:
         import tiktoken
 
@@ -52,10 +54,10 @@ def encoder(path: str):
         symbols = _bytes_of_symbols()
         ranks = {bytes(symbols[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        quick = lambda text: fast.encode(text, allowed_special="all")
-        if quick(_PROBE) != slow(_PROBE):
+        quick = lambda text: fast.encode_to_numpy(text, allowed_special="all")
+        if quick(_PROBE).tolist() != slow(_PROBE).tolist():
             return slow
         library.cache_clear()  # its memory is needed again for huge texts alone
         return quick
-    except (ImportError, KeyError, ValueError):
+    except (ImportError, AttributeError, KeyError, ValueError):
         return slow

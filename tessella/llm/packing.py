@@ -147,7 +147,7 @@ def pieces_of(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
         for texts in parts:
             lengths, crcs = [], []
             for text in texts:
-                ids = np.asarray([*encode(text), END], dtype="<u4").tobytes()
+                ids = np.append(encode(text), np.uint32(END)).astype("<u4").tobytes()
                 ends = range((len(ids) // 4 - 1) % length + 1, len(ids) // 4 + 1, length)
                 lengths.append([ends[0], *[length] * (len(ends) - 1)])
                 crcs.append([zlib.crc32(ids[max(0, 4 * (e - length)) : 4 * e]) for e in ends])
