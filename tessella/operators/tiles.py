@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.kernels import Shape, clip, quadtree, quantised, tile_lines, world_copies
+from ..functions.kernels import Shape, bands_of, clip, quadtree, quantised, tile_lines, world_copies
 from ..functions.projection import project_x, project_y, quantise, tiles_of
 from ..options import TileOptions
 from ..sources.geojson import ARROW, FEATURES, row_shape, shape_row, to_geojson
@@ -27,7 +27,7 @@ TILE_FEATURES = "z int, x int, y int, seq long, part int, type int, id string, t
 
 
 def wrap(features: DataFrame, options: TileOptions = TileOptions()) -> DataFrame:
-    """Features with their copies from neighbouring worlds. If no feature reaches an edge band, all stay as they are, unclipped."""
+    """Features with their copies from neighbouring worlds. If no feature reaches an edge band, all stay as they are, unclipped. Single points are copied by column expressions."""
     margin, metrics = options.margin, options.line_metrics
     features = stored(features, "features")
 
@@ -37,7 +37,13 @@ def wrap(features: DataFrame, options: TileOptions = TileOptions()) -> DataFrame
             rows = [{**r, "world": k, **shape_row(s)} for r in batch.to_pylist() for k, s in world_copies(row_shape(r), margin, metrics)]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    copies = stored(features.mapInArrow(run, f"{FEATURES}, world int"), "worlds")
+    worlds = F.array(*[F.struct(F.lit(k).alias("world"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(by).alias("by")) for k, lo, hi, by in bands_of(margin)])
+    points = features.where("kind = 'Point'").withColumn("b", F.explode(F.filter(worlds, lambda w: (F.col("min_x") >= w["lo"]) & (F.col("min_x") < w["hi"]))))
+    moved = F.transform("paths", lambda p: p.withField("xyz", F.transform(p["xyz"], lambda v, i: F.when(i % 3 == 0, v + F.col("b.by")).otherwise(v))))
+    at = {"paths": F.when(F.col("b.by") == 0, F.col("paths")).otherwise(moved), "min_x": F.col("min_x") + F.col("b.by"), "max_x": F.col("max_x") + F.col("b.by")}
+    points = points.select(*[at.get(c, F.col(c)).alias(c) for c in features.columns], "b.world")
+    others = features.where("kind <> 'Point'").mapInArrow(run, f"{FEATURES}, world int")
+    copies = stored(points.select(*others.columns).unionByName(others), "worlds")
     if copies.where("world <> 1").isEmpty():
         return features
     # Left copies come first, then the centre, then right copies, each in source order.
