@@ -122,9 +122,9 @@ _MADE = ("x", "y", "id", "num_points", "point", "total", "origin", "place")
 def _component_kernel(reach: float, zoom: int, points: int, min_points: int, fold: Callable):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         made, parents = greedy(pdf.sort_values("idx"), reach, zoom, points, min_points, fold)
-        rows = [(*m, None) for m in made] + [(None,) * 6 + (origin, None, parent) for origin, parent in parents.items()]
-        frame = pd.DataFrame(rows, columns=[*_MADE, "parent"], dtype=object)
-        return frame.astype({"x": "float64", "y": "float64"} | {k: "Int64" for k in ("id", "num_points", "point", "origin", "place", "parent")})
+        rows = [(*m, None, k) for k, m in enumerate(made)] + [(None,) * 6 + (origin, None, parent, None) for origin, parent in parents.items()]
+        frame = pd.DataFrame(rows, columns=[*_MADE, "parent", "idx"], dtype=object)
+        return frame.astype({"x": "float64", "y": "float64"} | {k: "Int64" for k in ("id", "num_points", "point", "origin", "place", "parent", "idx")})
 
     return run
 
@@ -226,18 +226,20 @@ def build_clusters(points: DataFrame, options: ClusterOptions = ClusterOptions()
     kind = points.schema[value].dataType.simpleString() if fold and value else "double"
     none = F.lit(None).cast("long")
     level = points.select("idx", "x", "y", F.col("idx").alias("id"), F.lit(1).cast("long").alias("num_points"), F.col("idx").alias("point"), (F.col(value).cast(kind) if value else F.lit(1.0)).alias("total"))
-    level, levels = stored(level, "level"), []
+    level, levels, few = stored(level, "level"), [], False
+    columns = ["idx", "x", "y", "id", "num_points", "point", "total"]
     for z in range(options.max_zoom, options.min_zoom - 1, -1):
         reach = options.reach(z)
-        if level.limit(one_task + 1).count() <= one_task:
+        few = few or level.limit(one_task + 1).count() <= one_task  # levels never grow
+        if few:
             kernel = _component_kernel(reach, z, total, options.min_points, fold or operator.add)
-            made = stored(level.withColumn("task", F.lit(0)).groupBy("task").applyInPandas(kernel, f"x double, y double, id long, num_points long, point long, total {kind}, origin long, place long, parent long"), "made")
-            parents, new = made.where("parent is not null").select(F.col("origin").alias("o"), "parent"), made.where("parent is null").drop("parent")
+            made = stored(level.withColumn("task", F.lit(0)).groupBy("task").applyInPandas(kernel, f"x double, y double, id long, num_points long, point long, total {kind}, origin long, place long, parent long, idx long"), "made")
+            parents, new = made.where("parent is not null").select(F.col("origin").alias("o"), "parent"), made.where("parent is null").select(*columns)
         else:
             new, parents = _next_level(level, reach, z, total, options, fold, kind)
-            parents = stored(parents, "parents")
+            parents, new = stored(parents, "parents"), stored(dense_index(new, "origin", "place").select(*columns), "level")
         levels.append(level.join(small_or_not(parents), F.col("idx") == F.col("o"), "left").select(F.lit(z + 1).alias("z"), "idx", "x", "y", "id", F.col("parent").alias("parent_id"), "num_points", "point", "total"))
-        level = stored(dense_index(new, "origin", "place").select("idx", "x", "y", "id", "num_points", "point", "total"), "level")
+        level = new
     out = level.select(F.lit(options.min_zoom).alias("z"), "idx", "x", "y", "id", none.alias("parent_id"), "num_points", "point", "total")
     for one in reversed(levels):
         out = out.unionByName(one)

@@ -53,11 +53,11 @@ def cluster_grid_nodes(spark, sf_dir):
     return _nodes(_index(spark, sf_dir))
 
 
-@query(f"WITH {GRID_NODES} SELECT {_SHOWN} FROM al")
+@query(f"WITH {GRID_NODES} SELECT {_SHOWN} FROM al WHERE z >= 12")
 def cluster_grid_blocks(spark, sf_dir):
-    """The same, with every level cut in blocks."""
+    """The levels from zoom 12 on, each cut in blocks."""
     points = stored(K.load_points(snapped(spark, sf_dir), "id"), "points")
-    nodes = K.build_clusters(points, GRID, "value", one_task=0)
+    nodes = K.build_clusters(points, ClusterOptions(min_zoom=12), "value", one_task=0)
     return nodes.select("z", "idx", "id", "parent_id", "num_points", "point", F.round("total", 4).alias("total"), F.round("x", 7).alias("x"), F.round("y", 7).alias("y"))
 
 
