@@ -220,10 +220,30 @@ def one_shot_tile(spark, sf_dir):
     return rows.select(F.col("id").cast("long").alias("id"), "type", F.size("geometry").alias("lines"), "points")
 
 
+_built: dict = {}
+
+
+def built_once(make):
+    """make(spark, sf_dir) once for each application: an index is built once and asked many times."""
+
+    def found(spark, sf_dir):
+        key = (spark.sparkContext.applicationId, make.__module__, make.__name__, sf_dir)
+        if key not in _built:
+            _built[key] = make(spark, sf_dir)
+        return _built[key]
+
+    return found
+
+
 def _index(spark, sf_dir, options=CLUSTERS) -> K.ClusterIndex:
     return K.ClusterIndex(K.load_points(X.points(spark, sf_dir), "id"), options, "value")
 
 
+@built_once
+def _events_index(spark, sf_dir) -> K.ClusterIndex:
+    return _index(spark, sf_dir)
+
+
 def _nodes(spark, sf_dir, options=CLUSTERS) -> DataFrame:
     return _index(spark, sf_dir, options).nodes
 
@@ -247,23 +267,23 @@ def cluster_reduce_sum(spark, sf_dir):
 
 @query()
 def cluster_nodes(spark, sf_dir):
-    index = _index(spark, sf_dir)
+    index = _events_index(spark, sf_dir)
     return K.cluster_columns(index.nodes, index.points)
 
 
 @query()
 def cluster_tile(spark, sf_dir):
-    return _index(spark, sf_dir).get_tile(2, 0, 1)
+    return _events_index(spark, sf_dir).get_tile(2, 0, 1)
 
 
 @query()
 def cluster_bbox(spark, sf_dir):
-    return _index(spark, sf_dir).get_clusters((150.0, -40.0, 210.0, 40.0), 3)
+    return _events_index(spark, sf_dir).get_clusters((150.0, -40.0, 210.0, 40.0), 3)
 
 
 @query("SELECT 0::BIGINT AS wrong_parents")
 def cluster_children_sum(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir)
+    nodes = _events_index(spark, sf_dir).nodes
     below = nodes.where("parent_id is not null").groupBy("parent_id").agg(F.sum("num_points").alias("sum"))
     own = nodes.where("num_points > 1").groupBy("id").agg(F.max("num_points").alias("n"))
     return own.join(below, own["id"] == below["parent_id"], "full").select(F.count_if(~F.col("n").eqNullSafe(F.col("sum"))).alias("wrong_parents"))
@@ -271,7 +291,7 @@ def cluster_children_sum(spark, sf_dir):
 
 @query()
 def cluster_leaves_page(spark, sf_dir):
-    index = _index(spark, sf_dir)
+    index = _events_index(spark, sf_dir)
     top = index.nodes.where("z = 0 and num_points > 1").orderBy(F.col("num_points").desc(), "idx").first()
     return index.leaves(top.id, 20, 5).select("point", "path")
 

@@ -15,7 +15,7 @@ from ..options import ClusterOptions, TileOptions
 from ..sources.geojson import read_features
 from ..storage import stored
 from . import fixtures as X
-from .catalog import query
+from .catalog import built_once, query
 from .fixtures import PX, PY, SQL_POINTS
 
 GRID = ClusterOptions(min_zoom=3)
@@ -44,6 +44,11 @@ def _index(spark, sf_dir, options=GRID) -> K.ClusterIndex:
     return K.ClusterIndex(K.load_points(snapped(spark, sf_dir), "id"), options, "value")
 
 
+@built_once
+def _grid(spark, sf_dir) -> K.ClusterIndex:
+    return _index(spark, sf_dir)
+
+
 def _nodes(index: K.ClusterIndex) -> DataFrame:
     return index.nodes.select("z", "idx", "id", "parent_id", "num_points", "point", F.round("total", 4).alias("total"), F.round("x", 7).alias("x"), F.round("y", 7).alias("y"))
 
@@ -86,7 +91,7 @@ _TILE_AT = "0.078125"  # radius by extent
 SELECT copy, idx, num_points, floor(512 * (px * 16 - tile) + 0.5)::INT AS tx, floor(512 * (py * 16 - 7) + 0.5)::INT AS ty, CASE WHEN num_points > 1 THEN id::VARCHAR END AS feature_id FROM al, c WHERE z = 4 AND px::FLOAT BETWEEN lo AND hi AND py::FLOAT BETWEEN (7 - {_TILE_AT}) / 16 AND (8 + {_TILE_AT}) / 16""")
 def cluster_grid_tile(spark, sf_dir):
     """A tile at the edge of the world, with copies from the other side."""
-    return _index(spark, sf_dir).get_tile(4, 0, 7).select("copy", "idx", "num_points", "tx", "ty", "feature_id")
+    return _grid(spark, sf_dir).get_tile(4, 0, 7).select("copy", "idx", "num_points", "tx", "ty", "feature_id")
 
 
 @query(f"WITH {GRID_NODES} SELECT point, id::VARCHAR AS feature_id FROM al WHERE z = 17 AND px::FLOAT BETWEEN (7 - {_TILE_AT}) / 16 AND (8 + {_TILE_AT}) / 16 AND py::FLOAT BETWEEN (7 - {_TILE_AT}) / 16 AND (8 + {_TILE_AT}) / 16")
@@ -98,13 +103,13 @@ def cluster_generated_ids(spark, sf_dir):
 
 @query(f"WITH {GRID_NODES} SELECT idx, id::BIGINT AS id, num_points, lon, lat, num_points > 1 AS cluster, {_SHORT.format(n='num_points')} AS short FROM (SELECT * FROM al WHERE z = 5 AND (lon >= 150 OR lon <= -150) AND lat BETWEEN -40 AND 40)")
 def cluster_grid_bbox(spark, sf_dir):
-    rows = _index(spark, sf_dir).get_clusters((150.0, -40.0, 210.0, 40.0), 5)
+    rows = _grid(spark, sf_dir).get_clusters((150.0, -40.0, 210.0, 40.0), 5)
     return rows.select("idx", "id", "num_points", F.round("lon", 4).alias("lon"), F.round("lat", 4).alias("lat"), "cluster", F.col("point_count_abbreviated").alias("short"))
 
 
 @query(f"WITH {GRID_NODES}, {_TOP} SELECT al.idx, al.id::BIGINT AS id, lon, lat, false AS cluster FROM al, top WHERE z = 17 AND parent_id = top.id")
 def cluster_grid_children(spark, sf_dir):
-    index = _index(spark, sf_dir)
+    index = _grid(spark, sf_dir)
     top = index.nodes.where("z = 3").orderBy(F.col("num_points").desc(), "idx").first()
     return index.children(top.id).select("idx", "id", F.round("lon", 4).alias("lon"), F.round("lat", 4).alias("lat"), "cluster")
 
@@ -112,21 +117,21 @@ def cluster_grid_children(spark, sf_dir):
 @query(f"WITH {GRID_NODES}, {_TOP} SELECT al.idx AS point, lon, lat FROM al, top WHERE z = 17 AND parent_id = top.id ORDER BY al.idx LIMIT 3 OFFSET 2")
 def cluster_grid_leaves(spark, sf_dir):
     """A page of the leaves: limit and offset are the operator's."""
-    index = _index(spark, sf_dir)
+    index = _grid(spark, sf_dir)
     top = index.nodes.where("z = 3").orderBy(F.col("num_points").desc(), "idx").first()
     return index.leaves(top.id, 3, 2).select("point", F.round("lon", 4).alias("lon"), F.round("lat", 4).alias("lat"))
 
 
 @query(f"WITH {GRID_NODES}, {_TOP} SELECT 17 AS zoom, id::BIGINT AS id FROM top")
 def cluster_grid_expansion(spark, sf_dir):
-    index = _index(spark, sf_dir)
+    index = _grid(spark, sf_dir)
     top = index.nodes.where("z = 3").orderBy(F.col("num_points").desc(), "idx").first()
     return spark.createDataFrame([(index.expansion_zoom(top.id), top.id)], "zoom int, id long")
 
 
 @query(f"WITH {GRID_NODES} SELECT idx, CASE WHEN num_points > 1 THEN id::BIGINT END AS id, CASE WHEN num_points > 1 THEN num_points END AS point_count, CASE WHEN num_points > 1 THEN {_SHORT.format(n='num_points')} END AS short, num_points > 1 AS cluster, lon, lat FROM al WHERE z = 3")
 def cluster_grid_geojson(spark, sf_dir):
-    rows = K.cluster_geojson(_index(spark, sf_dir).get_clusters((-180.0, -90.0, 180.0, 90.0), 3))
+    rows = K.cluster_geojson(_grid(spark, sf_dir).get_clusters((-180.0, -90.0, 180.0, 90.0), 3))
     at = lambda path, kind: F.get_json_object("value", path).cast(kind)
     place = lambda k: F.round(at(f"$.geometry.coordinates[{k}]", "double"), 4)
     return rows.select("idx", at("$.id", "long").alias("id"), at("$.properties.point_count", "long").alias("point_count"), at("$.properties.point_count_abbreviated", "string").alias("short"), F.coalesce(at("$.properties.cluster", "boolean"), F.lit(False)).alias("cluster"), place(0).alias("lon"), place(1).alias("lat"))
@@ -134,7 +139,7 @@ def cluster_grid_geojson(spark, sf_dir):
 
 @query(f"WITH {GRID_NODES}, a AS (SELECT * FROM (VALUES ('-1', 3), ('4.9', 4), ('16', 16), ('99', 17)) AS t(asked, z)) SELECT asked, count(*) AS nodes FROM a JOIN al USING (z) GROUP BY 1")
 def cluster_zoom_clamp(spark, sf_dir):
-    index = _index(spark, sf_dir)
+    index = _grid(spark, sf_dir)
     out = None
     for asked in ("-1", "4.9", "16", "99"):
         one = index.get_clusters((-180.0, -90.0, 180.0, 90.0), float(asked)).agg(F.count("*").alias("nodes")).select(F.lit(asked).alias("asked"), "nodes")
@@ -170,6 +175,7 @@ def cluster_source_filter(spark, sf_dir):
 _WORLDS = "(SELECT * FROM sp UNION ALL SELECT id, lon + 360, lat, value, idx, px + 1, py FROM sp WHERE px < 0.015625 UNION ALL SELECT id, lon - 360, lat, value, idx, px - 1, py FROM sp WHERE px >= 0.984375)"
 
 
+@built_once
 def _facade(spark, sf_dir) -> MapIndex:
     return MapIndex(_mixed(spark, sf_dir), TileOptions(updateable=True), cluster=True, clusters=GRID, value=F.get_json_object("tags", "$.value").cast("double"))
 
