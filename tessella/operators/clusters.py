@@ -1,8 +1,9 @@
 """Hierarchical greedy clustering of points, level by level, and navigation.
 
 At one zoom the origins of clusters are those nodes, in array order, that no earlier origin is near; an origin takes all nodes near it that no earlier one took. Neighbours are visited in array order, bounds are inclusive.
-A level of up to ONE_TASK nodes is one task. A larger one is cut in square blocks of SIDE times the radius, each with the nodes of its neighbours that are near its edge. A block decides in order
-what it can: a node waits while an earlier one near it is undecided; what waits for another block is decided in the next round. So a task is bounded by a block, whatever hangs together.
+A level of up to ONE_TASK nodes is one task. A larger one is cut in square blocks of SIDE times the radius, each with the nodes of its neighbours that are near its edge. Blocks are dealt to as many groups as
+hold GROUP nodes each, since there are as many blocks as nodes where the radius is small. A group decides in order what it can: a node waits while an earlier one near it is undecided; what waits for another
+group is decided in the next round. So a task is bounded by a group and a block, whatever hangs together. A level in which nobody is near another is the next one as it is.
 
 nodes: z, idx (place in the level), x, y, id (cluster id, or the point's index), parent_id, num_points, point (source row of a single point, else null), total (the mapped values, folded: by default their sum).
 x and y are 32-bit floats of single points, as the search sees them; what is shown of a single point comes from its own row: px and py in full, id and tags.
@@ -26,6 +27,8 @@ from ..storage import drop_stored, partitions, small_or_not, stored
 
 #: Levels of at most so many nodes are one task. Both ways give the same nodes, but for the last digit of a mean.
 ONE_TASK, SIDE = 200_000, 256
+#: Nodes of a group of blocks, about, and the least radius that counts for the side of a block: far below it the margin of single precision would span many blocks.
+GROUP, LEAST_REACH = 20_000, 1e-6
 
 
 def dense_index(df: DataFrame, *order) -> DataFrame:
@@ -71,7 +74,7 @@ def near_pairs(level: DataFrame, reach: float) -> DataFrame:
 def _around(x: np.ndarray, y: np.ndarray, fx: np.ndarray, fy: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, lo, hi): targets sorted by grid cell, and for each origin three ranges of that order that hold all targets within reach."""
     key = lambda cx, cy: (cx + (1 << 30)) * (1 << 32) + (cy + (1 << 30))
-    cell = lambda v: np.floor(v / reach).astype(np.int64)
+    cell = lambda v: np.floor(v / max(reach, 1e-8)).astype(np.int64)  # noqa: E731  larger cells hold all within reach too, and their numbers fit the key
     keys = key(cell(fx), cell(fy))
     order = np.argsort(keys, kind="stable")
     keys, cx, cy = keys[order], cell(x), cell(y)
@@ -137,10 +140,8 @@ def decide(x: np.ndarray, y: np.ndarray, state: np.ndarray, own: np.ndarray, rea
     fx, fy = (v.astype(np.float32).astype(np.float64) for v in (x, y))
     order, lo, hi = _around(fx, fy, x, y, reach)  # of a target the origins around it
     crowded, state = (hi - lo).sum(axis=0) > 1, state.copy()
+    state[own & (state == UNDECIDED) & ~crowded] = ORIGIN
     for i in np.flatnonzero(own & (state == UNDECIDED)):
-        if not crowded[i]:
-            state[i] = ORIGIN
-            continue
         near = np.concatenate([order[lo[k, i] : hi[k, i]] for k in range(3)])
         near = near[near < i]
         near = state[near[(fx[i] - x[near]) ** 2 + (fy[i] - y[near]) ** 2 <= reach * reach]]
@@ -161,43 +162,59 @@ def owners(idx: np.ndarray, x: np.ndarray, y: np.ndarray, state: np.ndarray, rea
     return out
 
 
-def _in_blocks(nodes: DataFrame, reach: float) -> DataFrame:
-    """nodes in their own block (own) and in those whose edge they are near."""
-    side, m = SIDE * reach, 1.01 * reach + 1e-6
+def _in_blocks(nodes: DataFrame, reach: float, groups: int) -> DataFrame:
+    """nodes in the group of their own block (own) and in those of the blocks whose edge they are near; there may be several of these in a group."""
+    side, m = SIDE * max(reach, LEAST_REACH), 1.01 * reach + 1e-6
     span = lambda c: F.sequence(F.floor((F.col(c) - m) / side), F.floor((F.col(c) + m) / side))
     rows = nodes.withColumn("bx", F.explode(span("x"))).withColumn("by", F.explode(span("y")))
-    return rows.withColumn("own", (F.col("bx") == F.floor(F.col("x") / side)) & (F.col("by") == F.floor(F.col("y") / side)))
+    rows = rows.withColumn("own", (F.col("bx") == F.floor(F.col("x") / side)) & (F.col("by") == F.floor(F.col("y") / side)))
+    return rows.withColumn("group", F.pmod(F.hash("bx", "by"), F.lit(groups))).drop("bx", "by")
+
+
+def _once(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The nodes of a group in array order, each once."""
+    return pdf.sort_values(["idx", "own"]).drop_duplicates("idx", keep="last")
 
 
-def assigned(level: DataFrame, reach: float) -> DataFrame:
-    """(idx, origin) of each node of a level, block by block. Nodes of one place go with the first of them, as long as that is near itself."""
-    place = ["x", "y"] if reach > 1e-6 else ["x", "y", "idx"]
-    first = stored(level.groupBy(*place).agg(F.min("idx").alias("f")).select("x", "y", F.col("f").alias("idx")), "places")
-    state = stored(first.withColumn("state", F.lit(UNDECIDED)), "state")
+def assigned(level: DataFrame, reach: float) -> DataFrame | None:
+    """(idx, origin) of each node of a level, block by block; None where each node is its own origin. Nodes of one place go with the first of them, if that place is near itself in single precision."""
+    off = lambda c: F.col(c) - F.col(c).cast("float").cast("double")
+    alone = F.when(off("x") * off("x") + off("y") * off("y") <= reach * reach, F.lit(-1).cast("long")).otherwise(F.col("idx"))
+    level = level.select("idx", "x", "y", alone.alias("alone"))
+    state = stored(level.groupBy("x", "y", "alone").agg(F.min("idx").alias("idx")).select("idx", "x", "y", "alone", F.lit(UNDECIDED).alias("state")), "state")
+    places = state.count()
+    groups = max(partitions(level.sparkSession), -(-places // GROUP))
 
     def round_(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
+        pdf = _once(pdf)
         new = decide(*(pdf[c].to_numpy() for c in ("x", "y", "state", "own")), reach)
-        return pdf.assign(state=new)[pdf["own"]][["idx", "x", "y", "state"]]
+        return pdf.assign(state=new)[pdf["own"]][["idx", "x", "y", "alone", "state"]]
 
     def last(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
+        pdf = _once(pdf)
         origin = owners(*(pdf[c].to_numpy() for c in ("idx", "x", "y", "state")), reach)
-        return pdf.assign(f=pdf["idx"], origin=origin)[pdf["own"]][["x", "y", "f", "origin"]]
+        return pdf.assign(origin=origin)[pdf["own"]][["x", "y", "alone", "origin"]]
 
-    while not state.where(F.col("state") == UNDECIDED).isEmpty():
-        new = stored(_in_blocks(state, reach).groupBy("bx", "by").applyInPandas(round_, "idx long, x double, y double, state int"), "state")
+    left = places
+    while left:
+        new = stored(_in_blocks(state, reach, groups).groupBy("group").applyInPandas(round_, "idx long, x double, y double, alone long, state int"), "state")
         drop_stored(state)
-        state = new
-    owned = stored(_in_blocks(state, reach).groupBy("bx", "by").applyInPandas(last, "x double, y double, f long, origin long"), "owned")
-    drop_stored(state, first)
-    found = level.select("idx", "x", "y").join(owned, ["x", "y"] if reach > 1e-6 else (level["idx"] == owned["f"]))
-    return found.select("idx", "origin")
-
-
-def _next_level(level: DataFrame, reach: float, z: int, points: int, options: ClusterOptions, fold: Callable | None, kind: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes with origin and place, (o, parent)) of a level that is larger than one task."""
-    rows = stored(level.join(assigned(level, reach).withColumnRenamed("idx", "i"), F.col("idx") == F.col("i")).drop("i"), "assigned")
+        state, found = new, {r.state: r.n for r in new.groupBy("state").agg(F.count("*").alias("n")).collect()}
+        left = found.get(UNDECIDED, 0)
+    if places and not found.get(TAKEN) and places == level.count():
+        drop_stored(state)
+        return None
+    owned = stored(_in_blocks(state, reach, groups).groupBy("group").applyInPandas(last, "x double, y double, alone long, origin long"), "owned")
+    drop_stored(state)
+    return level.join(owned, ["x", "y", "alone"]).select("idx", "origin")
+
+
+def _next_level(level: DataFrame, reach: float, z: int, points: int, options: ClusterOptions, fold: Callable | None, kind: str) -> tuple[DataFrame, DataFrame] | None:
+    """(nodes with origin and place, (o, parent)) of a level that is larger than one task; None where it stays as it is."""
+    origins = assigned(level, reach)
+    if origins is None:
+        return None
+    rows = stored(level.join(origins.withColumnRenamed("idx", "i"), F.col("idx") == F.col("i")).drop("i"), "assigned")
     exact = lambda c: F.sum((F.col(c) * F.col("num_points")).cast("decimal(38,18)"))  # noqa: E731  the same whatever the order
     sums = rows.groupBy("origin").agg(F.count("*").alias("members"), F.sum("num_points").alias("n"), exact("x").alias("sx"), exact("y").alias("sy"), *([] if fold else [F.sum("total").alias("t")]))
     sums = stored(sums.where((F.col("members") > 1) & (F.col("n") >= options.min_points)).withColumnRenamed("origin", "g"), "clusters")
@@ -236,7 +253,11 @@ def build_clusters(points: DataFrame, options: ClusterOptions = ClusterOptions()
             made = stored(level.withColumn("task", F.lit(0)).groupBy("task").applyInPandas(kernel, f"x double, y double, id long, num_points long, point long, total {kind}, origin long, place long, parent long, idx long"), "made")
             parents, new = made.where("parent is not null").select(F.col("origin").alias("o"), "parent"), made.where("parent is null").select(*columns)
         else:
-            new, parents = _next_level(level, reach, z, total, options, fold, kind)
+            made = _next_level(level, reach, z, total, options, fold, kind)
+            if made is None:
+                levels.append(level.select(F.lit(z + 1).alias("z"), "idx", "x", "y", "id", none.alias("parent_id"), "num_points", "point", "total"))
+                continue
+            new, parents = made
             parents, new = stored(parents, "parents"), stored(dense_index(new, "origin", "place").select(*columns), "level")
         levels.append(level.join(small_or_not(parents), F.col("idx") == F.col("o"), "left").select(F.lit(z + 1).alias("z"), "idx", "x", "y", "id", F.col("parent").alias("parent_id"), "num_points", "point", "total"))
         level = new

@@ -370,3 +370,26 @@ def test_tile_json(spark):
     options = TileOptions(line_metrics=True)
     rows = T.feature_json(T.TileEngine(_features(spark, line, options=options), options).tiles(0), "my_").collect()
     assert [json.loads(r.value) for r in rows] == [{"type": 2, "geometry": [[[2048, 2048], [2389, 1934], [2731, 2048]]], "tags": {"n": 1.5, "s": 'a"b', "my_clip_start": 0, "my_clip_end": 1}, "id": "l"}]
+
+
+@pytest.mark.parametrize("reach", [40 / 512 / 2**24, 1e-9 / 512 / 64])
+def test_blocks_of_a_tiny_radius_are_few_for_each_node(spark, reach):
+    """However small the radius, a node is in its own block and at most in those beside it, and blocks share groups."""
+    nodes = spark.range(2000).selectExpr("id AS idx", "CAST(CAST((id * 7919 % 2003) / 2003 AS FLOAT) AS DOUBLE) AS x", "CAST(CAST((id * 104729 % 1999) / 1999 AS FLOAT) AS DOUBLE) AS y")
+    rows = K._in_blocks(nodes, reach, 3)
+    assert rows.where("own").count() == 2000 and rows.count() < 2200
+    assert {r[0] for r in rows.select("group").distinct().collect()} <= {0, 1, 2}
+    assert K.assigned(nodes, reach) is None  # nobody is near another
+
+
+def test_places_of_a_tiny_radius_go_with_their_first_node(spark):
+    nodes = spark.range(600).selectExpr("id AS idx", "CAST(CAST((id % 7) / 9 AS FLOAT) AS DOUBLE) AS x", "CAST(CAST((id % 7) / 11 AS FLOAT) AS DOUBLE) AS y")
+    assert {(r.idx, r.origin) for r in K.assigned(nodes, 1e-9 / 512 / 64).collect()} == {(k, k % 7) for k in range(600)}
+
+
+def test_levels_that_stay_are_the_next_ones(spark):
+    """Points of one lattice, clustered by blocks at no zoom but the last: the levels between are equal, and the result is that of one task."""
+    points = K.load_points(spark.range(400).selectExpr("id", "(id % 20) * 10.0D - 95 AS lon", "floor(id / 20) * 4.0D - 40 AS lat", "1.0D AS value"), "id")
+    at = ClusterOptions(min_zoom=2, max_zoom=4)
+    one, split = ({(r.z, r.idx): (r.id, r.parent_id, r.num_points, r.point, r.total) for r in K.build_clusters(points, at, "value", one_task=n).collect()} for n in (1000, 0))
+    assert one == split and len({k for k in one if k[0] == 3}) == 400 > len({k for k in one if k[0] == 2})
