@@ -204,7 +204,7 @@ _ONES = "o1 AS (SELECT id, min(px) AS px FROM tp GROUP BY id HAVING count(*) = 1
 def multiline_clip(spark, sf_dir):
     line = F.struct(F.lit("MultiLineString").alias("type"), F.array(F.transform("pts", lambda p: F.array(p["lon"], p["lat"]))).alias("coordinates"))
     rows = read_features(_texts(X.tracks(spark, sf_dir), line), OPTIONS)
-    work = lambda shape: [(len(s.paths), sum(len(p.points) for p in s.paths), s.kind) for s in clip(shape, 0.4, 0.6, 0)]
+    work = lambda shape: [(len(s.paths), sum(len(p.points) for p in s.paths), s.kind) for s in clip(shape, 0.4, 0.6, 0, closed=True)]
     return _shapes(rows, work, [("slices", "int"), ("vertices", "int"), ("kind", "string")]).withColumn("vertices", F.col("vertices").cast("long"))
 
 
