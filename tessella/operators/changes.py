@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..options import TileOptions
-from ..storage import small_or_not
+from ..storage import small_or_not, stored
 
 
 def last_per_id(changes: DataFrame, order: str = "seq") -> DataFrame:
@@ -63,24 +63,33 @@ def keep_where(source: DataFrame, affected: DataFrame, good: Column) -> tuple[Da
     return source.join(bad, "id", "left_anti"), affected.unionByName(source.join(bad, "id", "left_semi"))
 
 
+def _reached(lo: str, hi: str, margin: float) -> tuple[Column, Column]:
+    """First and last tile of one axis, at zoom z, whose buffered half-open span an extent reaches: (t - margin) <= hi and lo < (t + 1 + margin), as these are rounded."""
+    low, high = F.col(lo) * F.pow(F.lit(2.0), "z"), F.col(hi) * F.pow(F.lit(2.0), "z")
+    first, last = F.floor(low - margin), F.floor(high + margin)
+    first = F.when(first + margin > low, first - 1).when(first + 1 + margin > low, first).otherwise(first + 1)
+    last = F.when(last + 1 - margin <= high, last + 1).when(last - margin <= high, last).otherwise(last - 1)
+    return F.greatest(F.lit(0).cast("long"), first), F.least(F.pow(F.lit(2.0), "z").cast("long") - 1, last)
+
+
 def invalidated_tiles(tiles: DataFrame, affected: DataFrame, options: TileOptions = TileOptions()) -> DataFrame:
     """The tiles (z, x, y) whose buffered box a feature of affected reaches.
 
-    Each bounds is spread over the tiles it covers at the zooms in use where these are few, for an equi-join; features that cover many tiles of a zoom stop at the
-    coarsest zoom where they cover at most 64 and are joined by their ancestors there.
+    Bounds become the range of tiles that they reach at each zoom in use; equal ranges are one, with map-side sums, so that many features in few tiles are few rows. Each range is
+    spread over its cells for an equi-join that never gathers them on the driver: tiles where these are few; ranges over many tiles of a zoom stop at the coarsest zoom where they
+    cover at most 64 and are joined by their ancestors there.
     """
     m = options.margin
     zooms = tiles.select("z").distinct()
-    boxes = affected.select("min_x", "min_y", "max_x", "max_y").distinct()
     levels = F.explode(F.sequence(F.lit(0), F.lit(24))).alias("z")
-    span = lambda a, b: F.floor((F.col(b) - F.col(a)) * F.pow(F.lit(2.0), "z")) + 3
-    every = boxes.select("*", levels).join(F.broadcast(zooms), "z", "left_semi")
-    every = every.withColumn("up", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(span("min_x", "max_x"), span("min_y", "max_y")) / 8))).cast("int"))
-    cells = every.withColumn("cx", F.explode(F.sequence(F.expr("shiftright(cast(greatest(0D, floor(min_x * pow(2D, z) - 1 - 1)) as bigint), up)"), F.greatest(F.lit(0).cast("long"), F.expr("shiftright(cast(floor(max_x * pow(2D, z) + 1) as bigint), up)")))))
-    cells = cells.withColumn("cy", F.explode(F.sequence(F.expr("shiftright(cast(greatest(0D, floor(min_y * pow(2D, z) - 1 - 1)) as bigint), up)"), F.greatest(F.lit(0).cast("long"), F.expr("shiftright(cast(floor(max_y * pow(2D, z) + 1) as bigint), up)")))))
+    every = affected.select("min_x", "min_y", "max_x", "max_y", levels).join(F.broadcast(zooms), "z", "left_semi")
+    (x0, x1), (y0, y1) = _reached("min_x", "max_x", m), _reached("min_y", "max_y", m)
+    every = every.select("z", x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1")).where("x0 <= x1 and y0 <= y1").distinct()
+    every = stored(every.withColumn("up", F.greatest(F.lit(0), F.ceil(F.log2((F.greatest(F.expr("x1 - x0"), F.expr("y1 - y0")) + 1) / 8))).cast("int")), "ranges")
+    cell = lambda c: F.explode(F.sequence(F.expr(f"shiftright({c}0, up)"), F.expr(f"shiftright({c}1, up)")))
+    cells = every.withColumn("cx", cell("x")).withColumn("cy", cell("y"))
     ups = every.select(F.col("z").alias("uz"), F.col("up").alias("u")).distinct()
-    keyed = tiles.join(F.broadcast(ups), F.col("z") == F.col("uz")).withColumn("cx", F.expr("shiftright(cast(x as bigint), u)")).withColumn("cy", F.expr("shiftright(cast(y as bigint), u)"))
-    scale = F.pow(F.lit(2.0), keyed["z"])
-    hit = (keyed["z"] == cells["z"]) & (keyed["u"] == cells["up"]) & (keyed["cx"] == cells["cx"]) & (keyed["cy"] == cells["cy"])
-    hit = hit & (cells["max_x"] >= (keyed["x"] - m) / scale) & (cells["min_x"] < (keyed["x"] + 1 + m) / scale) & (cells["max_y"] >= (keyed["y"] - m) / scale) & (cells["min_y"] < (keyed["y"] + 1 + m) / scale)
-    return keyed.join(cells, hit, "left_semi").select("z", "x", "y").distinct()
+    keyed = tiles.join(F.broadcast(ups), F.col("z") == F.col("uz")).withColumn("tx", F.expr("shiftright(cast(x as bigint), u)")).withColumn("ty", F.expr("shiftright(cast(y as bigint), u)"))
+    hit = (keyed["z"] == cells["z"]) & (keyed["u"] == cells["up"]) & (keyed["tx"] == cells["cx"]) & (keyed["ty"] == cells["cy"])
+    hit = hit & keyed["x"].between(cells["x0"], cells["x1"]) & keyed["y"].between(cells["y0"], cells["y1"])
+    return keyed.join(cells.hint("merge"), hit, "left_semi").select("z", "x", "y").distinct()

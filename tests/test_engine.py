@@ -393,3 +393,39 @@ def test_levels_that_stay_are_the_next_ones(spark):
     at = ClusterOptions(min_zoom=2, max_zoom=4)
     one, split = ({(r.z, r.idx): (r.id, r.parent_id, r.num_points, r.point, r.total) for r in K.build_clusters(points, at, "value", one_task=n).collect()} for n in (1000, 0))
     assert one == split and len({k for k in one if k[0] == 3}) == 400 > len({k for k in one if k[0] == 2})
+
+
+def test_lines_that_touch_the_upper_bound():
+    """A closed band keeps the vertex at its upper bound, a half-open one does not; a lone vertex is as in a half-open one."""
+    beyond = G.Shape("LineString", [G.Path([(0.7, 0, 1), (0.6, 1, 1), (0.8, 2, 1)], 3.0, 0.0, 3.0)])
+    for metrics in (False, True):
+        assert G.clip(beyond, 0.4, 0.6, 0, metrics) == []
+        assert [len(p.points) for s in G.clip(beyond, 0.4, 0.6, 0, metrics, closed=True) for p in s.paths] == [2]
+    lone = G.Shape("LineString", [G.Path([(0.6, 0, 1)])])
+    assert G.clip(lone, 0.4, 0.6, 0, True, closed=True) == []
+
+
+@pytest.mark.parametrize("name", ["line_axis_clip", "line_metrics", "multiline_clip"])
+def test_clipped_lines_that_touch_a_bound(spark, tmp_path, name):
+    """A customer one of whose orders lies at 36 degrees, the upper bound, and the others beyond it."""
+    from oracle import connect, differences
+
+    from tessella.plans import catalog
+
+    con = connect("/root/nowhere")
+    orders = [(848962, "1995-05-03"), (819476, "1995-07-14"), (873420, "1996-08-25"), (760035, "1996-09-02")]  # the third is at 36 degrees
+    rows = ", ".join(f"({k}::BIGINT, 77942::BIGINT, 'O', 1.0::DOUBLE, TIMESTAMP '{day}', '1')" for k, day in orders)
+    con.execute(f"COPY (SELECT * FROM (VALUES {rows}) t(o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    frame = catalog.queries()[name](spark, str(tmp_path))
+    assert frame.count() == 1 and differences(frame, connect(str(tmp_path)), catalog.oracle_sql()[name]) == ""
+
+
+def test_ranges_of_reached_tiles_are_few(spark, monkeypatch):
+    """Many points in few tiles are few rows before they meet the tiles, and these are the tiles of brute force."""
+    seen = []
+    keep = C.stored
+    monkeypatch.setattr(C, "stored", lambda df, name: seen.append(keep(df, name)) or seen[-1])
+    points = spark.range(5000).selectExpr("0.3D + id * 1e-6D AS min_x", "0.6D AS min_y", "0.3D + id * 1e-6D AS max_x", "0.6D AS max_y")
+    tiles = spark.range(64).selectExpr("3 AS z", "CAST(id % 8 AS INT) AS x", "CAST(floor(id / 8) AS INT) AS y")
+    assert [(r.z, r.x, r.y) for r in C.invalidated_tiles(tiles, points).collect()] == [(3, 2, 4)]
+    assert [df.count() for df in seen] == [1]
