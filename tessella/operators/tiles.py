@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.kernels import Shape, bands_of, clip, quadtree, quantised, tile_lines, world_copies
+from ..functions.kernels import Shape, bands_of, clip, point_quadtree, quadtree, quantised, tile_lines, world_copies
 from ..functions.projection import project_x, project_y, quantise, tiles_of
 from ..options import TileOptions
 from ..sources.geojson import ARROW, FEATURES, row_shape, shape_row, to_geojson
@@ -66,19 +68,40 @@ def _row(shape: Shape, z: int, x: int, y: int, options: TileOptions) -> dict:
     return {"z": z, "x": x, "y": y, "type": kind, "clip_start": start, "clip_end": stop, "geometry": lines, "points": count, "simplified": kept, **bounds}
 
 
+def _point_rows(rows: list[tuple], extent: int) -> pa.RecordBatch:
+    """Tile rows of single points (z, x, y, seq, id, tags, px, py), column by column."""
+    z, x, y, seq, ids, tags, px, py = map(list, zip(*rows, strict=True))
+    n, scale, ones = len(z), np.exp2(np.array(z)), pa.array(np.ones(len(z), dtype="int64"))
+    at = [pa.array(np.floor(extent * (np.array(v) * scale - np.array(t)) + 0.5).astype("int32")) for v, t in ((px, x), (py, y))]
+    steps = pa.array(np.arange(n + 1, dtype="int32"))
+    geometry = pa.ListArray.from_arrays(steps, pa.ListArray.from_arrays(steps, pa.StructArray.from_arrays(at, names=["x", "y"])))
+    none, bounds = pa.nulls(n, pa.float64()), [pa.array(px, pa.float64()), pa.array(py, pa.float64())]
+    columns = [*(pa.array(v, pa.int32()) for v in (z, x, y)), pa.array(seq, pa.int64()), pa.array(np.zeros(n, dtype="int32")), pa.array(np.ones(n, dtype="int32")), pa.array(ids, pa.string()), pa.array(tags, pa.string()), none, none, geometry.cast(_RINGS), ones, ones, *bounds, *bounds]
+    return pa.RecordBatch.from_arrays(columns, schema=_TILE)
+
+
 def _tile_rows(features: DataFrame, options: TileOptions, last: int, wanted=None, levels: frozenset[int] | None = None) -> DataFrame:
     """Tile features by the quadtree of each feature, given out in batches of FLUSH rows, however many a single feature makes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
+        points: list[tuple] = []
         for batch in batches:
-            for r in batch.to_pylist():
+            lone = pc.equal(batch.column("kind"), "Point")
+            for r in zip(*(batch.filter(lone).column(c).to_pylist() for c in ("seq", "id", "tags", "min_x", "min_y")), strict=True):
+                points += [(*t, *r) for t in point_quadtree(r[3], r[4], options.margin, last, wanted) if levels is None or t[0] in levels]
+                if len(points) >= FLUSH:
+                    yield _point_rows(points, options.extent)
+                    points = []
+            for r in batch.filter(pc.invert(lone)).to_pylist():
                 for z, x, y, held in quadtree([row_shape(r)], options.margin, options.line_metrics, last, wanted):
                     if levels is None or z in levels:
                         rows += [{"seq": r["seq"], "part": k, "id": r["id"], "tags": r["tags"], **_row(s, z, x, y, options)} for k, s in enumerate(held)]
                     if len(rows) >= FLUSH:
                         yield pa.RecordBatch.from_pylist(rows, schema=_TILE)
                         rows = []
+        if points:
+            yield _point_rows(points, options.extent)
         yield pa.RecordBatch.from_pylist(rows, schema=_TILE)
 
     return features.mapInArrow(run, TILE_FEATURES)
@@ -109,11 +132,17 @@ def drill_down(features: DataFrame, target: tuple[int, int, int], options: TileO
 def point_features(points: DataFrame, options: TileOptions = TileOptions(), max_zoom: int | None = None) -> DataFrame:
     """tile_features() of features that are single points, by column expressions alone. The root holds all of them, wherever they are."""
     rows = points.withColumn("px", F.col("paths")[0]["xyz"][0]).withColumn("py", F.col("paths")[0]["xyz"][1])
-    n, m, out = options.extent, options.margin, None
+    m, out = options.margin, None
     for z in range(_last_zoom(options, max_zoom) + 1):
         every = F.array(F.lit(0))
         one = rows.withColumn("z", F.lit(z)).withColumn("x", F.explode(tiles_of(F.col("px"), z, m) if z else every)).withColumn("y", F.explode(tiles_of(F.col("py"), z, m) if z else every))
         out = one if out is None else out.unionByName(one)
+    return _point_tiles(out, options)
+
+
+def _point_tiles(out: DataFrame, options: TileOptions) -> DataFrame:
+    """Rows of TILE_FEATURES of single points (px, py), each with its tile."""
+    n = options.extent
     vertex = F.struct(quantise(F.col("px"), F.col("z"), F.col("x"), n).alias("x"), quantise(F.col("py"), F.col("z"), F.col("y"), n).alias("y"))
     none, one = F.lit(None).cast("double"), F.lit(1).cast("long")
     return out.select("z", "x", "y", "seq", F.lit(0).alias("part"), F.lit(1).alias("type"), "id", "tags", none.alias("clip_start"), none.alias("clip_end"), F.array(F.array(vertex)).alias("geometry"), one.alias("points"), one.alias("simplified"), "min_x", "min_y", "max_x", "max_y")
@@ -135,7 +164,11 @@ def single_tile(features: DataFrame, z: int, x: int, y: int, options: TileOption
                 out += [{"seq": r["seq"], "part": k, "id": r["id"], "tags": r["tags"], **_row(s, z, x, y, options)} for k, s in enumerate(held)]
             yield pa.RecordBatch.from_pylist(out, schema=_TILE)
 
-    return rows.mapInArrow(run, TILE_FEATURES).where(F.size("geometry") > 0)
+    # Single points are in the tile or not, by column expressions alone.
+    points, within = rows.where("kind = 'Point'"), lambda c, t: (F.col(c) >= (t - margin) / scale) & (F.col(c) < (t + 1 + margin) / scale)
+    points = (points.where(within("min_x", x) & within("min_y", y)) if clipped else points).select("*", *[F.lit(v).alias(c) for c, v in (("z", z), ("x", x), ("y", y))])
+    others = rows.where("kind <> 'Point'").mapInArrow(run, TILE_FEATURES).where(F.size("geometry") > 0)
+    return _point_tiles(points.withColumn("px", F.col("min_x")).withColumn("py", F.col("min_y")), options).unionByName(others)
 
 
 def point_tile_features(points: DataFrame, options: TileOptions, zooms: list[int]) -> DataFrame:

@@ -429,3 +429,21 @@ def test_ranges_of_reached_tiles_are_few(spark, monkeypatch):
     tiles = spark.range(64).selectExpr("3 AS z", "CAST(id % 8 AS INT) AS x", "CAST(floor(id / 8) AS INT) AS y")
     assert [(r.z, r.x, r.y) for r in C.invalidated_tiles(tiles, points).collect()] == [(3, 2, 4)]
     assert [df.count() for df in seen] == [1]
+
+
+def test_single_points_take_the_short_way():
+    """The quadtree of a single point, and its rows from GeoJSON, are those of any shape."""
+    from tessella.operators.tiles import _TILE, _point_rows, _row
+    from tessella.sources.geojson import point_of, points_batch, shape_row
+
+    options = TileOptions()
+    for lon, lat in ((0.0, 0.0), (-180.0, 85.0), (179.99, -60.0), (45.0, 66.51326044311186), (90.001, -0.001)):
+        data = {"type": "Feature", "id": "a", "properties": {"k": [1, "ä"]}, "geometry": {"type": "Point", "coordinates": [lon, lat]}}
+        [(_, key, tags, shape)] = features_of(data, options)
+        point = point_of(data, options)
+        row = {"seq": 7, "id": key, "tags": tags, **shape_row(shape), "feature": 7}
+        assert points_batch([7], *([v] for v in point)).to_pylist() == [row]
+        held = [(z, x, y, s) for z, x, y, [s] in G.quadtree([shape], options.margin, False, 4)]
+        assert set(G.point_quadtree(*point[2:], options.margin, 4)) == {t[:3] for t in held}
+        want = pa.RecordBatch.from_pylist([{"seq": 7, "part": 0, "id": key, "tags": tags, **_row(s, z, x, y, options)} for z, x, y, s in held], schema=_TILE)
+        assert _point_rows([(z, x, y, 7, key, tags, *point[2:]) for z, x, y, _ in held], options.extent).to_pylist() == want.to_pylist()
